@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import table
+from .decontam import find_leaks
 from .exact import exact_dedup
+from .toxicity import fit_toxicity, held_out, score_toxicity
 
 #: Rank file and pattern of the tokenizer that op4 and the pipeline use.
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_encode(table(spark, sf_dir, "documents"), RANK_FILE, PATTERN, decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -24,7 +30,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), prefer_longest=True)
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op6_exact_dedup": op6_exact_dedup}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence", F.size("segments").alias("n_segments"), "segments")
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op10_toxicity": op10_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_exact_dedup": op6_exact_dedup}
 
 SQL = {
     "op6_exact_dedup": r"""
