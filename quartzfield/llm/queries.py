@@ -10,6 +10,7 @@ from .bpe import bpe_encode
 from .common import table
 from .decontam import find_leaks
 from .exact import exact_dedup
+from .substring import substring_dedup
 from .toxicity import fit_toxicity, held_out, score_toxicity
 
 #: Rank file and pattern of the tokenizer that op4 and the pipeline use.
@@ -21,6 +22,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_encode(table(spark, sf_dir, "documents"), RANK_FILE, PATTERN, decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -37,7 +43,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence", F.size("segments").alias("n_segments"), "segments")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op10_toxicity": op10_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_exact_dedup": op6_exact_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op10_toxicity": op10_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_exact_dedup": op6_exact_dedup}
 
 SQL = {
     "op6_exact_dedup": r"""
