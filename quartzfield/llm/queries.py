@@ -11,6 +11,7 @@ from .common import table
 from .decontam import find_leaks
 from .exact import exact_dedup
 from .substring import substring_dedup
+from .suffix import suffix_dedup
 from .toxicity import fit_toxicity, held_out, score_toxicity
 
 #: Rank file and pattern of the tokenizer that op4 and the pipeline use.
@@ -43,7 +44,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence", F.size("segments").alias("n_segments"), "segments")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op10_toxicity": op10_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_exact_dedup": op6_exact_dedup}
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op9_suffix_array_dedup": op9_suffix_array_dedup, "op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op10_toxicity": op10_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_exact_dedup": op6_exact_dedup}
 
 SQL = {
     "op6_exact_dedup": r"""
