@@ -10,6 +10,7 @@ from .bpe import bpe_encode
 from .common import table
 from .decontam import find_leaks
 from .exact import exact_dedup
+from .minhash import near_dedup
 from .substring import substring_dedup
 from .suffix import suffix_dedup
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -28,6 +29,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_encode(table(spark, sf_dir, "documents"), RANK_FILE, PATTERN, decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -49,7 +54,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op9_suffix_array_dedup": op9_suffix_array_dedup, "op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op10_toxicity": op10_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_exact_dedup": op6_exact_dedup}
+QUERIES = {"op3_minhash_near_dedup": op3_minhash_near_dedup, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op10_toxicity": op10_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_exact_dedup": op6_exact_dedup}
 
 SQL = {
     "op6_exact_dedup": r"""
