@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .chat import format_chat, read_back
 from .common import table
 from .decontam import find_leaks
 from .exact import exact_dedup
+from .licenses import fit_licenses, scan_licenses
 from .minhash import near_dedup
+from .secrets import fit_secrets, scan_secrets
 from .substring import substring_dedup
 from .suffix import suffix_dedup
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -54,7 +57,45 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_minhash_near_dedup": op3_minhash_near_dedup, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op10_toxicity": op10_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_exact_dedup": op6_exact_dedup}
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = "</s>[INST] ok [/INST]"  # a conversation whose texts look like control strings
+    own = spark.createDataFrame([(-7, 0, "user", fixed), (-7, 1, "assistant", fixed)], "conv_id bigint, turn bigint, role string, text string")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    out = read_back(format_chat(talks))
+    return out.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("learnt").cast("bigint").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = scan_secrets(docs, fit_secrets(docs))
+    base = F.filter("findings", lambda f: f.kind != "cnn")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f.kind, f.start.cast("string"), f.end.cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("findings", lambda f: f.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scan_licenses(docs, fit_licenses(docs))
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_chat_format": op5_chat_format,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_license_scan": op8_license_scan,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_toxicity": op10_toxicity,
+}
 
 SQL = {
     "op6_exact_dedup": r"""
@@ -65,5 +106,21 @@ WITH d AS (
          first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id FROM d
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k
+""",
+    "op5_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS esc,
+         replace(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), ']', '&#93;'), chr(10), '&#10;') AS name
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<s>[' || name || ']' || chr(10) || esc || '</s>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
 """,
 }
