@@ -163,3 +163,23 @@ def find_leaks(
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows in whose text no benchmark item stands (as ``find_leaks`` has it), with all their columns as they are. No rows move."""
+
+    def without(block: list[tuple[int, str]]):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, error_rate)
+            for batch in slices(batches, text_col):
+                clean = [next(matcher.search(normalise(t or "")), None) is None for t in batch.column(text_col).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    out = docs
+    for block in _item_blocks(bench, item_id, item_text, min_chars, block_chars):
+        out = out.mapInArrow(without(block), docs.schema)
+    return out

@@ -262,6 +262,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows that the model does not call toxic, with all their columns as they are. No rows move."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        cache = _Scores(m)
+        for batch in slices(batches, text_col):
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array([m.probability(min(max(e, -25.0), 60.0)) < 0.5 for e, _, _ in _scan(texts, m, cache)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5):
     """True for the fold that ``fit_toxicity`` leaves out."""
     return F.crc32(F.col(id_col).cast("string")) % folds == 0
