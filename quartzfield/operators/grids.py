@@ -57,12 +57,17 @@ def extend_intervals(new: DataFrame, old: DataFrame, dims: int, places: int = 6)
     return old.select(*one).unionByName(new.select(*one)).dropDuplicates(keys)
 
 
+def _index(x: Column, size: Column) -> Column:
+    """Grid index without the last bits of the division, which would cut off a plane at an interval's end."""
+    return F.round(x * size, 6)
+
+
 def _points(start: Column, end: Column, size: Column) -> Column:
-    return F.sequence(F.ceil(start * size).cast("int"), F.floor(end * size).cast("int"))
+    return F.sequence(F.ceil(_index(start, size)).cast("int"), F.floor(_index(end, size)).cast("int"))
 
 
 def _filled(start: Column, end: Column, size: Column) -> Column:
-    return F.floor(end * size) >= F.ceil(start * size)
+    return F.floor(_index(end, size)) >= F.ceil(_index(start, size))
 
 
 def q_grid(intervals: DataFrame, sizes: Sequence[Column | int], mask: Column | None = None) -> DataFrame:

@@ -78,7 +78,8 @@ def mask_periodic(q: DataFrame, points: DataFrame, axes: Sequence[str]) -> DataF
     near = found.crossJoin(width)
     mine = q.crossJoin(width)
     for a in axes:
-        near = near.withColumn(f"_cell_{a}", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o, a=a: F.floor(F.col(f"_{a}") / F.col("_width")) + o)))
+        cell = F.floor(F.col(f"_{a}") / F.col("_width"))
+        near = near.withColumn(f"_cell_{a}", F.explode(F.array(cell - 1, cell, cell + 1)))
         mine = mine.withColumn(f"_cell_{a}", F.floor(F.col(a) / F.col("_width")))
     near, mine = near.drop("_width").alias("near"), mine.drop("_width").alias("mine")
     same = [F.col(f"mine._cell_{a}") == F.col(f"near._cell_{a}") for a in axes]
