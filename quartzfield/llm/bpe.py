@@ -27,7 +27,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """Encoder and decoder for one rank table; ``cache_size`` bounds the remembered pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 100_000):
         self.ranks, self.cache_size = ranks, cache_size
         self.find = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}

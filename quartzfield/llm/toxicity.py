@@ -49,7 +49,7 @@ class ToxicityModel:
 class _Scores(dict):
     """Scores by token as written: that of its most significant part. What was looked up stays, up to a bound."""
 
-    def __init__(self, model: ToxicityModel, bound: int = 300_000):
+    def __init__(self, model: ToxicityModel, bound: int = 100_000):
         super().__init__()
         self.model, self.bound = model, bound
 
@@ -156,7 +156,7 @@ def fit_toxicity(
         for batch in slices(batches, "text"):
             for t, label in zip(batch.column("text").to_pylist(), batch.column("_label").to_pylist(), strict=True):
                 (toxic if label > 0 else clean).update({x for w in set(TOKEN.findall(t.lower())) for x in parts_of(w)})
-            if len(toxic) + len(clean) > 200_000:
+            if len(toxic) + len(clean) > 100_000:
                 yield rows()
                 toxic.clear()
                 clean.clear()
