@@ -19,6 +19,14 @@ from .components import connected_components
 from .segments import mix, word_symbols
 
 _U = np.uint64
+_WORDS = 16  # of 64 bits, in a bit map
+
+
+def bit_map(shingles: np.ndarray) -> np.ndarray:
+    """Which hash values modulo 1024 a set has."""
+    seen = np.zeros(64 * _WORDS, np.uint8)
+    seen[(shingles & _U(64 * _WORDS - 1)).astype(np.int64)] = 1
+    return np.packbits(seen).view(np.int64)
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -78,15 +86,16 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, collection
 
 
 def shingle_arrays(df: DataFrame, id_col: str, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """``node, n, shingles`` of the documents whose id is in ``wanted`` (node)."""
+    """``node, n, shingles, bits`` of the documents whose id is in ``wanted`` (node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            sets = [s.view(np.int64) for s in sets_of(batch.column("text").to_pylist(), shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "shingles"])
+            sets = list(sets_of(batch.column("text").to_pylist(), shingle))
+            arrays = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bit_map(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), *arrays], names=["node", "n", "shingles", "bits"])
 
     source = df.select(F.col(id_col).cast("bigint").alias("node"), text_of(text_col).alias("text"))
-    return source.join(wanted, "node").mapInArrow(run, "node bigint, n bigint, shingles array<bigint>").dropDuplicates(["node"])
+    return source.join(wanted, "node").mapInArrow(run, "node bigint, n bigint, shingles array<bigint>, bits array<bigint>").dropDuplicates(["node"])
 
 
 def near_links(nodes: DataFrame, sets_for, percent: int, collections: int, rounds: int) -> DataFrame:
@@ -95,7 +104,8 @@ def near_links(nodes: DataFrame, sets_for, percent: int, collections: int, round
     A collection's value that no other node has cannot make a table key, so only values seen twice are combined to
     keys. In each table group all members are compared with one leader, another one in each round; linked nodes become one
     component, and groups whose members all belong to one component are done. What is then left are members of different components
-    in one group: these pairs, and only these, are compared in the last round, so no link of a shared key is lost.
+    in one group: all of these pairs whose bit maps allow a link are compared in the last round, so no link of a shared
+    key is lost. A bit map has a bit for each of 1024 hash values; two maps differ in no more bits than the sets in shingles.
     """
     values = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
     twice = values.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "value")
@@ -117,19 +127,21 @@ def near_links(nodes: DataFrame, sets_for, percent: int, collections: int, round
         spread = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "n", "component"), F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("lead"))
         spread = spread.where("low < high")
         mine = now.join(spread.select("key", "lead"), "key")
+        if turn:  # components only grow, so what is settled now stays so
+            mine = materialise(mine)
+            members = mine.select("key", "node", "n")
+            if mine.isEmpty():
+                break
         if turn < rounds:
-            pairs = mine.select("node", "n", "component", F.col("lead.node").alias("other"), F.col("lead.n").alias("m"), F.col("lead.component").alias("its"))
+            other = mine.select("node", "n", "component", F.col("lead.node").alias("other"), F.col("lead.n").alias("m"), F.col("lead.component").alias("its"))
+            near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("its"))
+            pairs = other.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         else:
-            left = mine.select("key", "node", "n", "component")
-            pairs = left.join(left.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("its")), "key")
-        near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("its"))
-        pairs = pairs.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            pairs = _across(mine.select("node", "n", "component").distinct().join(sets.select("node", "bits"), "node").join(nodes.select("node", "bands"), "node"), percent, collections)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         checked = materialise(confirmed(pairs, sets, percent))
         if checked.isEmpty():
-            if turn >= rounds - 1 and turn:
-                break
             continue
         links = checked.where("linked")
         known = parts.select(F.col("node").alias("a"), F.col("component").alias("x"))
@@ -141,6 +153,25 @@ def near_links(nodes: DataFrame, sets_for, percent: int, collections: int, round
     return parts
 
 
+def _across(open_nodes: DataFrame, percent: int, collections: int) -> DataFrame:
+    """Pairs ``a, b`` of different components (``node, n, component, bits, bands``) that share a table key and may be linked.
+
+    They meet on the values of the first side; a pair comes from its first common value only, and needs a common value of the
+    second side. What costs least is looked at first, all inside the join, so that only pairs to confirm leave it.
+    """
+    words = [F.col("bits")[i].alias(f"b{i}") for i in range(_WORDS)]
+    left = open_nodes.select("node", "n", "component", "bands", *words, F.posexplode(F.slice("bands", 1, collections)).alias("band", "value"))
+    right = left.select("band", "value", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "component", "bands", *(f"b{i}" for i in range(_WORDS)))))
+    gaps = [F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o_b{i}"))) for i in range(_WORDS)]
+    # bits that differ are at most the shingles that only one of the two has
+    close = sum(gaps[1:], gaps[0]) * (100 + percent) <= (F.col("n") + F.col("o_n")) * (100 - percent)
+    sizes = F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent
+    same = F.zip_with("bands", "o_bands", lambda x, y: x == y)
+    here = (F.array_position(same, True) == F.col("band") + 1) & F.array_contains(F.slice(same, collections + 1, collections), True)
+    cheap = (F.col("node") < F.col("o_node")) & (F.col("component") != F.col("o_component")) & sizes & close
+    return left.join(right, ["band", "value"]).where(F.when(cheap, here).otherwise(False)).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b, linked``: pairs compared on their full sets."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
