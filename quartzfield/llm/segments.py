@@ -154,13 +154,13 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(doc.alias("id"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.coalesce(doc, F.lit(-1)), text).alias("kid"), text.alias("text"))
 
 
-def repeated_segments(rows: DataFrame, symbols: Callable, window: int, gram: int) -> DataFrame:
-    """Segments whose anchor stands elsewhere too: ``g, c1, c2, doc, kid, at, total, mixed``, written to the shared folder.
+def repeated_segments(rows: DataFrame, symbols: Callable, window: int, gram: int, with_doc: bool = False) -> DataFrame:
+    """Segments whose anchor stands elsewhere too: ``g, c1, c2, kid, at`` (and ``doc``), written to the shared folder.
 
-    ``total`` counts the segments with that anchor, ``mixed`` says that they are not all equal. Counts are summed before the
-    shuffle; the join back is one that AQE can split when an anchor is very frequent.
+    ``g`` is the anchor, (``c1``, ``c2``) the content. Anchors are counted before the shuffle; the join back is one that AQE can
+    split when an anchor is very frequent.
     """
-    schema = "g bigint, c1 bigint, c2 bigint, doc bigint, kid bigint, at bigint"
+    names = ["g", "c1", "c2", "kid", "at"] + ["doc"] * with_doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -168,14 +168,19 @@ def repeated_segments(rows: DataFrame, symbols: Callable, window: int, gram: int
             doc, kid = (batch.column(c).to_numpy() for c in ("doc", "kid"))
             values, bounds = symbols(texts)
             for s in segments_of(values, bounds, window, gram):
-                arrays = [s["g"].view(np.int64), s["c1"].view(np.int64), s["c2"].view(np.int64), doc[s["text"]], kid[s["text"]], pack(s["start"], s["windows"], s["anchor"])]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["g", "c1", "c2", "doc", "kid", "at"])
+                arrays = [s["g"].view(np.int64), s["c1"].view(np.int64), s["c2"].view(np.int64), kid[s["text"]], pack(s["start"], s["windows"], s["anchor"]), doc[s["text"]]]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays[: len(names)]], names=names)
 
-    found = rows.select("doc", "kid", "text").mapInArrow(run, schema)
-    anchors = found.select("g", "c1").groupBy("g").agg(F.count(F.lit(1)).alias("total"), (F.min("c1") != F.max("c1")).alias("mixed")).where("total > 1")
+    found = rows.select("doc", "kid", "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    anchors = found.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("g")
     return materialise(found.join(anchors, "g"))
 
 
+def branching(unique: DataFrame) -> DataFrame:
+    """Distinct segments whose anchor is also that of a different segment, with the number of those ``variants``."""
+    return unique.join(unique.groupBy("g").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1"), "g")
+
+
 def segment_texts(rows: DataFrame, wanted: DataFrame, run: Callable, schema: str) -> DataFrame:
     """Run ``run`` over (text, array of wanted segments) of each document that has some."""
     fields = [c for c in wanted.columns if c != "kid"]

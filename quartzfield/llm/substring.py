@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .segments import Rolling, cut_spans, first_window, keyed, repeated_segments, segment_texts, union_of, unpack, window_count, word_symbols
+from .segments import Rolling, branching, cut_spans, first_window, keyed, repeated_segments, segment_texts, union_of, unpack, window_count, word_symbols
 
-_KEY = ["g", "c1", "c2"]
+_KEY = ["c1", "c2"]
 
 
 def repeated_spans(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """``kid, start, end``: words covered by a window that also starts in a document with a smaller id."""
-    segments = repeated_segments(rows, word_symbols, window, gram)
-    paths = segments.groupBy(*_KEY).agg(F.min("doc").alias("first"), F.min_by("kid", "doc").alias("kid"), F.min_by("at", "doc").alias("at"), F.max("mixed").alias("mixed"))
+    segments = repeated_segments(rows, word_symbols, window, gram, with_doc=True)
+    paths = segments.groupBy(*_KEY).agg(F.min("g").alias("g"), F.min("doc").alias("first"), F.min_by("kid", "doc").alias("kid"), F.min_by("at", "doc").alias("at"))
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -42,8 +42,8 @@ def repeated_spans(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 columns += [np.repeat(np.array([w[c] for w in wanted], np.int64), count) for c in (*_KEY, "first")]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["e1", "e2", "offset", *_KEY, "first"])
 
-    branching = paths.where("mixed").select("kid", "at", "first", *_KEY)
-    edges = segment_texts(rows, branching, unfold, "e1 bigint, e2 bigint, offset int, g bigint, c1 bigint, c2 bigint, first bigint")
+    forks = branching(paths).select("kid", "at", "first", *_KEY)
+    edges = segment_texts(rows, forks, unfold, "e1 bigint, e2 bigint, offset int, c1 bigint, c2 bigint, first bigint")
     shared = edges.groupBy("e1", "e2").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("e1", "e2", "least")
     later = edges.join(shared, ["e1", "e2"]).where("first > least").groupBy(*_KEY).agg(F.min("offset").alias("from"), F.max("offset").alias("to"))
     verdict = paths.select(*_KEY, "first").join(later, _KEY, "left")
