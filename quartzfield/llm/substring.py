@@ -2,7 +2,7 @@
 
 Edges are the k-mers of ``window`` words. Runs of edges with one anchor are one path (``segments``). Where all paths through an
 anchor are equal, the node does not branch and the path stays compacted: its first document is that of each of its edges. Where
-paths differ, the node branches and its paths are unfolded into single edges, which are joined on their hash. The kept
+paths differ, the node branches and its paths are unfolded into single edges, which meet on their hash. The kept
 source coordinates then give the words that each document loses.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -44,8 +44,8 @@ def repeated_spans(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
     forks = branching(paths).select("kid", "at", "first", *_KEY)
     edges = segment_texts(rows, forks, unfold, "e1 bigint, e2 bigint, offset int, c1 bigint, c2 bigint, first bigint")
-    shared = edges.groupBy("e1", "e2").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("e1", "e2", "least")
-    later = edges.join(shared, ["e1", "e2"]).where("first > least").groupBy(*_KEY).agg(F.min("offset").alias("from"), F.max("offset").alias("to"))
+    # one shuffle of the edges; Spark spills the rows of an edge that very many paths share
+    later = edges.withColumn("least", F.min("first").over(Window.partitionBy("e1", "e2"))).where("first > least").groupBy(*_KEY).agg(F.min("offset").alias("from"), F.max("offset").alias("to"))
     verdict = paths.select(*_KEY, "first").join(later, _KEY, "left")
     own = F.col("doc") == F.col("first")
     start = F.when(own, first_window() + F.col("from")).otherwise(first_window())
