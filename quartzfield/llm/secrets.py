@@ -8,17 +8,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import materialise, slices, text_of
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-_DIGIT = re.compile(r"[0-9]")
 _EDGE = ".=-_/"  # not part of a candidate at its ends, unless as padding
 KINDS = ("assign", "access", "hex", "cnn")
 
@@ -26,6 +26,9 @@ KINDS = ("assign", "access", "hex", "cnn")
 BEFORE, INSIDE, AFTER = 16, 48, 8
 _WIDTH = BEFORE + INSIDE + AFTER
 
+#: Lower edges of the probability bins in which scores are counted, 16 to a unit of the logit.
+EDGES = np.concatenate([[0.0], 1 / (1 + np.exp(-np.arange(-480, 480) / 16))])
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind no., end) of the pattern findings, leftmost and non-overlapping within each kind."""
@@ -40,14 +43,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of 12 or more characters of the secret alphabet that hold a digit, without punctuation at their ends."""
+    """Runs of 12 or more characters of the secret alphabet, without punctuation at their ends."""
     for m in _RUN.finditer(text):
-        if _DIGIT.search(m[0]):
-            run = m[0].rstrip(".-_/")
-            start = m.start() + len(run) - len(run.lstrip(_EDGE))
-            end = m.start() + len(run)
-            if end - start >= 12:
-                yield start, end
+        run = m[0].rstrip(".-_/")
+        start = m.start() + len(run) - len(run.lstrip(_EDGE))
+        end = m.start() + len(run)
+        if end - start >= 12:
+            yield start, end
 
 
 def windows_of(text: str, start: int, end: int) -> list[str]:
@@ -75,6 +77,7 @@ class CharCnn:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    measured: tuple[int, int] = (0, 0)  # positives that reach the threshold, of how many that it was set on
 
     SPAN = 5
 
@@ -139,8 +142,8 @@ class CharCnn:
             np.add.at(embed, x[:, s : s + dcols.shape[1]], dcols[:, :, s])
         return {"embed": embed, "kernel": kernel, "bias": grad.sum((0, 1)), "out": pooled.T @ d}, float(d.sum())
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling on held-out examples; the threshold keeps ``recall`` of their positives and is 0.5 at least."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Platt scaling on examples that did not train the network."""
         z = self.logits(x)
         a, b = 1.0, 0.0
         for _ in range(200):
@@ -153,46 +156,114 @@ class CharCnn:
             if abs(move).sum() < 1e-9:
                 break
         self.scale, self.shift = float(max(a, 1e-3)), float(b)
-        good = np.sort(self.probability(x[y > 0]))
-        if len(good):
-            self.threshold = max(0.5, float(good[int((1 - recall) * len(good))]))
+
+    def keep_recall(self, counts: dict[int, int], recall: float) -> None:
+        """Set the threshold to the highest edge of ``EDGES`` that the share ``recall`` of the counted positives reaches."""
+        total = above = sum(counts.values())
+        for k in sorted(counts):
+            self.threshold, self.measured = float(EDGES[k]), (above, total)
+            above -= counts[k]
+            if above < recall * total:
+                break
+
+
+def _label(spans: list[tuple[int, int, int]], a: int, b: int) -> int:
+    """1 if the candidate stands in a base finding or holds one."""
+    return int(any(s <= a and b <= e or a <= s and e <= b for s, _, e in spans))
+
+
+def _bucket(text: str, start: int, end: int) -> int:
+    """One of 8 by the hash of the candidate: 0 and 1 never train or calibrate, 2 and 3 calibrate, the others train."""
+    return xxhash.xxh3_64_intdigest(text[start:end].encode("utf-8", "surrogatepass")) & 7
 
 
 def labelled_candidates(df: DataFrame, text_col: str, max_examples: int) -> DataFrame:
-    """``example, label``: ``max_examples`` windows of each label at most, chosen by hash; label 1 is a candidate in a base finding."""
+    """``example, label, bucket``: ``max_examples`` windows of each label at most, those of the smallest hashes, none of buckets 0 and 1.
+
+    Each task keeps its own smallest hashes, which hold all of the smallest of the table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict[bytes, tuple[int, int]]] = [{}, {}]
+
+        def cut(label: int) -> None:
+            kept[label] = dict(sorted(kept[label].items(), key=lambda e: (e[1][0], e[0]))[:max_examples])
+
         for batch in slices(batches, "text"):
-            examples, labels = [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
                 for a, b in candidates(text):
-                    label = int(any(s <= a and b <= e or a <= s and e <= b for s, _, e in spans))
+                    bucket = _bucket(text, a, b)
+                    if bucket < 2:
+                        continue
+                    label = _label(spans, a, b)
                     for w in windows_of(text, a, b):
-                        examples.append(w.encode("utf-8", "surrogatepass"))
-                        labels.append(label)
-            yield pa.RecordBatch.from_arrays([pa.array(examples, pa.binary()), pa.array(labels, pa.int32())], names=["example", "label"])
+                        example = w.encode("utf-8", "surrogatepass")
+                        seen = (xxhash.xxh3_64_intdigest(example) - (1 << 63), bucket)
+                        kept[label][example] = min(seen, kept[label].get(example, seen))
+                    if len(kept[label]) > 4 * max_examples:
+                        cut(label)
+        for label in (0, 1):
+            cut(label)
+            columns = [list(kept[label]), [h for h, _ in kept[label].values()], [label] * len(kept[label]), [k for _, k in kept[label].values()]]
+            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["example", "hash", "label", "bucket"])
+
+    seen = materialise(df.select(text_of(text_col).alias("text")).mapInArrow(run, "example binary, hash bigint, label int, bucket int"))
+    once = seen.groupBy("example", "hash", "label").agg(F.min("bucket").alias("bucket"))
+    picks = [once.where(F.col("label") == label).orderBy("hash", "example").limit(max_examples) for label in (0, 1)]
+    return picks[0].unionByName(picks[1]).select("example", "label", "bucket")
+
+
+def positive_scores(df: DataFrame, net: CharCnn, used: set[bytes], text_col: str = "text") -> dict[int, int]:
+    """How many candidates of label 1 have their probability in each bin of ``EDGES``, over the whole table but those with a window in ``used``."""
+    shared = df.sparkSession.sparkContext.broadcast((net, used))
 
-    seen = df.select(text_of(text_col).alias("text")).mapInArrow(run, "example binary, label int").distinct()
-    picks = [seen.where(F.col("label") == label).orderBy(F.xxhash64("example"), "example").limit(max_examples) for label in (0, 1)]
-    return picks[0].unionByName(picks[1])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, fitted = shared.value
+        counts = np.zeros(len(EDGES), np.int64)
+        for batch in slices(batches, "text"):
+            windows, first = [], []
+            for text in batch.column("text").to_pylist():
+                spans = base_spans(text)
+                for a, b in candidates(text) if spans else ():
+                    if _label(spans, a, b):
+                        own = windows_of(text, a, b)
+                        if not any(w.encode("utf-8", "surrogatepass") in fitted for w in own):
+                            first.append(len(windows))
+                            windows += own
+            if windows:
+                p = np.maximum.reduceat(model.probability(encode(windows)), first)
+                np.add.at(counts, np.searchsorted(EDGES, p, "right") - 1, 1)
+        bins = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int32)), pa.array(counts[bins])], names=["bin", "n"])
+
+    rated = df.select(text_of(text_col).alias("text")).mapInArrow(run, "bin int, n bigint")
+    return {r.bin: r.n for r in rated.groupBy("bin").agg(F.sum("n").alias("n")).collect()}
 
 
 def fit_secrets(df: DataFrame, text_col: str = "text", max_examples: int = 3000, recall: float = 0.99) -> CharCnn | None:
-    """Train on labelled findings: ``max_examples`` candidates inside base findings and as many outside them at most.
+    """Train on labelled findings: ``max_examples`` windows inside base findings and as many outside them at most.
 
-    Three quarters (by hash order) train the network, one quarter calibrates it and sets the threshold that keeps ``recall`` of its
-    positives. None if one of the labels has fewer than 8 examples.
+    By the hash of the candidate a third of these examples calibrate the network, the others train it. The threshold is the one that
+    keeps ``recall`` of all occurrences of candidates in base findings that neither trained nor calibrated it (a quarter of the candidates
+    never does), whatever it comes to; if there are none, that of the calibrating ones. None if one of the labels has fewer than 6
+    examples, or none to train or to calibrate.
     """
-    rows = sorted((r.label, bytes(r.example)) for r in labelled_candidates(df, text_col, max_examples).collect())
-    y = np.array([label for label, _ in rows], float)
-    if min((y > 0).sum(), (y == 0).sum()) < 8:
+    rows = sorted((bytes(r.example), r.label, r.bucket) for r in labelled_candidates(df, text_col, max_examples).collect())
+    y = np.array([label for _, label, _ in rows], float)
+    fits = np.array([bucket > 3 for *_, bucket in rows], bool)
+    if min((y > 0).sum(), (y == 0).sum()) < 6 or min((y[some] == v).sum() for some in (fits, ~fits) for v in (0, 1)) == 0:
         return None
-    x = encode([e.decode("utf-8", "surrogatepass") for _, e in rows])
-    held = np.arange(len(y)) % 4 == 0
+    x = encode([e.decode("utf-8", "surrogatepass") for e, *_ in rows])
     net = CharCnn.new()
-    net.fit(x[~held], y[~held])
-    net.calibrate(x[held], y[held], recall)
+    net.fit(x[fits], y[fits])
+    net.calibrate(x[~fits], y[~fits])
+    counts = positive_scores(df, net, {e for e, *_ in rows}, text_col)
+    if not counts:
+        at = np.searchsorted(EDGES, net.probability(x[~fits & (y > 0)]), "right") - 1
+        counts = dict(zip(*(c.tolist() for c in np.unique(at, return_counts=True)), strict=True))
+    net.keep_recall(counts, recall)
     return net
 
 
@@ -200,7 +271,7 @@ def scan_secrets(df: DataFrame, net: CharCnn | None, id_col: str = "doc_id", tex
     """One row per input row: ``id_col, findings``, an array of (kind, start, end, probability) by start, then kind.
 
     The pattern kinds ``assign``, ``access`` and ``hex`` have probability 1; ``cnn`` are other candidates whose probability reaches the
-    network's threshold and that overlap no pattern finding. Places are code points, ends exclusive. Null text counts as
+    network's threshold and that no pattern finding covers whole. Places are code points, ends exclusive. Null text counts as
     empty and has no findings; ids may be null or repeat; an empty table gives an empty result; a text of any length is read whole.
     Without a network only patterns are used. No rows move.
     """
@@ -209,7 +280,7 @@ def scan_secrets(df: DataFrame, net: CharCnn | None, id_col: str = "doc_id", tex
 
     def more(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
         for a, b in candidates(text):
-            if not any(s < b and a < e for s, _, e in spans):
+            if not any(s <= a and b <= e for s, _, e in spans):
                 yield a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
