@@ -11,10 +11,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialise, text_of
 
 UNKNOWN = "unknown"
 
+#: Bins of a probability in which the scores of lines are counted.
+BINS = 100_000
+
 #: Usual wording of licence notices by family (fixed values); they are the labelled paragraphs and the templates.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": (
@@ -87,42 +90,52 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class LicenseModel:
-    """Fitted features and weights, the family of each class, the probability that a family must reach, and the cue words.
-
-    Cues are the words that templates have and the class ``unknown`` has not; a paragraph without any is ``unknown``.
-    """
+    """Fitted features and weights, the family of each class, and the probability that a family must reach."""
 
     stages: PipelineModel
     families: list[str]
-    cues: list[str]
     threshold: float = 0.5
 
 
 def fit_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_paragraphs: int = 4000, features: int = 1 << 13, false_alarms: float = 0.001) -> LicenseModel:
-    """Train on the templates and on a bounded sample of the corpus: ``max_paragraphs`` lines chosen by hash.
+    """Train on the templates and on a bounded sample of the corpus: ``max_paragraphs / 2`` different lines chosen by hash.
 
-    Lines with licence words are taken out of that sample; half of the others train the class ``unknown``; on the other half
-    the threshold is set so that at most the share ``false_alarms`` of them reach it, 0.5 at least. Templates weigh as much as the
-    class ``unknown``.
+    Only lines without licence words count, and half of those (by hash) never train. The sample trains the class ``unknown``; on all
+    lines of the corpus without licence words that did not train, the threshold is set so that at most the share ``false_alarms`` of them
+    reach it, 0.5 at least. Templates weigh as much as the class ``unknown``.
     """
     spark = df.sparkSession
     families = [UNKNOWN, *sorted(TEMPLATES)]
     known = [(float(families.index(f)), t) for f, texts in TEMPLATES.items() for t in texts]
     licence_words = r"(?i)licen|copyright|rights|\bgnu\b|\bgpl|apache|\bmit license|\bbsd\b|mozilla|creative commons|\bcc\b|\bcc0|public domain|redistribut|permission"
-    lines = lines_of(df, id_col, text_col).select("body").where(F.length("body") > 0)
-    sample = lines.orderBy(F.xxhash64("body"), "body").limit(max_paragraphs).distinct().where(~F.col("body").rlike(licence_words))
-    sample = sample.select(tokens(F.col("body")).alias("words"), (F.pmod(F.xxhash64("body", F.lit(1)), F.lit(2)) == 0).alias("held")).where(F.size("words") > 0).coalesce(1).persist()
+    lines = lines_of(df, id_col, text_col).select("body").where((F.length("body") > 0) & ~F.col("body").rlike(licence_words))
+    hashed = lines.where(F.pmod(F.xxhash64("body", F.lit(1)), F.lit(2)) == 1).select("body", F.xxhash64("body").alias("h"))
+    sample = materialise(_smallest(hashed, max_paragraphs // 2))
     positive = spark.createDataFrame(known, "label double, body string").select("label", tokens(F.col("body")).alias("words"), F.lit(max(1.0, max_paragraphs / 2 / len(known))).alias("weight")).coalesce(1)
-    negative = sample.where("NOT held").select(F.lit(0.0).alias("label"), "words", F.lit(1.0).alias("weight"))
-    usual = negative.select(F.explode("words").alias("w")).distinct()
-    cues = [r.w for r in positive.select(F.explode("words").alias("w")).distinct().join(usual, "w", "left_anti").orderBy("w").collect()]
+    negative = sample.select(tokens(F.col("body")).alias("words")).where(F.size("words") > 0).select(F.lit(0.0).alias("label"), "words", F.lit(1.0).alias("weight"))
     hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True)
     grams = positive.unionByName(negative).coalesce(1).withColumn("grams", ngrams(F.col("words")))
     fitted = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=30, weightCol="weight").fit(hashing.transform(grams))
-    model = LicenseModel(PipelineModel([hashing, fitted]), families, cues)
-    limit = _rated(sample.where("held"), model).agg(F.percentile("p", F.lit(1 - false_alarms))).first()[0]
-    sample.unpersist()
-    return replace(model, threshold=max(0.5, limit or 0.0))
+    model = LicenseModel(PipelineModel([hashing, fitted]), families)
+    rest = lines.join(F.broadcast(sample.select("body")), "body", "left_anti").select(tokens(F.col("body")).alias("words")).where(F.size("words") > 0)
+    counts = {r.bin: r.n for r in _rated(rest, model).groupBy(F.ceil(F.col("p") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return replace(model, threshold=max(0.5, quiet_threshold(counts, false_alarms)))
+
+
+def _smallest(hashed: DataFrame, count: int) -> DataFrame:
+    """The ``count`` different lines of the smallest hashes; copies are gone before they are counted."""
+    return hashed.groupBy("h", "body").agg(F.lit(1).alias("one")).orderBy("h", "body").limit(count).select("body")
+
+
+def quiet_threshold(counts: dict[int, int], share: float) -> float:
+    """The least bin edge that at most ``share`` of the counted lines exceed; bin k holds probabilities above (k - 1) / BINS up to k / BINS."""
+    above, allowed, edge = 0, share * sum(counts.values()), 0
+    for k in sorted(counts, reverse=True):
+        above += counts[k]
+        if above > allowed:
+            edge = k + 1e-6
+            break
+    return edge / BINS
 
 
 def _rated(words: DataFrame, model: LicenseModel) -> DataFrame:
@@ -137,13 +150,13 @@ def _rated(words: DataFrame, model: LicenseModel) -> DataFrame:
 def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", least_overlap: float = 0.6) -> DataFrame:
     """One row per paragraph that a licence family claims: ``id_col, paragraph, family, probability, overlap, confirmed, body``.
 
-    A paragraph (line of the text, counted from 0) is rated if it has a cue word and claimed where the likeliest family reaches the model's threshold; all others are
+    A paragraph (line of the text, counted from 0) is rated if it has words and claimed where the likeliest family reaches the model's threshold; all others are
     of the class ``unknown`` and give no row. ``overlap`` is the largest share of a template of that family whose words and word
     pairs stand in the paragraph; from ``least_overlap`` on the claim is confirmed. Null and empty texts and lines without words give
     no rows; ids may be null or repeat, each row is read by itself; an empty table gives an empty result. No rows move.
     """
-    cued = lines_of(df, id_col, text_col).withColumn("words", tokens(F.col("body"))).where(F.arrays_overlap("words", F.array(*map(F.lit, model.cues))))
-    claimed = _rated(cued, model).where(F.col("p") >= model.threshold)
+    worded = lines_of(df, id_col, text_col).withColumn("words", tokens(F.col("body"))).where(F.size("words") > 0)
+    claimed = _rated(worded, model).where(F.col("p") >= model.threshold)
     grams = ngrams(F.col("words"))
     overlaps = [
         F.when(F.col("family") == family, F.greatest(F.lit(0.0), *(F.size(F.array_intersect(grams, g)) / F.size(F.array_distinct(g)) for g in (ngrams(tokens(F.lit(t))) for t in texts))))

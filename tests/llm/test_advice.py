@@ -2,7 +2,9 @@
 
 import random
 
-from quartzfield.llm import secrets
+from pyspark.sql import functions as F
+
+from quartzfield.llm import licenses, secrets
 
 
 def test_secret_threshold_keeps_recall(make):
@@ -35,3 +37,24 @@ def test_secret_candidates_are_all_rated(make):
     found = secrets.scan_secrets(make([(1, text)]), net).first().findings
     assert [text[f.start : f.end] for f in found if f.kind == "cnn"] == ["correcthorsebatterystaple", "mytoken=abcdefgh12345678"]
     assert [text[f.start : f.end] for f in found if f.kind == "assign"] == ["token=abcdefgh12345678", "token: abcdefghijklmnop"]
+
+
+def test_licence_rating_does_not_depend_on_common_words(make):
+    words = "released into the public domain notes were later by a small library".split()
+    plain = [(100 + i, " ".join(r.sample([w for w in words if w != "domain" or i % 2], 6)) + f" {i}") for r in [random.Random(6)] for i in range(400)]
+    plain = [(i, t.replace("public domain", "domain public")) for i, t in plain]
+    df = make([(1, "Released into the public domain."), *plain])
+    got = licenses.scan_licenses(df, licenses.fit_licenses(df)).where("doc_id = 1").collect()
+    assert [(r.family, r.confirmed) for r in got] == [("cc0", True)]
+
+
+def test_licence_sample_holds_different_lines(spark):
+    df = spark.createDataFrame([("copied line",)] * 500 + [(f"line {i}",) for i in range(50)], "body string").withColumn("h", F.xxhash64("body"))
+    for h in (df, df.withColumn("h", F.when(F.col("body") == "copied line", F.lit(-(1 << 63)).cast("bigint")).otherwise(F.col("h")))):
+        assert licenses._smallest(h, 40).distinct().count() == 40
+
+
+def test_licence_threshold_counts_every_line():
+    counts = {10: 900, 60_000: 99, 90_000: 1}
+    assert 0.6 < licenses.quiet_threshold(counts, 0.001) < 0.9 and 0.1e-3 < licenses.quiet_threshold(counts, 0.1) < 0.6
+    assert licenses.quiet_threshold({}, 0.001) == 0
