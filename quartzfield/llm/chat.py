@@ -56,37 +56,42 @@ def locate(turns: list[tuple[str, str]], render: Render, context: int | None) ->
     """Render a conversation and find (start, end, text start, text end) of each turn, in code points.
 
     The prefixes with and without a turn are rendered and compared; the same turn without text and the prompt of its role tell
-    where its text begins and ends. With ``context`` only so many turns before it are rendered along, which takes time
-    linear in the turns; the whole rendering must then equal the pieces, else all prefixes are rendered in full.
+    where its text begins and ends. Without ``context`` every prefix is rendered in full, in time quadratic in the turns. With it only so
+    many turns before each are rendered along, in linear time, which is for templates known to look no further back: the whole
+    rendering must then equal the pieces, else all prefixes are rendered in full, but rewriting that the whole undoes is not seen.
     Raises HistoryRewritten if a prefix does not begin as the one before it.
     """
     spans, pieces, at = [], [], 0
+    whole = render([], None)
     for i, (role, text) in enumerate(turns):
         before = turns[: i] if context is None else turns[max(0, i - context) : i]
-        base, full = render(before, None), render([*before, (role, text)], None)
+        base = whole if context is None else render(before, None)
+        full = whole = render([*before, (role, text)], None)
         head, empty = render(before, role), render([*before, (role, "")], None)
         if not (full.startswith(base) and head.startswith(base) and empty.startswith(base)):
             if context is None:
                 raise HistoryRewritten(i)
             return locate(turns, render, None)
         size, first = len(full) - len(base), len(head) - len(base)
-        pieces.append(full[len(base) :])
+        if context is not None:
+            pieces.append(full[len(base) :])
         spans.append((at, at + size, at + first, at + first + len(full) - len(empty)))
         at += size
-    whole = render(turns, None)
-    if context is not None and "".join(pieces) != whole:
-        return locate(turns, render, None)
+    if context is not None:
+        whole = render(turns, None)
+        if "".join(pieces) != whole:
+            return locate(turns, render, None)
     return whole, spans
 
 
-def format_chat(df: DataFrame, render: Render = marked_turns, context: int | None = 1, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
+def format_chat(df: DataFrame, render: Render = marked_turns, context: int | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: ``conv_col, formatted, turns, loss, rewritten_at``.
 
     Turns are ordered by their number, then role and text; repeated rows are turns of their own. Null texts and roles count as
     empty, a null turn number comes first, rows with a null conversation id form one conversation. ``turns`` has for each turn its
     role and the code points of the turn and of its text in ``formatted``; ``loss`` are the text spans of ``loss_role``.
     If the template rewrites history, ``rewritten_at`` is the first turn that does and there are no spans. ``context`` says how
-    many earlier turns a turn's rendering may depend on (None: any number). An empty table gives an
+    many earlier turns a turn's rendering may depend on (None: any number, all prefixes are rendered and compared). An empty table gives an
     empty result; other columns are not read. A conversation's rows are gathered in lists before the shuffle, so one of many
     turns is as many rows as tasks that hold some of it; it must fit a task, as its formatted text does.
     """

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quartzfield.llm import licenses, secrets
+from quartzfield.llm import chat, licenses, secrets
 
 
 def test_secret_threshold_keeps_recall(make):
@@ -58,3 +58,14 @@ def test_licence_threshold_counts_every_line():
     counts = {10: 900, 60_000: 99, 90_000: 1}
     assert 0.6 < licenses.quiet_threshold(counts, 0.001) < 0.9 and 0.1e-3 < licenses.quiet_threshold(counts, 0.1) < 0.6
     assert licenses.quiet_threshold({}, 0.001) == 0
+
+
+def test_chat_detects_rewriting_that_the_end_undoes(spark):
+    def forgetful(turns, prompt_role=None):  # hides all but the last two turns while a user speaks last
+        hides = bool(turns) and turns[-1][0] == "user"
+        out = "".join(f"<{r}>{'...' if hides and k < len(turns) - 2 else t}\n" for k, (r, t) in enumerate(turns))
+        return out if prompt_role is None else out + f"<{prompt_role}>"
+
+    df = spark.createDataFrame([(1, k, ("user", "assistant")[k % 2], f"text {k}") for k in range(6)], "conv_id bigint, turn bigint, role string, text string")
+    got = chat.format_chat(df, forgetful).first()
+    assert got.rewritten_at == 2 and not got.turns and not got.loss
