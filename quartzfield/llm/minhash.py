@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, text_of
 from .components import connected_components
-from .segments import mix, word_symbols
+from .segments import WordHashes, mix
 
 _U = np.uint64
 _WORDS = 16  # of 64 bits, in a bit map
@@ -30,14 +30,15 @@ def bit_map(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``size``-word shingles; of fewer words, that of the whole sequence."""
+    """Sorted distinct 64-bit hashes of the ``size``-word shingles, of fewer words that of the whole sequence. Words are two numbers each, both count."""
     n = len(words)
     if not n:
-        return words
+        return np.zeros(0, _U)
     size = min(size, n)
     out = np.full(n - size + 1, _U(size))
     for i in range(size):
-        out = mix(out * _U(0x9E3779B97F4A7C15) + words[i : n - size + 1 + i])
+        for half in (0, 1):
+            out = mix(out * _U(0x9E3779B97F4A7C15) + words[i : n - size + 1 + i, half])
     return np.unique(out)
 
 
@@ -60,11 +61,13 @@ class Signatures:
         return out
 
 
+_HASHES = WordHashes()
+
+
 def sets_of(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
     """Shingle sets of texts; A-Z count as a-z, words are runs of bytes other than ASCII white space."""
-    words, first = word_symbols([(t or "").encode().lower() for t in texts])
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        yield shingle_set(words[a:b], size)
+    for t in texts:
+        yield shingle_set(np.frombuffer(_HASHES.of((t or "").encode().lower()), _U).reshape(-1, 2), size)
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, collections: int, rows: int) -> DataFrame:
@@ -72,7 +75,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, collection
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Signatures(collections, rows)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             n, prints, bands = [], [], []
             for s in sets_of(batch.column("text").to_pylist(), shingle):
                 n.append(len(s))
@@ -89,7 +92,7 @@ def shingle_arrays(df: DataFrame, id_col: str, text_col: str, shingle: int, want
     """``node, n, shingles, bits`` of the documents whose id is in ``wanted`` (node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             sets = list(sets_of(batch.column("text").to_pylist(), shingle))
             arrays = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bit_map(s) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), *arrays], names=["node", "n", "shingles", "bits"])

@@ -2,8 +2,8 @@
 
 A window is ``window`` consecutive symbols (bytes or words) of one document. Its anchor is the leftmost of its ``gram``-symbol
 substrings with the lowest hash, so equal windows have equal anchors wherever they stand. Consecutive windows with one anchor form
-a segment, about 2 / (window - gram) of them for each symbol. Equal segments are compared as one row by two hashes; only segments
-that share their anchor with a different segment are looked into.
+a segment, about 2 / (window - gram) of them for each symbol. Segments are equal where the 128-bit hashes of their whole content are
+(xxh3 over the bytes; a word counts as the 128-bit hash of its bytes); only segments that share their anchor with a different one are looked into.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,24 +22,18 @@ _CHUNK = 1 << 17  # symbols that are scanned at once
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _rng.integers(0, 1 << 64, 256, dtype=_U)
-_BASES = [int(x) | 1 for x in _rng.integers(1 << 32, 1 << 63, 2, dtype=_U)]
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base modulo 2**64 and of its inverse."""
-    size = max(2 * _CHUNK, 1 << (n - 1).bit_length())
-    if (which, size) not in _POWERS:
-        base = _BASES[which]
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            out = np.full(size, _U(b))
+_BASE = int(_rng.integers(1 << 32, 1 << 63, dtype=_U)) | 1
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of the base modulo 2**64 and of its inverse, one table for all pieces."""
+    if not _POWERS:
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.full(2 * _CHUNK + 1, _U(b))
             out[0] = _U(1)
-            pair.append(np.multiply.accumulate(out))
-        _POWERS[which, size] = tuple(pair)
-    return _POWERS[which, size]
+            _POWERS.append(np.multiply.accumulate(out))
+    return _POWERS
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,41 +43,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Rolling:
-    """Polynomial hashes modulo 2**64 of all substrings of an array of 64-bit symbols."""
+def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
+    """Rolling hashes of all runs of ``k`` symbols of a piece. They choose anchors only: equal runs have equal hashes, nothing else is asked of them."""
+    power, inverse = _powers()
+    sums = np.zeros(len(symbols) + 1, _U)
+    np.cumsum(symbols * power[: len(symbols)], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * inverse[: len(sums) - k])
+
+
+class Symbols:
+    """The symbols of some texts: a number for each (to choose anchors), their bytes (to compare), and where each text starts (and the last one ends)."""
+
+    def __init__(self, numbers: np.ndarray, data: bytes, unit: int, bounds: np.ndarray):
+        self.numbers, self.data, self.unit, self.bounds = numbers, data, unit, bounds
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """128-bit hashes (two columns) of runs of symbols, over the bytes of the run itself."""
+        view, digest = memoryview(self.data), xxhash.xxh3_128_digest
+        places = zip((start * self.unit).tolist(), (end * self.unit).tolist(), strict=True)
+        return np.frombuffer(b"".join([digest(view[a:b]) for a, b in places]), np.int64).reshape(-1, 2)
+
+
+def _bounds(sizes: list[int]) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(np.array(sizes, np.int64), dtype=np.int64)))
+
+
+def byte_symbols(texts: list[bytes]) -> Symbols:
+    """The bytes of texts."""
+    data = b"".join(texts)
+    return Symbols(_BYTES[np.frombuffer(data, np.uint8)], data, 1, _bounds([len(t) for t in texts]))
 
-    def __init__(self, symbols: np.ndarray, which: int = 0):
-        power, self.inverse = _powers(which, len(symbols) + 1)
-        self.sums = np.zeros(len(symbols) + 1, _U)
-        np.cumsum(symbols * power[: len(symbols)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+class WordHashes(dict):
+    """128-bit hashes of words, each from all of its bytes. Those of short words are remembered, up to a bound."""
 
-    def grams(self, k: int) -> np.ndarray:
-        return mix((self.sums[k:] - self.sums[:-k]) * self.inverse[: len(self.sums) - k])
+    def __init__(self, bound: int = 200_000):
+        super().__init__()
+        self.bound = bound
 
+    def __missing__(self, word: bytes) -> bytes:
+        found = xxhash.xxh3_128_digest(word)
+        if len(word) <= 64:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = found
+        return found
 
-def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit value for each byte of the texts, and where each text starts (and the last one ends)."""
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    return _BYTES[raw], np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64))).astype(np.int64)
+    def of(self, text: bytes) -> bytes:
+        """16 bytes for each word (run of bytes other than ASCII white space)."""
+        return b"".join(map(self.__getitem__, text.split()))
 
 
-def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Joined bytes, start and end of each word in them, and the first word of each text (and the number of all)."""
-    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    solid = np.concatenate(([False], ~_SPACE[raw], [False]))
-    edge = np.flatnonzero(solid[1:] != solid[:-1])
-    start, end = edge[::2], edge[1::2]
-    begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
-    return raw, start, end, np.searchsorted(start, begins)
+_WORDS = WordHashes()
 
 
-def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word of the texts, and the first word of each text (and the number of all)."""
-    raw, start, end, first = word_spans(texts)
-    return Rolling(_BYTES[raw]).of(start, end), first
+def word_symbols(texts: list[bytes]) -> Symbols:
+    """The words of texts, as 128-bit hashes."""
+    parts = [_WORDS.of(t) for t in texts]
+    data = b"".join(parts)
+    return Symbols(np.frombuffer(data, _U)[::2], data, 16, _bounds([len(p) // 16 for p in parts]))
 
 
 def _pieces(bounds: np.ndarray, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -103,13 +122,13 @@ def _pieces(bounds: np.ndarray, window: int) -> Iterator[list[tuple[int, int, in
         yield group
 
 
-def segments_of(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
-    """Segments of texts: text no., first window's start in it, number of windows, anchor's offset from that start, hashes."""
+def segments_of(symbols: Symbols, window: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
+    """Segments of texts: text no., first window's start in it, number of windows, anchor's offset from that start, anchor, content hash."""
+    bounds = symbols.bounds
     for group in _pieces(bounds, window):
-        part = np.concatenate([symbols[a:b] for _, a, b in group])
-        offset = np.concatenate(([0], np.cumsum([b - a for _, a, b in group], dtype=np.int64)))
-        one, two = Rolling(part, 0), Rolling(part, 1)
-        grams = one.grams(gram)
+        part = np.concatenate([symbols.numbers[a:b] for _, a, b in group])
+        offset = _bounds([b - a for _, a, b in group])
+        grams = gram_hashes(part, gram)
         low = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=_U)
         span, width = 1, window - gram + 1
         while 2 * span <= width:
@@ -121,11 +140,12 @@ def segments_of(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int)
         anchor = (low[starts] & _U(0xFFFFFFFF)).astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         first, last = starts[new], starts[np.concatenate((new[1:], [len(starts)])) - 1]
-        end, anchor = last + window, anchor[new]
+        anchor = anchor[new]
         piece = np.searchsorted(offset, first, side="right") - 1
         text = np.array([i for i, _, _ in group])[piece]
-        shift = np.array([a for _, a, _ in group])[piece] - offset[piece] - bounds[text]
-        yield {"text": text, "start": first + shift, "windows": last - first + 1, "anchor": anchor - first, "g": grams[anchor], "c1": one.of(first, end), "c2": two.of(first, end)}
+        shift = np.array([a for _, a, _ in group])[piece] - offset[piece]
+        content = symbols.digests(first + shift, last + window + shift)
+        yield {"text": text, "start": first + shift - bounds[text], "windows": last - first + 1, "anchor": anchor - first, "g": grams[anchor].view(np.int64), "c1": content[:, 0], "c2": content[:, 1]}
 
 
 #: How a segment lies in its document: start << 20 | windows << 10 | offset of the anchor.
@@ -163,12 +183,11 @@ def repeated_segments(rows: DataFrame, symbols: Callable, window: int, gram: int
     names = ["g", "c1", "c2", "kid", "at"] + ["doc"] * with_doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             doc, kid = (batch.column(c).to_numpy() for c in ("doc", "kid"))
-            values, bounds = symbols(texts)
-            for s in segments_of(values, bounds, window, gram):
-                arrays = [s["g"].view(np.int64), s["c1"].view(np.int64), s["c2"].view(np.int64), kid[s["text"]], pack(s["start"], s["windows"], s["anchor"]), doc[s["text"]]]
+            for s in segments_of(symbols(texts), window, gram):
+                arrays = [s["g"], s["c1"], s["c2"], kid[s["text"]], pack(s["start"], s["windows"], s["anchor"]), doc[s["text"]]]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays[: len(names)]], names=names)
 
     found = rows.select("doc", "kid", "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
@@ -194,8 +213,8 @@ def documents(rows: DataFrame) -> DataFrame:
 
 
 def cut_spans(rows: DataFrame, spans: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """Run ``run`` over (id, text, spans) of each document, with or without spans (``kid, start, end``)."""
-    lists = spans.groupBy("kid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    """Run ``run`` over (id, text, spans) of each document, with or without spans (``kid, start, end`` and others)."""
+    lists = spans.groupBy("kid").agg(F.collect_set(F.struct(*[c for c in spans.columns if c != "kid"])).alias("spans"))
     return documents(rows).join(lists, "kid", "left").select("id", "text", "spans").mapInArrow(run, schema)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
-from .segments import Rolling, branching, cut_spans, first_window, keyed, repeated_segments, segment_texts, union_of, unpack, window_count, word_symbols
+from .segments import branching, cut_spans, first_window, keyed, repeated_segments, segment_texts, union_of, unpack, window_count, word_symbols
 
 _KEY = ["c1", "c2"]
 
@@ -29,16 +29,13 @@ def repeated_spans(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                values, _ = word_symbols([text.encode()])
-                low = min(unpack(w["at"])[0] for w in wanted)
-                high = max(sum(unpack(w["at"])[:2]) for w in wanted) + window
-                part = values[low:high]
-                one, two = Rolling(part, 0), Rolling(part, 1)
+                symbols = word_symbols([text.encode()])
                 where = [unpack(w["at"]) for w in wanted]
                 count = np.array([n for _, n, _ in where])
                 offset = np.concatenate([np.arange(n) for _, n, _ in where])
-                start = np.repeat(np.array([s - low for s, _, _ in where]), count) + offset
-                columns = [one.of(start, start + window).view(np.int64), two.of(start, start + window).view(np.int64), offset.astype(np.int32)]
+                start = np.repeat(np.array([s for s, _, _ in where]), count) + offset
+                edges = symbols.digests(start, start + window)
+                columns = [edges[:, 0], edges[:, 1], offset.astype(np.int32)]
                 columns += [np.repeat(np.array([w[c] for w in wanted], np.int64), count) for c in (*_KEY, "first")]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["e1", "e2", "offset", *_KEY, "first"])
 

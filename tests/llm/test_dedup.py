@@ -78,7 +78,7 @@ def removed_bytes(docs, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("seed,alphabet,window,gram,rows", [(1, "ab", 8, 3, 96), (2, "abcdé", 7, 3, 96), (3, "abc", 9, 4, 1), (4, "ab", 6, 3, 4)])
+@pytest.mark.parametrize("seed,alphabet,window,gram,rows", [(1, "ab", 8, 3, 100_000), (2, "abcdé", 7, 3, 100_000), (3, "abc", 9, 4, 1), (4, "ab", 6, 3, 4)])
 def test_suffix(make, seed, alphabet, window, gram, rows):
     docs = [(i, "".join(d)) for i, d in enumerate(random_docs(seed, 60, alphabet, 0, 50))] + [(99, "a" * 300)]
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(make(docs), window=window, gram=gram, group_rows=rows).collect())
@@ -93,19 +93,56 @@ def test_suffix_edges(messy, nothing):
 
 def test_intervals_and_repeats():
     assert sorted(prefix_intervals([2, 3, 2, 0, 1], 1)) == [(1, 4, 5), (2, 0, 3), (3, 1, 2)]
-    found = maximal_repeats([b"xxabcdefyy", b"zxabcdefyw", b"qqabcdqq"], [2, 2, 2], 4)
+    where = [(1, i, i, 1 << i, 1 << i) for i in range(3)]
+    found = maximal_repeats([b"xxabcdefyy", b"zxabcdefyw", b"qqabcdqq"], [2, 2, 2], 4, where)
     assert [f[:2] for f in found] == [(1, 7), (1, 7), (0, 4)]
-    names = [{n for n, _, _ in f[2]} for f in found]
-    assert names[0] == names[1] and len(names[0]) == 2 and names[2] < names[0]  # xabcdefy twice, abcd in all three
+    two, three = (1, 7, (2, 0, 1, 3, 3)), (0, 4, (3, 0, 2, 7, 7))  # xabcdefy twice, abcd in all three
+    assert set(found[0][2]) == set(found[1][2]) == {two, three} and found[2][2] == [three]
 
 
-def test_repeat_groups(make):
-    shared = "the quick brown fox jumps over"
-    docs = [(1, "aaaa " + shared + " bbbb"), (2, "cccc " + shared + " dddd"), (3, "nothing in common with those at all")]
-    got = repeat_groups(make(docs), window=20, gram=6).collect()
-    assert {r.doc_id for r in got} == {1, 2}
-    for r in got:
-        assert r.end - r.start >= 20 and docs[r.doc_id - 1][1][r.start : r.end] in docs[2 - r.doc_id][1]
+def maximal_by_brute_force(docs, window):
+    """Strings of ``window`` bytes or more with two places that lose one when extended, with all places."""
+    places = defaultdict(set)
+    for i, b in docs:
+        for s in range(len(b)):
+            for e in range(s + window, len(b) + 1):
+                places[b[s:e]].add((i, s))
+    text = dict(docs)
+    out = {}
+    for x, at in places.items():
+        before = {text[i][s - 1 : s] if s else (i, s) for i, s in at}
+        after = {text[i][s + len(x) : s + len(x) + 1] or (i, s) for i, s in at}
+        if len(at) > 1 and len(before) > 1 and len(after) > 1:
+            out[x] = at
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeat_groups(make, seed):
+    import random
+
+    r = random.Random(seed)
+    new = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    long, inner, line = new(150), new(90), new(30)
+    passage = long[:70] + inner + long[70:]  # inner stands elsewhere too, so does the line
+    docs = [(1, new(20) + passage + new(10)), (2, passage + new(40)), (3, new(30) + inner), (4, inner + new(5) + line), (5, line + new(9) + line + inner), (6, new(60)), (7, new(50) + passage)]
+    docs += [(8 + k, new(r.randint(0, 3)) + line + new(r.randint(0, 30))) for k in range(12)] + [(30, docs[0][1]), (31, new(80))]
+    got = defaultdict(set)
+    for x in repeat_groups(make(docs), window=20, gram=6).collect():
+        got[dict(docs)[x.doc_id].encode()[x.start : x.end]].add((x.doc_id, x.start))
+        assert x.places > 1
+    assert got == maximal_by_brute_force([(i, t.encode()) for i, t in docs], 20)
+
+
+@pytest.mark.parametrize("seed,alphabet", [(4, "ab"), (5, "abcd")])
+def test_repeat_groups_of_random_texts_hold_all_places(make, seed, alphabet):
+    docs = [(i, "".join(d)) for i, d in enumerate(random_docs(seed, 40, alphabet, 0, 50))]
+    want = maximal_by_brute_force([(i, t.encode()) for i, t in docs], 9)
+    groups = defaultdict(set)
+    for x in repeat_groups(make(docs), window=9, gram=4).collect():
+        groups[dict(docs)[x.doc_id].encode()[x.start : x.end]].add((x.doc_id, x.start))
+    right = sum(groups.get(x) == at for x, at in want.items())
+    assert right >= 0.7 * len(want) and right >= 0.9 * len(groups)  # texts of two letters overlap with themselves
 
 
 def components_of(docs, size, percent):
