@@ -6,13 +6,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import materialise, slices, text_of
 
 #: Runs of letters and digits; compared in lower case.
 TOKEN = re.compile(r"[^\W_]+")
@@ -49,7 +50,7 @@ class ToxicityModel:
 class _Scores(dict):
     """Scores by token as written: that of its most significant part. What was looked up stays, up to a bound."""
 
-    def __init__(self, model: ToxicityModel, bound: int = 100_000):
+    def __init__(self, model: ToxicityModel, bound: int = 200_000):
         super().__init__()
         self.model, self.bound = model, bound
 
@@ -60,6 +61,16 @@ class _Scores(dict):
         self[token] = score = max(known, key=lambda x: x[1])[0] if known else self.model.neutral
         return score
 
+    def of(self, text: str) -> np.ndarray:
+        tokens = TOKEN.findall(text)
+        return np.fromiter(map(self.__getitem__, tokens), np.float64, len(tokens))
+
+
+def best_score(scores: np.ndarray) -> float:
+    """Score of the best segment: the largest rise of the running sum; 0 if there is none."""
+    total = np.concatenate(([0.0], np.cumsum(scores)))
+    return float((total - np.minimum.accumulate(total)).max())
+
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, end, sum) in linear time, left to right (Ruzzo and Tompa 1999)."""
@@ -93,13 +104,15 @@ def evidence_of(segments: list[tuple[int, int, float]], tokens: int, model: Toxi
 
 
 def _scan(texts: list[str], model: ToxicityModel, cache: _Scores) -> Iterator[tuple[float, str, list]]:
+    """Evidence, text and significant segments; the segments are only listed where the best one is significant."""
     for text in texts:
-        tokens = TOKEN.findall(text)
-        scores = list(map(cache.__getitem__, tokens))
-        if not scores or max(scores) <= 0:
-            yield evidence_of([], len(scores), model)[0], text, []
+        scores = cache.of(text)
+        best = best_score(scores)
+        e = model.e_value(best, len(scores))
+        if best <= 0 or e > model.max_e:
+            yield -math.log(max(e, 1e-300)), text, []
         else:
-            evidence, good = evidence_of(maximal_segments(scores), len(scores), model)
+            evidence, good = evidence_of(maximal_segments(scores.tolist()), len(scores), model)
             yield evidence, text, good
 
 
@@ -111,10 +124,19 @@ def _places(text: str, segments: list) -> list[dict]:
 
 
 def training_labels(labels: DataFrame, id_col: str, label_col: str, folds: int, max_labelled: int) -> DataFrame:
-    """Labelled ids outside the held-out fold, ``max_labelled`` of them at most, chosen by a hash of the id."""
+    """``_id, _label, _fold`` of labelled ids outside the held-out fold, about ``max_labelled`` of them at most, chosen by a hash of the id."""
     known = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna()
-    known = known.where(F.crc32(F.col("_id").cast("string")) % folds != 0)
-    return known.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    known = known.withColumn("_fold", F.crc32(F.col("_id").cast("string")) % folds).where("_fold <> 0")
+    share = min(1.0, max_labelled / max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return chosen.groupBy("_id", "_fold").agg(F.max("_label").alias("_label"))
+
+
+def _parts(token: Column) -> Column:
+    """As ``parts_of``."""
+    n = F.length(token)
+    some = [F.when(n > k, F.concat(F.left(token, F.lit(k)), F.lit("-"))) for k in (4, 5, 6)] + [F.when(n > k, F.concat(F.lit("-"), F.right(token, F.lit(k)))) for k in (4, 5, 6)]
+    return F.array_compact(F.array(token, *some))
 
 
 def fit_toxicity(
@@ -127,24 +149,24 @@ def fit_toxicity(
     max_labelled: int = 100_000,
     prior: float = 0.5,
     confidence: float = 1.96,
-    max_vocabulary: int = 50_000,
     neutral: float = -0.3,
 ) -> ToxicityModel:
     """Learn token log-odds and their calibration from labelled documents.
 
-    Only rows with crc32(id as text) mod ``folds`` other than 0 are learnt from, ``max_labelled`` of them at most, so they can be
-    broadcast. The log-odds are those of tokens and of their beginnings and ends (``parts_of``), each counted once
-    for each document, as repeats in one document are no new evidence. The log-odds between toxic
-    and clean training text have a symmetric Dirichlet prior of ``prior`` documents for each token;
-    a part scores the end of its confidence interval nearer to 0, a token as its most significant part, and
-    ``max_vocabulary`` parts of the largest z-scores are kept, which bounds the model. All tokens carry the
-    drift ``neutral``, so that clean text scores negatively, as extreme-value theory asks. Lambda solves sum p exp(lambda s) = 1
-    over clean text; the logistic calibration is fitted to the evidence of the training documents. Without labels of both
+    Only rows with crc32(id as text) mod ``folds`` other than 0 are learnt from, about ``max_labelled`` of them at most, so they can be
+    broadcast and the model is bounded. The last fold calibrates, the others give the log-odds, those of tokens and of their beginnings
+    and ends (``parts_of``); a token counts once for each document, as repeats in one document are no new evidence. The log-odds between toxic
+    and clean training text have a symmetric Dirichlet prior of ``prior`` for each part; a part scores the end of its confidence
+    interval nearer to 0, if that leaves anything, and a token as its most significant part. All tokens carry the
+    drift ``neutral``, so that clean text scores negatively, as extreme-value theory asks.
+
+    On the clean documents of the calibrating fold, lambda solves sum p exp(lambda s) = 1 over their token scores, and K is the maximum-likelihood estimate from
+    their best segments; the logistic calibration is fitted to the evidence of that fold. Without labels of both
     kinds the model has no tokens and gives each document the smoothed share of toxic labels.
     """
     sample = training_labels(labels, id_col, label_col, folds, max_labelled)
     text = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_of(text_col).alias("text"))
-    train = text.join(F.broadcast(sample), "_id").select("text", "_label")
+    train = text.join(F.broadcast(sample), "_id").select("text", "_label", (F.col("_fold") == folds - 1).alias("_apart"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -153,50 +175,37 @@ def fit_toxicity(
             names = list(toxic.keys() | clean.keys())
             return pa.RecordBatch.from_pydict({"token": names, "toxic": [toxic[w] for w in names], "clean": [clean[w] for w in names]}, pa.schema([("token", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]))
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             for t, label in zip(batch.column("text").to_pylist(), batch.column("_label").to_pylist(), strict=True):
-                (toxic if label > 0 else clean).update({x for w in set(TOKEN.findall(t.lower())) for x in parts_of(w)})
+                (toxic if label > 0 else clean).update(set(TOKEN.findall(t.lower())))
             if len(toxic) + len(clean) > 100_000:
                 yield rows()
                 toxic.clear()
                 clean.clear()
         yield rows()
 
-    counts = train.mapInArrow(count, "token string, toxic bigint, clean bigint").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    counts = counts.persist()
+    tokens = train.where("NOT _apart").mapInArrow(count, "token string, toxic bigint, clean bigint").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = materialise(tokens.select(F.explode(_parts(F.col("token"))).alias("token"), "t", "c").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
     sums = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_toxic, n_clean, prior_all = float(sums[0]), float(sums[1]), prior * sums[2]
     share = sample.agg(F.sum(F.when(F.col("_label") > 0, 1).otherwise(0)), F.count(F.lit(1))).first()
     toxic_docs, all_docs = share[0] or 0, share[1]
     if not n_toxic or not n_clean:
-        counts.unpersist()
         rate = (toxic_docs + 0.5) / (all_docs + 1)
         return ToxicityModel(neutral=neutral, intercept=math.log(rate / (1 - rate)) if all_docs else 0.0)
 
     yt, yc = F.col("t") + prior, F.col("c") + prior
     odds = F.ln(yt / (n_toxic + prior_all - yt)) - F.ln(yc / (n_clean + prior_all - yc))
     width = confidence * F.sqrt(1 / yt + 1 / yc)
-    scored = counts.select(
-        "token", (F.signum(odds) * F.greatest(F.abs(odds) - width, F.lit(0.0)) + neutral).alias("s"), (F.abs(odds) / width).alias("z"), (yc / (n_clean + prior_all)).alias("p")
-    ).where("s <> %r" % neutral)
-    kept = scored.orderBy(F.desc("z"), "token").limit(max_vocabulary).collect()
-    counts.unpersist()
-    scores = {r.token: (r.s, r.z) for r in kept}
-    mass = [(r.p, r.s) for r in kept]
-    rest = max(0.0, 1 - sum(p for p, _ in mass))
-    lam = _lambda(mass, rest, neutral)
-    drift = sum(p * s for p, s in mass) + rest * neutral
-    spread = sum(p * s * s for p, s in mass) + rest * neutral**2
-    k = max(1e-6, lam * drift**2 / max(spread, 1e-9))
-    model = ToxicityModel(scores, neutral, lam, k)
-    return _calibrated(train, model)
-
-
-def _lambda(mass: list[tuple[float, float]], rest: float, neutral: float) -> float:
-    """The positive root of sum p exp(lambda s) = 1, at most 5; the larger the root, the rarer high scores in clean text."""
+    scored = counts.select("token", (F.signum(odds) * (F.abs(odds) - width) + neutral).alias("s"), (F.abs(odds) / width).alias("z")).where("z > 1")
+    return _calibrated(train.where("_apart").select("text", "_label"), ToxicityModel({r.token: (r.s, r.z) for r in scored.collect()}, neutral))
+
+
+def positive_root(mass: list[tuple[float, float]]) -> float:
+    """The positive root of sum p exp(lambda s) = 1 over (p, s), at most 5; the larger the root, the rarer high scores in clean text."""
 
     def over(x: float) -> bool:
-        return sum(p * math.exp(min(x * s, 700)) for p, s in mass) + rest * math.exp(x * neutral) > 1
+        return sum(p * math.exp(min(x * s, 700)) for p, s in mass) > 1
 
     low, high = 0.0, 5.0
     if not over(high):
@@ -207,19 +216,47 @@ def _lambda(mass: list[tuple[float, float]], rest: float, neutral: float) -> flo
     return max(high, 1e-3)
 
 
-def _calibrated(train: DataFrame, model: ToxicityModel) -> ToxicityModel:
-    """Fit the logistic curve of label over evidence to a histogram of the training documents."""
-
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Scores(model)
-        for batch in slices(batches, "text"):
-            x = [round(min(max(e, -25.0), 60.0), 1) for e, _, _ in _scan(batch.column("text").to_pylist(), model, cache)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("_label")], names=["x", "label"])
+def _calibrated(apart: DataFrame, model: ToxicityModel) -> ToxicityModel:
+    """Lambda, K and the logistic curve from documents that gave no log-odds; one pass over their texts."""
 
-    histogram = train.mapInArrow(evidence, "x double, label int").groupBy("x").agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("n"))
-    bins = sorted((r.x, r.pos, r.n) for r in histogram.collect())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, clean = _Scores(model), Counter()
+        names = ["label", "tokens", "scores"]
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64())]
+        for batch in slices(batches, "text", 2 << 20):
+            label, tokens, segments = batch.column("_label").to_pylist(), [], []
+            for text, y in zip(batch.column("text").to_pylist(), label, strict=True):
+                scores = cache.of(text)
+                tokens.append(len(scores))
+                segments.append([s for *_, s in maximal_segments(scores.tolist())])
+                if not y > 0:
+                    clean.update(dict(zip(*(x.tolist() for x in np.unique(np.round(scores, 2), return_counts=True)), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((label, tokens, segments), kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([None] * len(clean), list(clean.values()), [[x] for x in clean]), kinds, strict=True)], names=names)
+
+    seen = materialise(apart.mapInArrow(run, "label int, tokens bigint, scores array<double>"))
+    bins = seen.where("label IS NULL").groupBy(F.col("scores")[0].alias("s")).agg(F.sum("tokens").alias("n")).collect()
+    every = sum(r.n for r in bins)
+    lam = positive_root([(r.n / every, r.s) for r in bins]) if every else model.lam
+    rows = seen.where("label IS NOT NULL").withColumn("tokens", F.greatest("tokens", F.lit(1)))
+    best = F.coalesce(F.array_max("scores"), F.lit(0.0))
+    # tokens * exp(-lambda * best) of clean documents is exponential of rate K
+    fit = rows.where("label <= 0 AND size(scores) > 0").agg(F.count(F.lit(1)), F.sum(F.col("tokens") * F.exp(-lam * best))).first()
+    k = max(1e-6, fit[0] / fit[1]) if fit[1] else model.k
+    strength = F.transform("scores", lambda s: lam * s - F.ln(k * F.col("tokens")))
+    good = F.filter("strength", lambda x: x >= -math.log(model.max_e))
+    none = -F.ln(k * F.col("tokens"))
+    evidence = F.greatest(F.coalesce(F.array_max("strength"), none), F.aggregate(good, F.lit(0.0), lambda a, x: a + x) + F.when(F.size(good) > 0, 0.0).otherwise(none))
+    binned = rows.withColumn("strength", strength).select("label", F.round(F.least(F.greatest(evidence, F.lit(-25.0)), F.lit(60.0)), 1).alias("x"))
+    histogram = binned.groupBy("x").agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("n"))
+    a, b = _logistic(sorted((r.x, r.pos, r.n) for r in histogram.collect()))
+    return replace(model, lam=lam, k=k, intercept=a, slope=b)
+
+
+def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
+    """Intercept and slope by Newton steps on the penalised likelihood of (x, positive, all)."""
     a, b = 0.0, 0.1
-    for _ in range(100):  # Newton steps on the penalised likelihood
+    for _ in range(100):
         ga, gb, haa, hab, hbb = -1e-3 * a, -1e-2 * b, 1e-3, 0.0, 1e-2
         for x, pos, n in bins:
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x))))
@@ -231,7 +268,7 @@ def _calibrated(train: DataFrame, model: ToxicityModel) -> ToxicityModel:
         a, b = a + scale * da, b + scale * db
         if abs(da) + abs(db) < 1e-8:
             break
-    return ToxicityModel(model.scores, model.neutral, model.lam, model.k, a, b, model.max_e)
+    return a, b
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +286,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         cache = _Scores(m)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             evidence, segments = [], []
             for e, text, good in _scan(batch.column("text").to_pylist(), m, cache):
                 evidence.append(e)
@@ -269,7 +306,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         cache = _Scores(m)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 2 << 20):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array([m.probability(min(max(e, -25.0), 60.0)) < 0.5 for e, _, _ in _scan(texts, m, cache)], pa.bool_()))
 
