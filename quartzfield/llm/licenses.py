@@ -1,12 +1,18 @@
-"""License scans with DataFrame functions: logistic regression on word n-grams names a family, template comparison confirms it."""
+"""License scans with DataFrame functions: logistic regression on word n-grams names a family, template comparison confirms it.
+
+Every line is rated, by itself or with up to seven lines behind it, as notices are often wrapped. The regression is sparse: its features are the
+n-grams of the labelled notices, so a line without any of its ``cues`` provably stays below the threshold, and is known to be unknown without
+adding up its weights.
+"""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +24,9 @@ UNKNOWN = "unknown"
 #: Bins of a probability in which the scores of lines are counted.
 BINS = 100_000
 
+#: Numbers of consecutive lines that are read as one notice.
+WRAPS = (1, 2, 4, 8)
+
 #: Usual wording of licence notices by family (fixed values); they are the labelled paragraphs and the templates.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": (
@@ -83,50 +92,113 @@ def ngrams(words: Column) -> Column:
     return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
-def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, paragraph, body``: the lines of each text."""
-    return df.select(F.col(id_col).cast("bigint").alias("doc"), F.posexplode(F.split(text_of(text_col), "\n")).alias("paragraph", "body"))
+def _words(text: str) -> list[str]:
+    """As ``tokens``, for the templates (ASCII)."""
+    return re.sub(r"[^a-z0-9.\-]+|[.\-]+(?=\s|$)", " ", text.lower()).split()
+
+
+def _overlap(grams: Column, family: str | None = None) -> Column:
+    """The largest share of a template (of one family or of all) whose words and pairs are among ``grams``."""
+    shares = [F.lit(0.0)]
+    for own, texts in TEMPLATES.items():
+        for words in map(_words, texts if family in (None, own) else ()):
+            g = sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))})
+            shares.append(F.size(F.array_intersect(grams, F.lit(g))) / len(g))
+    return F.greatest(F.lit(-1.0), *shares)
 
 
 @dataclass(frozen=True)
 class LicenseModel:
-    """Fitted features and weights, the family of each class, and the probability that a family must reach."""
+    """Fitted features and weights, the family of each class, the probability that a family must reach, and the words one of which such a line has."""
 
     stages: PipelineModel
     families: list[str]
+    cues: tuple[str, ...]
     threshold: float = 0.5
 
 
-def fit_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_paragraphs: int = 4000, features: int = 1 << 13, false_alarms: float = 0.001) -> LicenseModel:
-    """Train on the templates and on a bounded sample of the corpus: ``max_paragraphs / 2`` different lines chosen by hash.
+def cue_words(vocabulary: list[str], weights: list[list[float]], bias: list[float], common: set[str] = frozenset()) -> tuple[str, ...]:
+    """Words without which no class but the first reaches a probability of a half.
+
+    Class k needs a larger margin over class 0 than 0: its bias and the positive weights of the features present. The largest weights are cues until
+    all others together cannot lift the margin to 0; of a pair the longer word is the cue, one of ``common`` only if there is no other. A text without
+    features is unknown by definition.
+    """
+    cues = set()
+    for k in range(1, len(bias)):
+        lift = sorted(((w - z, f) for w, z, f in zip(weights[k], weights[0], vocabulary, strict=True) if w > z), reverse=True)
+        rest, need = sum(w for w, _ in lift), max(1e-9, bias[0] - bias[k])
+        for w, f in lift:
+            if rest < need:
+                break
+            cues.add(max(f.split(" "), key=lambda x: (x not in common, len(x))))
+            rest -= w
+    return tuple(sorted(cues))
+
+
+def _pattern(cues: tuple[str, ...]) -> str:
+    """Matches lower-case text that has one of the cues as a word."""
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(c) for c in cues) + r")(?![\p{L}\p{N}])" if cues else "(?!)"
 
-    Only lines without licence words count, and half of those (by hash) never train. The sample trains the class ``unknown``; on all
-    lines of the corpus without licence words that did not train, the threshold is set so that at most the share ``false_alarms`` of them
-    reach it, 0.5 at least. Templates weigh as much as the class ``unknown``.
+
+def notices(df: DataFrame, id_col: str, text_col: str, cues: tuple[str, ...], but: str | None = None) -> DataFrame:
+    """``doc, paragraph, lines, body, words``: from each line with a cue on, as many lines as hold most of some template, the fewest of those.
+
+    ``but`` leaves out lines that match it.
+    """
+    has = _pattern(cues)
+    docs = df.select(F.col(id_col).cast("bigint").alias("doc"), text_of(text_col).alias("_text")).where(F.lower("_text").rlike(has))
+    line = F.lower(F.col("_line")).rlike(has)
+    if but:
+        line = line & ~F.col("_line").rlike(but)
+    lines = docs.select("doc", F.split("_text", "\n").alias("_lines")).select("doc", "_lines", F.posexplode("_lines").alias("paragraph", "_line")).where(line)
+    span = [F.concat_ws(" ", F.slice("_lines", F.col("paragraph") + 1, F.lit(w))) for w in WRAPS]
+    read = lines.select("doc", "paragraph", F.array(*(F.struct(F.lit(w).alias("lines"), b.alias("body"), tokens(b).alias("words")) for w, b in zip(WRAPS, span, strict=True))).alias("_spans"))
+    spans = read.select("doc", "paragraph", F.transform("_spans", lambda s: F.struct(s["lines"].alias("lines"), s["body"].alias("body"), s["words"].alias("words"), ngrams(s["words"]).alias("grams"))).alias("_spans"))
+    rated = F.transform("_spans", lambda s: F.struct(_overlap(s["grams"]).alias("overlap"), (-s["lines"]).alias("fewest"), s["body"].alias("body"), s["words"].alias("words")))
+    best = materialise(spans.select("doc", "paragraph", F.array_max(rated).alias("_best")))  # else Spark repeats all of this in each filter behind it
+    return best.where(F.size("_best.words") > 0).select("doc", "paragraph", (-F.col("_best.fewest")).alias("lines"), F.col("_best.body").alias("body"), F.col("_best.words").alias("words"))
+
+
+def fit_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_documents: int = 1000, max_paragraphs: int = 4000, false_alarms: float = 0.001) -> LicenseModel:
+    """Train on labelled notices and on a bounded sample of the corpus: lines of about ``max_documents`` texts chosen by hash, ``max_paragraphs`` different ones at most.
+
+    Lines without licence words train the class ``unknown``; lines of the sample that hold nine tenths of a template train its family, along with
+    the templates, which weigh as much as the class ``unknown``. N-grams of English stop words only are no features. The threshold is set on all
+    lines of the corpus without licence words and with a cue: at most the share ``false_alarms`` of all lines may reach it, 0.5 at least.
     """
     spark = df.sparkSession
     families = [UNKNOWN, *sorted(TEMPLATES)]
-    known = [(float(families.index(f)), t) for f, texts in TEMPLATES.items() for t in texts]
     licence_words = r"(?i)licen|copyright|rights|\bgnu\b|\bgpl|apache|\bmit license|\bbsd\b|mozilla|creative commons|\bcc\b|\bcc0|public domain|redistribut|permission"
-    lines = lines_of(df, id_col, text_col).select("body").where((F.length("body") > 0) & ~F.col("body").rlike(licence_words))
-    hashed = lines.where(F.pmod(F.xxhash64("body", F.lit(1)), F.lit(2)) == 1).select("body", F.xxhash64("body").alias("h"))
-    sample = materialise(_smallest(hashed, max_paragraphs // 2))
-    positive = spark.createDataFrame(known, "label double, body string").select("label", tokens(F.col("body")).alias("words"), F.lit(max(1.0, max_paragraphs / 2 / len(known))).alias("weight")).coalesce(1)
-    negative = sample.select(tokens(F.col("body")).alias("words")).where(F.size("words") > 0).select(F.lit(0.0).alias("label"), "words", F.lit(1.0).alias("weight"))
-    hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True)
-    grams = positive.unionByName(negative).coalesce(1).withColumn("grams", ngrams(F.col("words")))
-    fitted = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=30, weightCol="weight").fit(hashing.transform(grams))
-    model = LicenseModel(PipelineModel([hashing, fitted]), families)
-    rest = lines.join(F.broadcast(sample.select("body")), "body", "left_anti").select(tokens(F.col("body")).alias("words")).where(F.size("words") > 0)
-    counts = {r.bin: r.n for r in _rated(rest, model).groupBy(F.ceil(F.col("p") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    text = df.select(text_of(text_col).alias("_text"))
+    share = min(1.0, max_documents / max(1, df.count()))
+    some = text.where(F.pmod(F.xxhash64("_text", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    lines = some.select(F.explode(F.split("_text", "\n")).alias("body")).where(F.length("body") > 0).distinct()
+    sample = materialise(lines.orderBy(F.xxhash64("body"), "body").limit(max_paragraphs).select("body", tokens(F.col("body")).alias("words")).where(F.size("words") > 0))
+    plain = sample.where(~F.col("body").rlike(licence_words)).select(F.lit(0.0).alias("label"), "words", F.lit(1.0).alias("weight"))
+    known = [(float(families.index(f)), t) for f, texts in TEMPLATES.items() for t in texts]
+    weight = max(1.0, plain.count() / len(known))
+    positive = spark.createDataFrame(known, "label double, body string").select("label", tokens(F.col("body")).alias("words"), F.lit(weight).alias("weight"))
+    grams = ngrams(F.col("words"))
+    near = F.coalesce(*(F.when(_overlap(grams, f) >= 0.9, float(families.index(f))) for f in TEMPLATES))
+    found = sample.where(F.col("body").rlike(licence_words)).withColumn("label", near).where("label IS NOT NULL").select("label", "words", F.lit(1.0).alias("weight"))
+    nothing = spark.createDataFrame([(0.0, [], weight)], "label double, words array<string>, weight double")
+    positive = positive.unionByName(found).withColumn("grams", grams)
+    common = set(StopWordsRemover.loadDefaultStopWords("english"))
+    seen = CountVectorizer(inputCol="grams", minDF=1.0, vocabSize=1 << 14).fit(positive.coalesce(1)).vocabulary
+    vocabulary = sorted(g for g in seen if not common.issuperset(g.split(" ")))
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
+    train = vectors.transform(positive.unionByName(plain.unionByName(nothing).withColumn("grams", grams))).select("label", "features", "weight").coalesce(1)
+    fitted = LogisticRegression(family="multinomial", regParam=1e-3, elasticNetParam=0.5, maxIter=25, weightCol="weight").fit(train)
+    cues = cue_words(vectors.vocabulary, fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist(), common)
+    model = LicenseModel(PipelineModel([vectors, fitted]), families, cues)
+    every = text.agg(F.sum(F.size(F.split("_text", "\n")))).first()[0] or 0
+    loud = _rated(notices(df, id_col, text_col, cues, licence_words), model).where("p >= 0.5")
+    counts = {r.bin: r.n for r in loud.groupBy(F.ceil(F.col("p") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts[0] = max(0, every - sum(counts.values()))
     return replace(model, threshold=max(0.5, quiet_threshold(counts, false_alarms)))
 
 
-def _smallest(hashed: DataFrame, count: int) -> DataFrame:
-    """The ``count`` different lines of the smallest hashes; copies are gone before they are counted."""
-    return hashed.groupBy("h", "body").agg(F.lit(1).alias("one")).orderBy("h", "body").limit(count).select("body")
-
-
 def quiet_threshold(counts: dict[int, int], share: float) -> float:
     """The least bin edge that at most ``share`` of the counted lines exceed; bin k holds probabilities above (k - 1) / BINS up to k / BINS."""
     above, allowed, edge = 0, share * sum(counts.values()), 0
@@ -139,7 +211,7 @@ def quiet_threshold(counts: dict[int, int], share: float) -> float:
 
 
 def _rated(words: DataFrame, model: LicenseModel) -> DataFrame:
-    """Add the likeliest family and its probability ``p``."""
+    """Add the likeliest family (the first by name of equal ones) and its probability ``p``."""
     scored = model.stages.transform(words.withColumn("grams", ngrams(F.col("words")))).withColumn("_p", vector_to_array("probability"))
     families = F.slice("_p", 2, len(model.families) - 1)
     best = F.array_max(families)
@@ -148,19 +220,16 @@ def _rated(words: DataFrame, model: LicenseModel) -> DataFrame:
 
 
 def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", least_overlap: float = 0.6) -> DataFrame:
-    """One row per paragraph that a licence family claims: ``id_col, paragraph, family, probability, overlap, confirmed, body``.
+    """One row per notice that a licence family claims: ``id_col, paragraph, lines, family, probability, overlap, confirmed, body``.
 
-    A paragraph (line of the text, counted from 0) is rated if it has words and claimed where the likeliest family reaches the model's threshold; all others are
+    A notice is a line of the text (``paragraph``, counted from 0), or 2, 4 or 8 consecutive ones where they hold more of a template than the line alone;
+    their text is joined by spaces. Every line is rated, and claimed where the likeliest family reaches the model's threshold (ties: the first by name); all others are
     of the class ``unknown`` and give no row. ``overlap`` is the largest share of a template of that family whose words and word
-    pairs stand in the paragraph; from ``least_overlap`` on the claim is confirmed. Null and empty texts and lines without words give
+    pairs stand in the notice; from ``least_overlap`` on the claim is confirmed. The lines behind the first one of a wrapped notice may give
+    claims of their own, of smaller overlap. Null and empty texts and lines without words give
     no rows; ids may be null or repeat, each row is read by itself; an empty table gives an empty result. No rows move.
     """
-    worded = lines_of(df, id_col, text_col).withColumn("words", tokens(F.col("body"))).where(F.size("words") > 0)
-    claimed = _rated(worded, model).where(F.col("p") >= model.threshold)
+    claimed = _rated(notices(df, id_col, text_col, model.cues), model).where(F.col("p") >= model.threshold)
     grams = ngrams(F.col("words"))
-    overlaps = [
-        F.when(F.col("family") == family, F.greatest(F.lit(0.0), *(F.size(F.array_intersect(grams, g)) / F.size(F.array_distinct(g)) for g in (ngrams(tokens(F.lit(t))) for t in texts))))
-        for family, texts in TEMPLATES.items()
-    ]
-    out = claimed.withColumn("overlap", F.coalesce(*overlaps))
-    return out.select(F.col("doc").alias(id_col), F.col("paragraph").cast("int").alias("paragraph"), "family", F.col("p").alias("probability"), "overlap", (F.col("overlap") >= least_overlap).alias("confirmed"), "body")
+    out = claimed.withColumn("overlap", F.coalesce(*(F.when(F.col("family") == f, _overlap(grams, f)) for f in TEMPLATES)))
+    return out.select(F.col("doc").alias(id_col), F.col("paragraph").cast("int").alias("paragraph"), F.col("lines").cast("int").alias("lines"), "family", F.col("p").alias("probability"), "overlap", (F.col("overlap") >= least_overlap).alias("confirmed"), "body")

@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from quartzfield.llm import chat, licenses, secrets
 
 
@@ -48,10 +46,24 @@ def test_licence_rating_does_not_depend_on_common_words(make):
     assert [(r.family, r.confirmed) for r in got] == [("cc0", True)]
 
 
-def test_licence_sample_holds_different_lines(spark):
-    df = spark.createDataFrame([("copied line",)] * 500 + [(f"line {i}",) for i in range(50)], "body string").withColumn("h", F.xxhash64("body"))
-    for h in (df, df.withColumn("h", F.when(F.col("body") == "copied line", F.lit(-(1 << 63)).cast("bigint")).otherwise(F.col("h")))):
-        assert licenses._smallest(h, 40).distinct().count() == 40
+def test_licence_notice_over_several_lines(make):
+    wrapped = "intro\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files,\nto deal in the Software\nwithout restriction.\nand prose behind"
+    df = make([(1, wrapped), *((100 + i, f"plain line number {i}\nwith another one {i * 7}") for i in range(200))])
+    got = licenses.scan_licenses(df, licenses.fit_licenses(df)).collect()
+    assert [(r.doc_id, r.paragraph, r.lines, r.family) for r in got if r.confirmed and r.overlap == 1.0] == [(1, 1, 4, "mit")]
+    assert {r.doc_id for r in got} == {1}
+
+
+def test_licence_lines_without_cues_stay_below_a_half():
+    r = random.Random(3)
+    for _ in range(200):
+        vocabulary = [f"w{i}" for i in range(8)] + ["w0 w1", "w2 w3"]
+        weights, bias = [[r.uniform(-2, 2) for _ in vocabulary] for _ in range(3)], [r.uniform(0, 6), r.uniform(-2, 2), r.uniform(-2, 2)]
+        cues = licenses.cue_words(vocabulary, weights, bias)
+        left = [i for i, f in enumerate(vocabulary) if not set(f.split()) & set(cues)]
+        for k in (1, 2):
+            margin = bias[k] - bias[0] + sum(max(0.0, weights[k][i] - weights[0][i]) for i in left)
+            assert margin < 1e-6 or bias[k] > bias[0]
 
 
 def test_licence_threshold_counts_every_line():
