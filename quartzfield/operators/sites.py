@@ -44,13 +44,26 @@ def append_unseen(new: DataFrame, old: DataFrame, key: str = "site_id") -> DataF
     return old.unionByName(new.join(old.select(key), key, "left_anti").select(old.columns))
 
 
-def numbered(df: DataFrame, order: Sequence[str | Column], out: str = "row_no") -> DataFrame:
-    """Rows numbered from 0 in the given order without one task for all: partitions are sorted by range, counted, and offset."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    # one row for each partition, so this window is small
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return spread.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+def numbered(df: DataFrame, order: Sequence[str], out: str = "row_no", rows_per_task: int = 200_000) -> DataFrame:
+    """Rows numbered from 0 in the order of some columns, without one task for all.
+
+    Bounds between ranges of about ``rows_per_task`` rows come from a sample of as many rows as there are ranges, times 50. A row's range depends on
+    its values and those bounds only, so counts by range and numbers within ranges agree however often Spark reads the table. Rows that are equal in all
+    of the columns stay in one range.
+    """
+    ranges = -(-df.count() // rows_per_task)
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    if ranges <= 1:
+        return df.withColumn("_range", F.lit(0)).withColumn(out, within.cast("bigint")).drop("_range")
+    key = F.struct(*order)
+    sample = df.select(key.alias("_key")).sample(min(1.0, 50 / rows_per_task), seed=7).orderBy("_key").collect()
+    bounds = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
+    listed = df.sparkSession.createDataFrame(bounds, df.select(key.alias("_key")).schema).agg(F.array_sort(F.collect_set("_key")).alias("_bounds"))
+    ranged = df.crossJoin(F.broadcast(listed)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
+    # one row for each range, so this window is small
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.withColumn("_within", within).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_within")).drop("_range", "_before", "_within")
 
 
 def _with_total(df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -57,7 +57,12 @@ def form_factors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FORM_FACTORS, "element string, charge int, a array<double>, b array<double>, c double")
 
 
-def box_spec(atoms: DataFrame, dims: int, limit: float = 1.0, step: float = 1.0) -> DataFrame:
-    """One interval specification whose sizes are the numbers of cells of the table of atoms."""
-    out = atoms.agg(*((F.max(f"cell_{a}") + 1).cast("double").alias(f"{k}_size") for a, k in zip("xyz"[:dims], "hkl", strict=False))).withColumn("spec_id", F.lit(1))
-    return out.withColumns({f"{k}_{n}": F.lit(v) for k in "hkl"[:dims] for n, v in (("limit", limit), ("step", step))})
+#: Cells along each axis of the lattices that the views above make, by the number of axes in use.
+CELLS = {1: (40,), 2: (40, 50), 3: (20, 20, 20)}
+
+
+def box_spec(atoms: DataFrame, dims: int, limit: float = 1.0, step: float = 1.0, cells: tuple[int, ...] | None = None) -> DataFrame:
+    """One interval specification over a lattice (that of a view, or of so many ``cells``); a lattice has its size however many of its cells hold atoms."""
+    row = [1] + [x for n in cells or CELLS[dims] for x in (float(n), limit, step)]
+    names = ["spec_id int"] + [f"{k}_{n} double" for k in "hkl"[:dims] for n in ("size", "limit", "step")]
+    return atoms.sparkSession.createDataFrame([tuple(row)], ", ".join(names))

@@ -174,7 +174,7 @@ def test_displacements_recover(spark):
     n = 16
     u = rng.uniform(-2e-3, 2e-3, n)
     atoms = spark.createDataFrame([(i, "A", 1, i, 1.0, i / n, float(i / n + u[i])) for i in range(n)], "site_id bigint, element string, refnumber int, cell_x int, coeff double, xav double, x double")
-    got = flows.displacements(atoms, views.box_spec(atoms, 1, 8.0, 8.0), 1, None, 0.02, 0.0025, [8.0], lam=1e-6).orderBy("site_id").toPandas()
+    got = flows.displacements(atoms, views.box_spec(atoms, 1, 8.0, 8.0, (n,)), 1, None, 0.02, 0.0025, [8.0], lam=1e-6).orderBy("site_id").toPandas()
     assert np.corrcoef(got["ux"], u)[0, 1] > 0.95
 
 
@@ -230,6 +230,33 @@ def test_batches_of_few_rows(spark):
     assert even == [0, 0, 1, 1, 2]
 
 
+def test_numbers_of_many_rows_with_more_columns(spark):
+    df = spark.range(0, 1_000_000, 1, 7).select(F.xxhash64("id").alias("k"), F.col("id").alias("payload"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    got = sites.numbered(df, ["k"], rows_per_task=90_000)
+    low, high, rows, different = got.agg(F.min("row_no"), F.max("row_no"), F.count(F.lit(1)), F.count_distinct("row_no")).first()
+    assert (low, high, rows, different) == (0, 999_999, 1_000_000, 1_000_000)
+    pairs = got.select("k", "row_no").alias("a").join(got.select("k", (F.col("row_no") - 1).alias("row_no")).alias("b"), "row_no")
+    assert pairs.where("a.k >= b.k").count() == 0 and pairs.count() == 999_999
+    few = sites.batch_even(df.limit(1000).cache(), 3, ["k"]).groupBy("chunk_id").count().collect()
+    assert sorted(r["count"] for r in few) == [333, 333, 334]
+
+
+def test_numbers_of_equal_and_null_keys(spark):
+    df = spark.range(1000).select(F.when(F.col("id") > 100, F.col("id") % 3).alias("k"), "id")
+    got = sites.numbered(df, ["k", "id"], rows_per_task=64).orderBy("row_no").collect()
+    assert [r.row_no for r in got] == list(range(1000)) and [r.k for r in got] == sorted((r.k for r in got), key=lambda x: (x is not None, x))
+    assert sites.numbered(df.where("false"), ["k"]).count() == 0
+
+
+def test_window_and_taper_values():
+    w = features.chebyshev_window(8, 60.0)
+    side = np.abs(np.fft.fft(np.append(w, w[0]), 4096))
+    edge = int(np.argmax(np.diff(side[:2048]) > 0))  # side lobes lie 60 dB below the peak
+    assert abs(20 * np.log10(side[edge:2048].max() / side[0]) + 60) < 0.1 and w.max() == 1
+    assert np.allclose(features.band_taper(8, 8, 3.0, 0.5)[:5], [1, 1, 0.75, 0, 0])
+    assert np.isclose(features.psf([5, 6], [2.0, None]).sum(), 1.0)
+
+
 def test_scalars(spark):
     row = spark.createDataFrame([([1.0, 1.0 + 1e-12, 2.0],)], "v array<double>").select(scalars.distinct_tol(F.col("v")).alias("d"), scalars.nearest_index(F.col("v"), F.lit(1.6)).alias("i")).first()
     assert row.d == [1.0, 2.0] and row.i == 2
