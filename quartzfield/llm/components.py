@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,6 +23,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         spread = labels.join(heard, labels.node == heard.a).select("node", F.col("component").alias("old"), F.least("component", "heard").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
         new = materialise(spread.join(jump, "next").select("node", "old", F.least("next", "further").alias("component")))
-        labels = new.select("node", "component")
+        discard(labels)
+        labels = new
         if new.where("old <> component").isEmpty():
-            return labels
+            discard(both)
+            return new.select("node", "component")

@@ -32,16 +32,23 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", i
     copies collapse before the shuffle. Row verdicts come back over (MD5, SHA-256), rows of fixed width, in a join that
     AQE can split when one group is very large.
     """
-    text = text_of(text_col)
-    norm = F.regexp_replace(text, f"{ignore}+", "") if ignore else text
-    rows = df.select(F.col(id_col).cast("bigint").alias("_id"), norm.alias("_norm"), F.length(text).alias("_len")).withColumn("_h", F.md5("_norm"))
-    groups = (
-        rows.withColumn("_rank", _rank(F.col("_len"), F.col("_id"), prefer_longest))
-        .groupBy("_h", "_norm")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max_by("_id", "_rank").alias("keep_id"))
-        .select("_h", F.sha2("_norm", 256).alias("text_sha256"), "group_size", "keep_id")
-    )
+    rows = _normalised(df, id_col, text_col, ignore, prefer_longest)
+    groups = rows.groupBy("_h", "_norm").agg(F.count(F.lit(1)).alias("group_size"), F.max_by("_id", "_rank").alias("keep_id"))
+    groups = groups.select("_h", F.sha2("_norm", 256).alias("text_sha256"), "group_size", "keep_id")
     light = rows.select("_id", "_h", F.sha2("_norm", 256).alias("text_sha256"))
     return light.join(groups, ["_h", "text_sha256"]).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
+
+
+def _normalised(df: DataFrame, id_col: str, text_col: str, ignore: str | None, prefer_longest: bool, *more: Column) -> DataFrame:
+    text = text_of(text_col)
+    norm = F.regexp_replace(text, f"{ignore}+", "") if ignore else text
+    rows = df.select(F.col(id_col).cast("bigint").alias("_id"), norm.alias("_norm"), F.length(text).alias("_len"), *more)
+    return rows.withColumn("_h", F.md5("_norm")).withColumn("_rank", _rank(F.col("_len"), F.col("_id"), prefer_longest))
+
+
+def exact_winners(df: DataFrame, key: Column, id_col: str = "doc_id", text_col: str = "text", ignore: str | None = WHITESPACE, prefer_longest: bool = False) -> DataFrame:
+    """``key``: of each group of equal texts (as ``exact_dedup`` has them) the key of the row that stays, by which rows that share an id are told apart."""
+    rows = _normalised(df, id_col, text_col, ignore, prefer_longest, key.alias("key"))
+    return rows.groupBy("_h", "_norm").agg(F.max_by("key", "_rank").alias("key")).select("key")

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_of
+from .common import discard, materialise, slices, text_of
 from .components import connected_components
 from .segments import WordHashes, mix
 
@@ -125,14 +126,16 @@ def near_links(nodes: DataFrame, sets_for, percent: int, collections: int, round
     sets = materialise(sets_for(members.select("node").distinct()))
     parts = materialise(members.select("node", F.col("node").alias("component")).distinct())
     tested: DataFrame | None = None
+    rounds_done: list[DataFrame] = []
     for turn in range(rounds + 1):
-        now = members.join(parts, "node")
+        now = members.select("key", "node", "n").join(parts, "node")
         spread = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "n", "component"), F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("lead"))
         spread = spread.where("low < high")
         mine = now.join(spread.select("key", "lead"), "key")
         if turn:  # components only grow, so what is settled now stays so
             mine = materialise(mine)
-            members = mine.select("key", "node", "n")
+            discard(members)
+            members = mine
             if mine.isEmpty():
                 break
         if turn < rounds:
@@ -150,9 +153,11 @@ def near_links(nodes: DataFrame, sets_for, percent: int, collections: int, round
         known = parts.select(F.col("node").alias("a"), F.col("component").alias("x"))
         ends = links.join(known, "a").join(known.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
         merged = connected_components(ends, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("to"))
-        parts = materialise(parts.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-        done = checked.select("a", "b")
-        tested = done if tested is None else tested.unionByName(done)
+        old, parts = parts, materialise(parts.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        discard(old)
+        rounds_done.append(checked)
+        tested = reduce(DataFrame.unionByName, [c.select("a", "b") for c in rounds_done])
+    discard(members, sets, *rounds_done)
     return parts
 
 
