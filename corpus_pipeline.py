@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quartzfield.llm.bpe import bpe_encode
 from quartzfield.llm.common import materialise, table
 from quartzfield.llm.decontam import drop_leaks
-from quartzfield.llm.exact import exact_dedup
+from quartzfield.llm.exact import exact_winners
 from quartzfield.llm.minhash import near_dedup
 from quartzfield.llm.queries import PATTERN, RANK_FILE
 from quartzfield.llm.toxicity import drop_toxic, fit_toxicity
 
 
-def _staying(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows whose id the verdict keeps; a row that repeats another in all columns stays once. Rows without an id stay, as no verdict names them."""
-    kept = verdict.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates().unionByName(docs.where("doc_id IS NULL"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With ``_key``, which tells rows of one id or none apart by their texts."""
+    return docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit(""))))
+
+
+def _staying(docs: DataFrame, winners: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (with ``_key``) whose key is among ``winners``, one for each; the texts are shuffled once."""
+    first = docs.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_n = 1")
+    return first.join(winners, "_key", "left_semi").drop("_key", "_n")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +31,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of texts that are equal but for white space: the longest, then the smallest id."""
-    return _staying(docs, exact_dedup(docs, prefer_longest=True))
+    """Keep one row of each group of texts that are equal but for white space: the longest, then the smallest id (none counts as the largest)."""
+    keyed = _keyed(docs)
+    winners = exact_winners(keyed, F.col("_key"), prefer_longest=True).select(F.col("key").alias("_key"))
+    return _staying(keyed, winners).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate component (five-word shingles, similarity 0.8): the smallest id."""
-    return _staying(docs, near_dedup(docs, shingle=5, percent=80))
+    """Keep one row of each near-duplicate component (five-word shingles, similarity 0.8): the smallest id (none counts as the largest)."""
+    keyed = _keyed(docs)
+    ids = keyed.groupBy("_key").agg(F.first("doc_id").alias("id"))
+    parts = near_dedup(keyed, id_col="_key", shingle=5, percent=80).groupBy("_key").agg(F.first("component_id").alias("component"))
+    winners = parts.join(ids, "_key").groupBy("component").agg(F.min_by("_key", F.struct(F.col("id").isNull(), "id", "_key")).alias("_key"))
+    return _staying(keyed, winners.select("_key")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
