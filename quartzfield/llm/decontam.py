@@ -30,15 +30,19 @@ def _columns(pattern: str) -> tuple[dict[str, int], int, int]:
     return bits, (1 << len(pattern)) - 1, 1 << (len(pattern) - 1)
 
 
-def best_match(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
-    """(distance, end) of the first place in ``text`` where ``pattern`` ends with the fewest edits, None above ``budget``.
+def best_match(pattern: str, text: str, budget: int, start: int = 0, within: int | None = None) -> tuple[int, int] | None:
+    """(distance, end) of the first place from ``start`` on where ``pattern`` ends with the fewest edits, None above ``budget``.
 
-    Myers' bit-parallel recurrence: the vertical differences of one column are two bit vectors.
+    With ``within`` the search ends so many characters behind the first place within the budget, so that what comes later counts for itself. As many edits as
+    the pattern is long, which any place allows, are no match. Myers' bit-parallel recurrence: the vertical differences of one column are two bit vectors.
     """
     bits, mask, top = _columns(pattern)
     plus, minus, score, best = mask, 0, len(pattern), None
-    get, least = bits.get, budget + 1
-    for j, c in enumerate(text):
+    get, least, last = bits.get, budget + 1, len(text)
+    for j in range(start, last):
+        if j >= last:
+            break
+        c = text[j]
         eq = get(c, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
@@ -49,6 +53,8 @@ def best_match(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
         elif down & top:
             score -= 1
             if score < least:
+                if best is None and within is not None:
+                    last = min(last, j + 1 + within)
                 least, best = score, (score, j + 1)
                 if not score:
                     break
@@ -59,52 +65,65 @@ def best_match(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
 
 
 class Matcher:
-    """Searches texts for a block of items."""
+    """Searches texts for a block of items. Items of fewer than ``min_chars`` characters are found as they are, between other characters than letters and digits."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int = 0):
         self.items, self.error_rate = [], error_rate
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            budget = int(len(text) * error_rate)
+            short = len(text) < min_chars
+            budget = 0 if short else int(len(text) * error_rate)
             for offset, piece in pieces_of(text, budget):
                 found.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, text, budget, text[::-1]))
+            self.items.append((item_id, text, budget, text[::-1], short))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
 
     def search(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item id, start, end, distance) in the normalised text; overlapping candidate windows give their best match."""
+        """(item id, start, end, distance) in the normalised text: every place of an item that does not overlap with the one before."""
+        if not self.items:
+            return
         starts: dict[int, set[int]] = {}
         for last, (size, places) in self.automaton.iter(text):
             for item, offset in places:
                 starts.setdefault(item, set()).add(last + 1 - size - offset)
         for item in sorted(starts):
-            item_id, pattern, budget, reverse = self.items[item]
+            item_id, pattern, budget, _, short = self.items[item]
+            if short:
+                for at in sorted(starts[item]):
+                    end = at + len(pattern)
+                    if not text[at - 1 : at].isalnum() and not text[end : end + 1].isalnum():
+                        yield item_id, at, end, 0
+                continue
             low = high = None
             for at in [*sorted(starts[item]), None]:
                 if at is not None and low is not None and at - budget <= high:
                     high = max(high, at + len(pattern) + budget)
                     continue
                 if low is not None:
-                    low = max(0, low)
-                    window = text[low:high]
-                    if hit := best_match(pattern, window, budget):
-                        distance, end = hit
-                        back = best_match(reverse, window[max(0, end - len(pattern) - budget) : end][::-1], distance)
-                        yield item_id, low + end - (back[1] if back else end), low + end, distance
+                    yield from self._places(item, text, max(0, low), high)
                 if at is not None:
                     low, high = at - budget, at + len(pattern) + budget
 
+    def _places(self, item: int, text: str, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+        item_id, pattern, budget, reverse, _ = self.items[item]
+        window, at = text[low:high], 0
+        while hit := best_match(pattern, window, budget, at, 2 * budget):
+            distance, end = hit
+            back = best_match(reverse, window[max(at, end - len(pattern) - budget) : end][::-1], distance)
+            yield item_id, low + end - (back[1] if back else end - at), low + end, distance
+            at = end
 
-def _item_blocks(bench: DataFrame, id_col: str, text_col: str, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+
+def _item_blocks(bench: DataFrame, id_col: str, text_col: str, least: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, taken one partition at a time."""
     block, size = [], 0
     rows = bench.select(F.col(id_col).cast("bigint").alias("i"), text_of(text_col).alias("t")).where("i is not null").distinct()
     for row in rows.toLocalIterator():
         text = normalise(row.t)
-        if len(text) < min_chars:
+        if len(text) < least:
             continue
         if block and size + len(text) > block_chars:
             yield block
@@ -130,13 +149,13 @@ def find_leaks(
 
     Both sides are lower-cased with white space folded; an item matches where the edit distance is at most
     ``int(item_chars * error_rate)``. ``start`` and ``end`` count code points of the normalised text, ``passage`` is that part of it.
-    Candidate windows of one item that overlap give one row, the best match in them (ties: the first).
-    Items of fewer than ``min_chars`` normalised characters cannot tell a leak and are not searched. Null texts count as
+    Every place gives a row; places of one item do not overlap, of those that would the one with the fewest edits counts (ties: the first).
+    Items of fewer than ``min_chars`` normalised characters match without edits only, between other characters than letters and digits; empty items match nothing. Null texts count as
     empty and match nothing; rows with a null document id are searched and give a null id; rows repeated give their matches again;
     items with a null id are ignored and repeated items count once; empty tables give an empty result.
 
     The items go to the executors in blocks of ``block_chars`` characters at most, one pass over the documents for each block,
-    so what is sent has a fixed bound however large the benchmark is. Documents are searched whole and don't move.
+    so what is sent at once has a fixed bound; all of the benchmark passes through the driver, block by block. Documents are searched whole and don't move.
     """
     schema = f"`{id_col}` bigint, `{item_id}` bigint, start bigint, end bigint, distance int, item_chars int, passage string"
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
@@ -145,7 +164,7 @@ def find_leaks(
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+            matcher = Matcher(shared.value, error_rate, min_chars)
             size = {i: len(t) for i, t in shared.value}
             for batch in slices(batches, "text"):
                 out = []
@@ -156,7 +175,7 @@ def find_leaks(
 
         return run
 
-    parts = [source.mapInArrow(searcher(block), schema) for block in _item_blocks(bench, item_id, item_text, min_chars, block_chars)]
+    parts = [source.mapInArrow(searcher(block), schema) for block in _item_blocks(bench, item_id, item_text, 1, block_chars)]
     if not parts:
         return source.where("false").mapInArrow(searcher([]), schema)
     out = parts[0]
@@ -166,7 +185,7 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
-    """The rows in whose text no benchmark item stands (as ``find_leaks`` has it), with all their columns as they are. No rows move."""
+    """The rows in whose text no benchmark item of ``min_chars`` characters or more stands, with all their columns as they are. Shorter items tell no leak. No rows move."""
 
     def without(block: list[tuple[int, str]]):
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -39,7 +39,7 @@ def test_leaks(make, spark, messy, nothing):
     edited = item.replace("rivers", "rivvers").replace("number", "nmber").upper().replace(" ", "\n ", 3)
     docs = [(1, "before " * 50 + item + " after"), (2, "x " + edited + " y"), (3, item[:50] + " something else"), (None, item), (4, None), (5, item + " and again " + item)]
     got = [(r.doc_id, r.item_id, r.distance) for r in decontam.find_leaks(make(docs), bench).collect()]
-    assert sorted(got, key=str) == sorted([(1, 1, 0), (2, 1, 2), (None, 1, 0), (5, 1, 0)], key=str)
+    assert sorted(got, key=str) == sorted([(1, 1, 0), (2, 1, 2), (None, 1, 0), (5, 1, 0), (5, 1, 0)], key=str)
     one = decontam.find_leaks(make(docs), bench).where("doc_id = 1").first()
     assert one.passage == item and one.end - one.start == len(item)
     many = decontam.find_leaks(make(docs), bench, block_chars=60)
@@ -50,6 +50,46 @@ def test_leaks(make, spark, messy, nothing):
     assert decontam.drop_leaks(messy, bench.where("false")).columns == messy.columns
 
 
+def test_leaks_of_short_items_and_in_a_row(make, spark):
+    item = "what is the name of the largest lake in the country"
+    bench = spark.createDataFrame([(1, item), (2, "Capital of France?"), (3, "cat")], "item_id bigint, text string")
+    docs = [(1, f"{item}{item} {item.replace('lake', 'lkae')}"), (2, "the capital of  france? of course"), (3, "concatenate cats, a cat."), (4, item.replace("name", "nam") * 3)]
+    got = sorted((r.doc_id, r.item_id, r.start, r.distance) for r in decontam.find_leaks(make(docs), bench).collect())
+    n = len(item)
+    assert got == [(1, 1, 0, 0), (1, 1, n, 0), (1, 1, 2 * n + 1, 2), (2, 2, 4, 0), (3, 3, 20, 0), (4, 1, 0, 1), (4, 1, n - 1, 1), (4, 1, 2 * n - 2, 1)]
+    assert {r.doc_id for r in decontam.drop_leaks(make(docs), bench).collect()} == {2, 3}
+
+
+def test_leaks_against_edit_distance(make, spark):
+    r = random.Random(12)
+    items = ["".join(r.choice("abcdef ") for _ in range(40)).strip().ljust(30, "x") for _ in range(12)]
+    items = [" ".join(i.split()) for i in items]
+    docs = []
+    for k in range(60):
+        text = "".join(r.choice("abcdef ") for _ in range(r.randint(0, 120)))
+        if k % 2:
+            own = list(r.choice(items))
+            for _ in range(r.randint(0, 5)):
+                own[r.randrange(len(own))] = r.choice(["", "z", "qq"])
+            at = r.randint(0, len(text))
+            text = text[:at] + "".join(own) + text[at:]
+        docs.append((k, text))
+
+    def least(p, t):  # Sellers' table, the fewest edits of p against any part of t
+        row = list(range(len(p) + 1))
+        best = row[-1]
+        for c in t:
+            before, row[0] = row[0], 0
+            for i, x in enumerate(p, 1):
+                before, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, before + (x != c))
+            best = min(best, row[-1])
+        return best
+
+    want = {(d, i) for d, t in docs for i, p in enumerate(items) if least(p, decontam.normalise(t)) <= int(len(p) * 0.08)}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(make(docs), bench).collect()} == want and len(want) > 10
+
+
 def test_pieces_cover():
     for n in (1, 7, 30):
         for e in range(n):
