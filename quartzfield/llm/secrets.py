@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -167,9 +169,23 @@ class CharCnn:
                 break
 
 
-def _label(spans: list[tuple[int, int, int]], a: int, b: int) -> int:
-    """1 if the candidate stands in a base finding or holds one."""
-    return int(any(s <= a and b <= e or a <= s and e <= b for s, _, e in spans))
+class Covered:
+    """Tells how candidates lie to some spans, each in the time of one search."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [s for s, _, _ in spans]
+        self.furthest = list(accumulate((e for _, _, e in spans), max))
+        self.nearest = list(accumulate((e for _, _, e in reversed(spans)), min))[::-1]
+
+    def whole(self, a: int, b: int) -> bool:
+        """One span holds all of it."""
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.furthest[i - 1] >= b
+
+    def label(self, a: int, b: int) -> int:
+        """1 if the candidate stands in a span or holds one."""
+        i = bisect_left(self.starts, a)
+        return int(self.whole(a, b) or i < len(self.starts) and self.nearest[i] <= b)
 
 
 def _bucket(text: str, start: int, end: int) -> int:
@@ -191,12 +207,12 @@ def labelled_candidates(df: DataFrame, text_col: str, max_examples: int) -> Data
 
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
-                spans = base_spans(text)
+                known = Covered(base_spans(text))
                 for a, b in candidates(text):
                     bucket = _bucket(text, a, b)
                     if bucket < 2:
                         continue
-                    label = _label(spans, a, b)
+                    label = known.label(a, b)
                     for w in windows_of(text, a, b):
                         example = w.encode("utf-8", "surrogatepass")
                         seen = (xxhash.xxh3_64_intdigest(example) - (1 << 63), bucket)
@@ -226,8 +242,9 @@ def positive_scores(df: DataFrame, net: CharCnn, used: set[bytes], text_col: str
             windows, first = [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
+                known = Covered(spans)
                 for a, b in candidates(text) if spans else ():
-                    if _label(spans, a, b):
+                    if known.label(a, b):
                         own = windows_of(text, a, b)
                         if not any(w.encode("utf-8", "surrogatepass") in fitted for w in own):
                             first.append(len(windows))
@@ -270,38 +287,36 @@ def fit_secrets(df: DataFrame, text_col: str = "text", max_examples: int = 3000,
 def scan_secrets(df: DataFrame, net: CharCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col, findings``, an array of (kind, start, end, probability) by start, then kind.
 
-    The pattern kinds ``assign``, ``access`` and ``hex`` have probability 1; ``cnn`` are other candidates whose probability reaches the
-    network's threshold and that no pattern finding covers whole. Places are code points, ends exclusive. Null text counts as
+    Every candidate is rated. The pattern kinds ``assign``, ``access`` and ``hex`` are found whatever the network says of the candidates inside them, which is their
+    probability (1 if there are none); ``cnn`` are candidates whose probability reaches the network's threshold and that no pattern finding covers whole. Places are code points, ends exclusive. Null text counts as
     empty and has no findings; ids may be null or repeat; an empty table gives an empty result; a text of any length is read whole.
     Without a network only patterns are used. No rows move.
     """
     shared = df.sparkSession.sparkContext.broadcast(net)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
 
-    def more(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-        for a, b in candidates(text):
-            if not any(s <= a and b <= e for s, _, e in spans):
-                yield a, b
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "text"):
-            found, where, windows = [], [], []
+        for batch in slices(batches, "text", 2 << 20):
+            base, where, windows = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                spans = base_spans(text)
-                found.append([(a, k, b, 1.0) for a, k, b in spans])
-                if model is not None:
-                    for a, b in more(text, spans):
-                        for w in windows_of(text, a, b):
-                            where.append((i, a, b))
-                            windows.append(w)
-            rated: dict[tuple[int, int, int], float] = {}
-            for place, p in zip(where, model.probability(encode(windows)).tolist() if windows else [], strict=True):
-                rated[place] = max(p, rated.get(place, 0.0))
-            for (i, a, b), p in rated.items():
-                if p >= model.threshold:
-                    found[i].append((a, 3, b, p))
-            out = [[{"kind": KINDS[k], "start": a, "end": b, "probability": p} for a, k, b, p in sorted(f)] for f in found]
+                base.append(base_spans(text))
+                for a, b in candidates(text) if model is not None else ():
+                    for w in windows_of(text, a, b):
+                        where.append((i, a, b))
+                        windows.append(w)
+            rated: list[dict[tuple[int, int], float]] = [{} for _ in base]
+            for (i, a, b), p in zip(where, model.probability(encode(windows)).tolist() if windows else [], strict=True):
+                rated[i][a, b] = max(p, rated[i].get((a, b), 0.0))
+            out = []
+            for spans, own in zip(base, rated, strict=True):
+                known = Covered(spans)
+                found = [(a, 3, b, p) for (a, b), p in own.items() if p >= model.threshold and not known.whole(a, b)]
+                places = sorted(own)
+                for a, k, b in spans:  # what the network says of candidates inside
+                    inside = [own[c] for c in places[bisect_left(places, (a, a)) : bisect_left(places, (b, b))] if c[1] <= b]
+                    found.append((a, k, b, max(inside, default=1.0)))
+                out.append([{"kind": KINDS[k], "start": a, "end": b, "probability": p} for a, k, b, p in sorted(found)])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, kind)], names=[id_col, "findings"])
 
     source = df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))

@@ -17,7 +17,7 @@ def test_secret_threshold_keeps_recall(make):
     net = secrets.fit_secrets(make(docs))
     above, total = net.measured
     assert total > 60 and above >= 0.99 * total and net.threshold < 0.5
-    rated = [max(net.probability(secrets.encode(secrets.windows_of(t, a, b)))) for _, t in docs for a, b in secrets.candidates(t) if secrets._label(secrets.base_spans(t), a, b)]
+    rated = [max(net.probability(secrets.encode(secrets.windows_of(t, a, b)))) for _, t in docs for a, b in secrets.candidates(t) if secrets.Covered(secrets.base_spans(t)).label(a, b)]
     assert sum(p >= net.threshold for p in rated) >= 0.98 * len(rated)
 
 
