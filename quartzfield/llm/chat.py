@@ -99,8 +99,16 @@ def format_chat(df: DataFrame, render: Render = marked_turns, context: int | Non
     talks = df.groupBy(F.col(conv_col).cast("bigint").alias("conv")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans_kind, loss_kind = pa.list_(_TURN), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        names = [conv_col, "formatted", "turns", "loss", "rewritten_at"]
+        kinds = [pa.int64(), pa.string(), spans_kind, loss_kind, pa.int64()]
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=names)
+
+        out, size = [], 0
         for batch in batches:
-            for k in range(batch.num_rows):
+            for k, conv in enumerate(batch.column("conv").to_pylist()):
                 turns = [(t["role"], t["text"]) for t in batch.column("turns")[k].as_py()]
                 spans, wrong = [], None
                 try:
@@ -109,10 +117,13 @@ def format_chat(df: DataFrame, render: Render = marked_turns, context: int | Non
                 except HistoryRewritten as e:
                     formatted, wrong = render(turns, None), e.turn
                 loss = [{"start": s["text_start"], "end": s["text_end"]} for s in spans if s["role"] == loss_role]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("conv").slice(k, 1), pa.array([formatted]), pa.array([spans], pa.list_(_TURN)), pa.array([loss], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([wrong], pa.int64())],
-                    names=[conv_col, "formatted", "turns", "loss", "rewritten_at"],
-                )
+                out.append((conv, formatted, spans, loss, wrong))
+                size += len(formatted)
+                if size > 1 << 20 or len(out) == 1000:
+                    yield rows(out)
+                    out, size = [], 0
+        if out:
+            yield rows(out)
 
     kind = "array<struct<role:string,start:bigint,end:bigint,text_start:bigint,text_end:bigint>>"
     return talks.mapInArrow(run, f"`{conv_col}` bigint, formatted string, turns {kind}, loss array<struct<start:bigint,end:bigint>>, rewritten_at bigint")
