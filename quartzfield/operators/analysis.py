@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sites import numbered
+
 
 def distinct_elements(atoms: DataFrame) -> DataFrame:
     """Each element with its number of atoms and its reference numbers."""
@@ -128,10 +130,7 @@ def linearity_check(parts: DataFrame, whole: DataFrame, key: str, re: str = "re"
 
 
 def lattice_order(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Grid indices by rank of the distinct coordinates; the distinct values of one axis are few."""
-    from pyspark.sql import Window
-
+    """Grid indices by rank of the distinct coordinates, numbered by ranges, as a disordered structure has as many of them as atoms."""
     for c, out in ((x, "gx"), (y, "gy")):
-        ranks = df.select(c).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(c)) - 1)
-        df = df.join(ranks, c)
+        df = df.join(numbered(df.select(c).distinct(), [c], out), c)
     return df

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import complexcols as C
-from .scattering import phase
+from .scattering import phase, tiles
 
 
 def residual_field(ampl: DataFrame, points: DataFrame, q_axes: Sequence[str], p_axes: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -20,6 +22,36 @@ def residual_field(ampl: DataFrame, points: DataFrame, q_axes: Sequence[str], p_
     return pairs.groupBy(*key).agg(F.sum(diff[0]).alias("d_re"), F.sum(diff[1]).alias("d_im"), F.sum(mean[0]).alias("av_re"), F.sum(mean[1]).alias("av_im"))
 
 
+def residual_field_tiled(ampl: DataFrame, points: DataFrame, q_axes: Sequence[str], p_axes: Sequence[str], key: Sequence[str], q_rows: int = 2048, p_rows: int = 2048) -> DataFrame:
+    """As ``residual_field``, by matrix products of tiles of amplitudes and tiles of patch points, in one, two or three dimensions.
+
+    A task holds one pair of tiles at a time (2048 x 2048 phases, 64 MB at most), neither side is broadcast whole, and a pair of tiles leaves one
+    row for each of its points instead of one for each point and reciprocal point. ``key`` are columns of ``points``.
+    """
+    dims, values = len(q_axes), ("a_re", "a_im", "av_re", "av_im")
+    one = tiles(ampl.select(*(F.col(a).cast("double").alias(f"q{i}") for i, a in enumerate(q_axes)), *(F.col(v).cast("double").alias(v) for v in values)), [*(f"q{i}" for i in range(dims)), *values], q_rows, "_tq")
+    kinds = dict(points.dtypes)
+    placed = points.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(key)), *(F.col(a).cast("double").alias(f"p{i}") for i, a in enumerate(p_axes)))
+    two = tiles(placed, [*(f"k{i}" for i in range(len(key))), *(f"p{i}" for i in range(dims))], p_rows, "_tp")
+    out = ("d_re", "d_im", "av_re", "av_im")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                q = np.array([getattr(row, f"q{i}") for i in range(dims)])
+                p = np.array([getattr(row, f"p{i}") for i in range(dims)]).T
+                a = np.asarray(row.a_re) + 1j * np.asarray(row.a_im)
+                mean = np.asarray(row.av_re) + 1j * np.asarray(row.av_im)
+                sums = np.exp(-1j * (p @ q)) @ np.stack([a - mean, mean], 1)
+                columns = [sums[:, 0].real, sums[:, 0].imag, sums[:, 1].real, sums[:, 1].imag]
+                yield pd.DataFrame({**{f"k{i}": getattr(row, f"k{i}") for i in range(len(key))}, **dict(zip(out, columns, strict=True))})
+
+    schema = ", ".join([*(f"k{i} {kinds[k]}" for i, k in enumerate(key)), *(f"{o} double" for o in out)])
+    parts = two.repartition(F.col("_tp")).crossJoin(one).mapInPandas(run, schema)
+    summed = parts.groupBy(*(f"k{i}" for i in range(len(key)))).agg(*(F.sum(o).alias(o) for o in out))
+    return summed.withColumnsRenamed({f"k{i}": k for i, k in enumerate(key)})
+
+
 def merge_partials(parts: DataFrame, key: Sequence[str], part: Sequence[str], values: Sequence[str], refuse: bool = False) -> DataFrame:
     """Add partial sums by key. A part delivered twice counts once, or with ``refuse`` is an error."""
     if refuse:

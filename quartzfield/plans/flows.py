@@ -37,7 +37,8 @@ def transform(atoms: DataFrame, sites: DataFrame, spec: DataFrame, dims: int, ma
         ampl = scattering.amplitudes(atoms, q, q_axes, true_axes, origins, [*keys, *q_axes])
     points = grids.patch_grid(sites, XYZ[:dims])
     p_axes = [f"p{a}" for a in XYZ[:dims]]
-    field = residual.residual_field(ampl, points, q_axes, p_axes, ["site_id", "point_no", *p_axes])
+    back = residual.residual_field_tiled if tiled else residual.residual_field
+    field = back(ampl, points, q_axes, p_axes, ["site_id", "point_no", *p_axes])
     total = intervals.agg(F.sum(grids.count_reciprocal_points([F.col(f"{a}_size") for a in HKL[:dims]])))
     return residual.normalize_residual(field, total)
 
@@ -65,12 +66,12 @@ def displacement_samples(atoms: DataFrame, sites: DataFrame, field: DataFrame, d
     return made.join(truth, "site_id").join(keys, "site_id").withColumn("decoder_key", decoder_key(F.col("_spec"))).drop("_spec")
 
 
-def displacements(atoms: DataFrame, spec: DataFrame, dims: int, mask: Column | None, dist: float, step: float, h_max: Sequence[float], lam: float = 1e-3) -> DataFrame:
+def displacements(atoms: DataFrame, spec: DataFrame, dims: int, mask: Column | None, dist: float, step: float, h_max: Sequence[float], lam: float = 1e-3, tiled: bool = False) -> DataFrame:
     """Train on the unmasked field of the same settings, apply to the masked one: ``site_id, ux, uy, uz``."""
     average = [f"{a}av" for a in XYZ[:dims]]
     sites = atoms.select("site_id", *(F.col(v).alias(a) for a, v in zip(XYZ, average, strict=False)), F.array(*[F.lit(dist)] * dims).alias("dist"), F.array(*[F.lit(step)] * dims).alias("step"))
     true = list(XYZ[:dims])
-    teach = displacement_samples(atoms, sites, transform(atoms, sites, spec, dims, None, true, average), dims, h_max)
+    teach = displacement_samples(atoms, sites, transform(atoms, sites, spec, dims, None, true, average, tiled), dims, h_max)
     matrix = train_decoder_family(teach.select("decoder_key", "features", "target"), lam=lam)
-    asked = teach if mask is None else displacement_samples(atoms, sites, transform(atoms, sites, spec, dims, mask, true, average), dims, h_max)
+    asked = teach if mask is None else displacement_samples(atoms, sites, transform(atoms, sites, spec, dims, mask, true, average, tiled), dims, h_max)
     return apply_decoder_family(asked.select("site_id", "decoder_key", "features"), matrix)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import complexcols as C
 from ..functions import lattice, scalars
 from ..operators import analysis, decoder, grids, masks, residual, scattering, sites, weights
-from ..sources import tables
+from ..sources import structures, tables
 from . import flows, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -930,6 +930,95 @@ def _(spark, d):
     return rounded(views.atoms_2d(spark, d).select("site_id", m[0].alias("m_re"), m[1].alias("m_im"), C.abs2(C.conjugate(a)).alias("square")), places=9)
 
 
+# --- inverse transform in two and three dimensions --------------------------------------------------------------------------------
+
+FIELD2 = f"field AS (SELECT b.site_id, sum((a_re - av_re) * c - (a_im - av_im) * s) AS d_re, sum((a_re - av_re) * s + (a_im - av_im) * c) AS d_im, sum(av_re * c - av_im * s) AS av_re, sum(av_re * s + av_im * c) AS av_im FROM (SELECT b.site_id, ampl.*, cos(qh * b.xav + qk * b.yav) AS c, -sin(qh * b.xav + qk * b.yav) AS s FROM atoms b, ampl) b GROUP BY b.site_id)"
+FIELD3 = f"field AS (SELECT b.cell_x, b.cell_y, sum((a_re - av_re) * c - (a_im - av_im) * s) AS d_re, sum((a_re - av_re) * s + (a_im - av_im) * c) AS d_im, sum(av_re * c - av_im * s) AS av_re, sum(av_re * s + av_im * c) AS av_im FROM (SELECT p.cell_x, p.cell_y, ampl.*, cos(qh * p.x + qk * p.y + ql * p.z) AS c, -sin(qh * p.x + qk * p.y + ql * p.z) AS s FROM (SELECT cell_x, cell_y, cell_x / 20e0 AS x, cell_y / 20e0 AS y, 5e-1 AS z FROM (SELECT DISTINCT cell_x, cell_y FROM atoms)) p, ampl) b GROUP BY b.cell_x, b.cell_y)"
+
+
+@query("e6_residual_field_2d_tiled", f"{WITH2}, {AMPL2}, {FIELD2} SELECT site_id, {FIELD4} FROM field")
+def _(spark, d):
+    points = views.atoms_2d(spark, d).select("site_id", F.col("xav").alias("px"), F.col("yav").alias("py"))
+    return rounded(residual.residual_field_tiled(ampl_2d(spark, d, tiled=True), points, ["qh", "qk"], ["px", "py"], ["site_id"]))
+
+
+@query("e6_residual_field_3d_tiled", f"{WITH3}, {AMPL3}, {FIELD3} SELECT cell_x, cell_y, {', '.join(r(x, places=5) for x in ('d_re', 'd_im', 'av_re', 'av_im'))} FROM field")
+def _(spark, d):
+    atoms, q = views.atoms_3d(spark, d), grid_3s(spark, d)
+    number = ((F.col("ih") * 4096 + F.col("ik")) * 4096 + F.col("il")).cast("bigint")
+    q = q.withColumn("q_id", number)
+    ampl = scattering.amplitudes_tiled(atoms, q, ["qh", "qk", "ql"], list("xyz"), ["xav", "yav", "zav"], "q_id").join(q.select("q_id", "qh", "qk", "ql"), "q_id")
+    points = atoms.select("cell_x", "cell_y").distinct().select("cell_x", "cell_y", (F.col("cell_x") / 20).alias("px"), (F.col("cell_y") / 20).alias("py"), F.lit(0.5).alias("pz"))
+    return rounded(residual.residual_field_tiled(ampl, points, ["qh", "qk", "ql"], ["px", "py", "pz"], ["cell_x", "cell_y"]), places=5)
+
+
+@query("k14_displacements_2d")
+def displacements_2d(spark, d):
+    """The inverse path in two dimensions by tiles; known displacements are recovered in the tests."""
+    atoms = views.atoms_2d(spark, d).where("cell_y < 10 AND refnumber IS NOT NULL")
+    spec = views.box_spec(atoms, 2, 0.1, 0.1)
+    return flows.displacements(atoms, spec, 2, None, 0.05, 0.0125, [1.0, 1.0], tiled=True).select("site_id", "ux", "uy")
+
+
+# --- files and stored tables -------------------------------------------------------------------------------------------------------
+
+
+def _cells(*columns: str, between: str = "\t") -> Column:
+    return F.concat_ws(between, *(F.col(c).cast("string") for c in columns))
+
+
+@query("a1_read_structure_1d", f"{WITH2} SELECT row_number() OVER (PARTITION BY coeff ORDER BY site_id) - 1 AS site_id, element, refnumber, {r('x * 8e0', 'x')}, {r('xav * 8e0', 'xav')}, coeff FROM atoms")
+def _(spark, d):
+    path, atoms = tables.scratch(spark), views.atoms_2d(spark, d).withColumn("structure", F.col("coeff"))
+    tables.write_files(atoms, "structure", "site_id", ["Supercell dimensions:\t40", "Cell (Ang/deg):\t8.0", "Element\tX\tXav\tRefNumber\tCoeff"], _cells("element", "x", "xav", "refnumber", "coeff"), path)
+    return rounded(structures.read_structure_1d(spark, path).select("site_id", "element", "refnumber", "x", "xav", "coeff"))
+
+
+@query("a2_read_structure_2d", f"{WITH2} SELECT row_number() OVER (PARTITION BY coeff ORDER BY site_id) - 1 AS site_id, element, refnumber, {r('x * 8e0 + y * 10e0 * cos(radians(6e1))', 'x')}, {r('y * 10e0 * sin(radians(6e1))', 'y')}, {r('xav * 8e0 + yav * 10e0 * cos(radians(6e1))', 'xav')}, {r('yav * 10e0 * sin(radians(6e1))', 'yav')}, coeff FROM atoms")
+def _(spark, d):
+    path, atoms = tables.scratch(spark), views.atoms_2d(spark, d).withColumn("structure", F.col("coeff"))
+    tables.write_files(atoms, "structure", "site_id", ["Supercell dimensions: 40 50", "Cell (Ang/deg): 8.0 10.0 60.0", "Element X Y Xav Yav RefNumber FF"], _cells("element", "x", "y", "xav", "yav", "refnumber", "coeff", between=" "), path)
+    return rounded(structures.read_structure_2d(spark, path).select("site_id", "element", "refnumber", "x", "y", "xav", "yav", "coeff"))
+
+
+@query("a3_read_structure_rmc6f", f"{WITH3} SELECT site_id, element, {r('x')}, {r('y')}, {r('z')}, refnumber, cell_x, cell_y, cell_z FROM atoms")
+def _(spark, d):
+    path, atoms = tables.scratch(spark), views.atoms_3d(spark, d).withColumns({"structure": F.col("cell_x"), "label": F.lit("[1]")})
+    tables.write_files(atoms, "structure", "site_id", ["Supercell dimensions: 20 20 20", "Cell (Ang/deg): 8 8 8 90 90 90", "Atoms:"], _cells("site_id", "element", "label", "x", "y", "z", "refnumber", "cell_x", "cell_y", "cell_z", between=" "), path)
+    return rounded(structures.read_structure_rmc6f(spark, path).select("site_id", "element", "x", "y", "z", "refnumber", "cell_x", "cell_y", "cell_z"))
+
+
+@query("a4_read_points", f"{WITH3} SELECT row_number() OVER (PARTITION BY cell_x ORDER BY site_id) - 1 AS point_no, {r('x')}, {r('y')}, {r('z')} FROM atoms")
+def _(spark, d):
+    path, atoms = tables.scratch(spark), views.atoms_3d(spark, d)
+    tables.write_files(atoms, "cell_x", "site_id", [], _cells("x", "y", "z", between=" "), path)
+    return rounded(structures.read_points(spark, path, 3).select("point_no", *(F.col("p")[i].alias(a) for i, a in enumerate("xyz"))))
+
+
+@query("a8_stored_amplitudes", f"{WITH2}, {AMPL1} SELECT ih, {FOUR}, CAST(abs(ih) % 4 AS INT) AS interval_id FROM ampl WHERE abs(ih) % 4 IN (1, 2)")
+def _(spark, d):
+    path = tables.scratch(spark)
+    tables.write_amplitudes(ampl_1d(spark, d).withColumn("interval_id", (F.abs("ih") % 4).cast("int")), path)
+    return rounded(tables.read_amplitudes(spark, path, [1, 2]).select("ih", "a_re", "a_im", "av_re", "av_im", "interval_id"))
+
+
+@query("a9_stored_residual", f"{WITH2}, {AMPL1M}, {FIELD1} SELECT site_id, {r('d_re')}, {r('d_im')}, CAST(site_id % 5 AS INT) AS chunk_id, 81 AS points FROM field")
+def _(spark, d):
+    path = tables.scratch(spark)
+    field = field_1d(spark, d, disc()).withColumn("chunk_id", (F.col("site_id") % 5).cast("int"))
+    tables.write_residual(field, spark.createDataFrame([(1, c, 81) for c in range(5)], "interval_id int, chunk_id int, points int"), path)
+    values_of, applied = tables.read_residual(spark, path)
+    return rounded(values_of.join(F.broadcast(applied), "chunk_id").select("site_id", "d_re", "d_im", "chunk_id", "points"))
+
+
+@query("a12_stored_sites", "SELECT p_partkey AS site_id, CASE WHEN p_size <= 25 THEN 'first' ELSE 'second' END AS origin FROM part")
+def _(spark, d):
+    path, part = tables.scratch(spark), spark.read.parquet(f"{d}/part.parquet")
+    tables.write_sites(part.where("p_size <= 25").select(F.col("p_partkey").alias("site_id"), F.lit("first").alias("origin")), path)
+    tables.write_sites(part.select(F.col("p_partkey").alias("site_id"), F.lit("second").alias("origin")), path)
+    return spark.read.parquet(path)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: chemical contrast of all sites of the lattice in one dimension."""
     return chemical_contrast_1d(spark, sf_dir)

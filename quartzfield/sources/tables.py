@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; a session on one machine may leave that unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='quartzfield-')}"
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def write_files(df: DataFrame, key: str, order: str, header: list[str], line, path: str) -> None:
+    """A text file for each value of ``key``: header lines, then one line a row in the given order. A file must fit a task, as those who read it need it whole."""
+    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("_rows"))
+    text = F.concat_ws("\n", *map(F.lit, header), F.concat_ws("\n", "_rows.l"))
+    rows.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def write_amplitudes(df: DataFrame, path: str) -> None:
     """One folder for each interval, so a reader takes only those it asks for."""
     df.repartition("interval_id").write.mode("append").partitionBy("interval_id").parquet(path)

@@ -178,6 +178,27 @@ def test_displacements_recover(spark):
     assert np.corrcoef(got["ux"], u)[0, 1] > 0.95
 
 
+def test_displacements_recover_in_two_dimensions(spark):
+    rng = np.random.default_rng(5)
+    n = 6
+    u = rng.uniform(-2e-3, 2e-3, (n, n, 2))
+    rows = [(i * n + j, "A", 1, i, j, 1.0, i / n, j / n, float(i / n + u[i, j, 0]), float(j / n + u[i, j, 1])) for i in range(n) for j in range(n)]
+    atoms = spark.createDataFrame(rows, "site_id bigint, element string, refnumber int, cell_x int, cell_y int, coeff double, xav double, yav double, x double, y double")
+    spec = views.box_spec(atoms, 2, 4.0, 4.0, (n, n))
+    got = flows.displacements(atoms, spec, 2, None, 0.04, 0.01, [4.0, 4.0], lam=1e-6, tiled=True).orderBy("site_id").toPandas()
+    assert np.corrcoef(got["ux"], u[:, :, 0].ravel())[0, 1] > 0.9 and np.corrcoef(got["uy"], u[:, :, 1].ravel())[0, 1] > 0.9
+
+
+def test_tiled_field_is_the_same(spark):
+    rng = np.random.default_rng(6)
+    ampl = spark.createDataFrame([tuple(map(float, rng.normal(size=7))) for _ in range(40)], "qh double, qk double, ql double, a_re double, a_im double, av_re double, av_im double")
+    points = spark.createDataFrame([(i, f"n{i % 3}", *map(float, rng.normal(size=3))) for i in range(50)], "site_id bigint, point_no string, px double, py double, pz double")
+    args = (["qh", "qk", "ql"], ["px", "py", "pz"], ["site_id", "point_no"])
+    a = residual.residual_field(ampl, points, *args).orderBy("site_id").toPandas()
+    b = residual.residual_field_tiled(ampl, points, *args, q_rows=7, p_rows=9).orderBy("site_id").toPandas()
+    assert list(a["point_no"]) == list(b["point_no"]) and all(np.allclose(a[c], b[c]) for c in ("d_re", "d_im", "av_re", "av_im"))
+
+
 def test_structure_files(spark, tmp_path):
     (tmp_path / "a.f1d").write_text("Supercell dimensions:\t4\nCell (Ang/deg):\t8.0\nElement\tX\tXav\tRefNumber\tCoeff\nNa\t0.26\t0.25\t1\t2.5\nCl\t0.5\t0.5\t2\t-1\n")
     one = structures.read_structure_1d(spark, str(tmp_path / "a.f1d")).orderBy("site_id").collect()
