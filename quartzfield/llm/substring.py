@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialise, slices
 from .segments import branching, cut_spans, first_window, keyed, repeated_segments, segment_texts, union_of, unpack, window_count, word_symbols
 
 _KEY = ["c1", "c2"]
@@ -36,13 +36,15 @@ def repeated_spans(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 start = np.repeat(np.array([s for s, _, _ in where]), count) + offset
                 edges = symbols.digests(start, start + window)
                 columns = [edges[:, 0], edges[:, 1], offset.astype(np.int32)]
-                columns += [np.repeat(np.array([w[c] for w in wanted], np.int64), count) for c in (*_KEY, "first")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["e1", "e2", "offset", *_KEY, "first"])
+                columns += [np.repeat(np.array([w[c] for w in wanted], np.int64), count) for c in ("path", "first")]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["e1", "e2", "offset", "path", "first"])
 
-    forks = branching(paths).select("kid", "at", "first", *_KEY)
-    edges = segment_texts(rows, forks, unfold, "e1 bigint, e2 bigint, offset int, c1 bigint, c2 bigint, first bigint")
-    # one shuffle of the edges; Spark spills the rows of an edge that very many paths share
-    later = edges.withColumn("least", F.min("first").over(Window.partitionBy("e1", "e2"))).where("first > least").groupBy(*_KEY).agg(F.min("offset").alias("from"), F.max("offset").alias("to"))
+    forks = materialise(branching(paths).select("kid", "at", "first", *_KEY, F.monotonically_increasing_id().alias("path")))
+    edges = segment_texts(rows, forks.select("kid", "at", "path", "first"), unfold, "e1 bigint, e2 bigint, offset int, path bigint, first bigint")
+    # an edge's first document is found before the shuffle in part; the join back is one that Spark can split where very many paths share an edge
+    shared = edges.groupBy("e1", "e2").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("e1", "e2", "least")
+    met = edges.join(shared, ["e1", "e2"]).where("first > least").groupBy("path").agg(F.min("offset").alias("from"), F.max("offset").alias("to"))
+    later = met.join(forks.select("path", *_KEY), "path").select(*_KEY, "from", "to")
     verdict = paths.select(*_KEY, "first").join(later, _KEY, "left")
     own = F.col("doc") == F.col("first")
     start = F.when(own, first_window() + F.col("from")).otherwise(first_window())
