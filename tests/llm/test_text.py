@@ -1,12 +1,11 @@
 """Decontamination, BPE, chat formatting, secrets, licences and toxicity."""
 
 import random
-import re
 
 import numpy as np
 import public_tokenizers
 import tiktoken
-from fixtures import MESSY
+from fixtures import MESSY, base_of
 
 from quartzfield.llm import bpe, chat, decontam, licenses, secrets, toxicity
 
@@ -150,18 +149,6 @@ def test_chat_long(spark):
     assert got.n_turns == 3000 and got.learnt == "".join(f"t{k}" for k in range(1, 3000, 2))
 
 
-BASE = {
-    0: re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
-    1: re.compile(r"AKIA[A-Z0-9]+"),
-    2: re.compile(r"[0-9a-f]+"),
-}
-
-
-def base_of(text):
-    keep = {0: lambda m: len(m[2]) >= 12, 1: lambda m: len(m[0]) >= 18, 2: lambda m: len(m[0]) >= 16}
-    return sorted((m.start(), k, m.end()) for k, p in BASE.items() for m in p.finditer(text) if keep[k](m))
-
-
 def test_secret_patterns():
     r = random.Random(2)
     parts = ["password", "Token", "api_key", "APIKEY", "secret", "=", ": ", '"', "'", " ", "abcdef", "0123456789abcdef", "AKIA", "ABCDEF123456", "XYZ", "\n", "ſecret", "toKen", "-_./+", "é"]
