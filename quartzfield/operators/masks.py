@@ -74,7 +74,7 @@ def mask_periodic(q: DataFrame, points: DataFrame, axes: Sequence[str]) -> DataF
     for a in axes:
         found = periodic_candidates(found, f"c_{a}", f"_{a}_low", f"_{a}_high", f"_{a}")
     found = found.select(*(f"_{a}" for a in axes), "radius").distinct()
-    width = F.broadcast(found.agg(F.greatest(F.max("radius"), F.lit(1e-9)).alias("_width")))
+    width = F.broadcast(points.agg(F.greatest(F.max("radius"), F.lit(1e-9)).alias("_width")))
     near = found.crossJoin(width)
     mine = q.crossJoin(width)
     for a in axes:
