@@ -1,5 +1,6 @@
 """Literal fixtures, numpy brute force and invariants of the scattering operators."""
 
+import datetime
 import math
 
 import numpy as np
@@ -242,7 +243,16 @@ def test_streamed_partials(spark, tmp_path):
     spark.createDataFrame([(1, 7, 1.0), (1, 7, 1.0), (2, 7, 2.0)], schema).write.parquet(f"{tmp_path}/in")
     sums = partials.stream_partials(spark, f"{tmp_path}/in", schema, ["p"], ["interval_id"], ["d_re"])
     partials.run_available(sums, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(7, 3.0)]
+    assert [tuple(r) for r in partials.latest(spark, f"{tmp_path}/out").collect()] == [(7, 3.0)]
+    spark.createDataFrame([(2, 7, 2.0), (3, 7, 4.0)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    partials.run_available(sums, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert [tuple(r) for r in partials.latest(spark, f"{tmp_path}/out").collect()] == [(7, 7.0)]
+    timed = "interval_id int, p int, d_re double, at timestamp"
+    now = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, 7, 1.0, now), (1, 7, 1.0, now), (2, 7, 2.0, now)], timed).write.parquet(f"{tmp_path}/in2")
+    sums = partials.stream_partials(spark, f"{tmp_path}/in2", timed, ["p"], ["interval_id"], ["d_re"], arrived="at")
+    partials.run_available(sums, f"{tmp_path}/out2", f"{tmp_path}/state2").awaitTermination()
+    assert [tuple(r) for r in partials.latest(spark, f"{tmp_path}/out2").collect()] == [(7, 3.0)]
 
 
 def test_batches_of_few_rows(spark):
