@@ -148,12 +148,16 @@ def notices(df: DataFrame, id_col: str, text_col: str, cues: tuple[str, ...], bu
     """
     has = _pattern(cues)
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"), text_of(text_col).alias("_text")).where(F.lower("_text").rlike(has))
-    line = F.lower(F.col("_line")).rlike(has)
-    if but:
-        line = line & ~F.col("_line").rlike(but)
-    lines = docs.select("doc", F.split("_text", "\n").alias("_lines")).select("doc", "_lines", F.posexplode("_lines").alias("paragraph", "_line")).where(line)
-    span = [F.concat_ws(" ", F.slice("_lines", F.col("paragraph") + 1, F.lit(w))) for w in WRAPS]
-    read = lines.select("doc", "paragraph", F.array(*(F.struct(F.lit(w).alias("lines"), b.alias("body"), tokens(b).alias("words")) for w, b in zip(WRAPS, span, strict=True))).alias("_spans"))
+    lines = docs.select("doc", F.split("_text", "\n").alias("_lines"))
+
+    def starts(line: Column) -> Column:
+        return F.lower(line).rlike(has) & (~line.rlike(but) if but else F.lit(True))
+
+    at = F.filter(F.transform("_lines", lambda x, i: F.when(starts(x), i)), lambda i: i.isNotNull())
+    bodies = [(lambda i, w=w: F.struct(F.lit(w).alias("lines"), F.concat_ws(" ", F.slice("_lines", i + 1, F.lit(w))).alias("body"))) for w in WRAPS]
+    found = lines.select("doc", F.transform(at, lambda i: F.struct(i.alias("paragraph"), F.array(*(b(i) for b in bodies)).alias("spans"))).alias("_found"))
+    # a row holds its own lines only, however long its text is
+    read = found.select("doc", F.explode("_found").alias("_f")).select("doc", "_f.paragraph", F.transform("_f.spans", lambda s: F.struct(s["lines"].alias("lines"), s["body"].alias("body"), tokens(s["body"]).alias("words"))).alias("_spans"))
     spans = read.select("doc", "paragraph", F.transform("_spans", lambda s: F.struct(s["lines"].alias("lines"), s["body"].alias("body"), s["words"].alias("words"), ngrams(s["words"]).alias("grams"))).alias("_spans"))
     rated = F.transform("_spans", lambda s: F.struct(_overlap(s["grams"]).alias("overlap"), (-s["lines"]).alias("fewest"), s["body"].alias("body"), s["words"].alias("words")))
     best = materialise(spans.select("doc", "paragraph", F.array_max(rated).alias("_best")))  # else Spark repeats all of this in each filter behind it
