@@ -31,7 +31,7 @@ def train_decoder_family(samples: DataFrame, key: str = "decoder_key", lam: floa
     """``key, row_no, weights``: a decoder for each key from ``features`` and ``target`` arrays.
 
     Each task sums its Gram products, by key, and only those sums move; they have the size of the features squared however many
-    samples there are. A key with fewer samples than features and at most ``gather`` of them is solved in the dual form from
+    samples there are; that square must fit a task, so features are some thousand at most. A key with fewer samples than features and at most ``gather`` of them is solved in the dual form from
     the samples themselves. No samples is an error.
     """
     sizes = samples.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("features")).alias("_p"))
@@ -113,9 +113,12 @@ def check_patch_specs(sites: DataFrame, spec: Column, single: bool) -> DataFrame
 
 
 def decoder_source(mode: str, path: str | None, settings: dict, compute: Callable[[], DataFrame], spark=None, family: bool = False) -> DataFrame:
-    """A decoder table: ``compute`` runs the unmasked samples, ``cache`` reads one of the same settings, ``error`` refuses."""
+    """A decoder table: ``compute`` runs the unmasked samples and keeps the matrix under ``path`` if there is one, ``cache`` reads one of the same settings, ``error`` refuses."""
     if mode == "compute":
-        return compute()
+        made = compute()
+        if path and not family:
+            write_decoder(made, path, settings)
+        return made
     if mode == "cache":
         if family:
             raise ValueError("decoders by key are not cached")
@@ -125,6 +128,11 @@ def decoder_source(mode: str, path: str | None, settings: dict, compute: Callabl
     raise ValueError(f"unknown decoder source {mode}")
 
 
+def write_decoder(matrix: DataFrame, path: str, settings: dict) -> None:
+    """Keep a matrix for runs of the same settings."""
+    matrix.write.mode("overwrite").parquet(f"{path}/decoder_{settings_key(settings)}")
+
+
 def settings_key(settings: dict) -> str:
     return hashlib.sha1(repr(sorted(settings.items())).encode()).hexdigest()
 

@@ -34,6 +34,9 @@ def make_intervals(specs: DataFrame, dims: int, previous: Sequence[str] | None =
 
     h and k are symmetric; l is positive, with the plane l = 0 apart. With ``previous`` (columns of the limits reached before) only
     combinations with at least one new range come, the plane only for new h or k: those that an extension adds.
+
+    Each range but the first begins one grid spacing behind the end of the one before. With a step that is no multiple of the spacing 1 / size, and always with a
+    smaller one, grid points between two ranges are in neither: that is the rule that results are matched to, so choose steps of whole spacings.
     """
     old = [F.col(p) for p in previous] if previous else [F.lit(0.0)] * dims
     out = specs

@@ -162,6 +162,19 @@ def test_primal_and_dual_agree():
     assert np.allclose(decoder.solve_ridge(r @ r.T, u @ r.T, 1e-3), decoder.solve_dual(r, u, 1e-3))
 
 
+def test_decoder_cache(spark, tmp_path):
+    made = spark.createDataFrame([("all", 0, [1.0, 2.0])], "decoder_key string, row_no int, weights array<double>")
+    decoder.decoder_source("compute", str(tmp_path), {"step": 0.1}, lambda: made, spark)
+    assert decoder.decoder_source("cache", str(tmp_path), {"step": 0.1}, None, spark).first().weights == [1.0, 2.0]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        decoder.decoder_source("cache", str(tmp_path), {"step": 0.2}, None, spark)
+
+
+def test_intervals_of_small_steps_leave_out_points(spark):
+    points = {step: flows.grid_of(views.box_spec(spark.range(1), 1, 1.0, step, (4,)), 1)[1].count() for step in (1.0, 0.5, 0.1)}
+    assert points[1.0] == points[0.5] == 9 and points[0.1] < 9
+
+
 def test_patch_conflict(spark):
     s = spark.createDataFrame([(1, [0.2], [0.1]), (1, [0.3], [0.1])], "refnumber int, dist array<double>, step array<double>")
     assert decoder.check_patch_specs(s, decoder.patch_spec(1), False).first().specs == 2
