@@ -104,48 +104,49 @@ def word_symbols(texts: list[bytes]) -> Symbols:
     return Symbols(np.frombuffer(data, _U)[::2], data, 16, _bounds([len(p) // 16 for p in parts]))
 
 
-def _pieces(bounds: np.ndarray, window: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Groups of (text, from, to) of about _CHUNK symbols; long texts are cut so that each window is in one piece."""
+def segments_of(symbols: Symbols, window: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
+    """Segments of texts: text no., first window's start in it, number of windows, anchor's offset from that start, anchor, content hash.
+
+    About _CHUNK symbols are scanned at once. A longer text is scanned in parts; the last segment of a part, which may go on, begins the next one.
+    """
     group, size = [], 0
-    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        while b - a >= window:
-            end = min(b, a + _CHUNK)
-            group.append((i, a, end))
-            size += end - a
+    for i, (a, b) in enumerate(zip(symbols.bounds[:-1].tolist(), symbols.bounds[1:].tolist(), strict=True)):
+        while b - a > _CHUNK:
+            found = _scan(symbols, [(i, a, a + _CHUNK)], window, gram)
+            a = int(found["start"][-1] + symbols.bounds[i])
+            yield {k: v[:-1] for k, v in found.items()}
+        if b - a >= window:
+            group.append((i, a, b))
+            size += b - a
             if size >= _CHUNK:
-                yield group
+                yield _scan(symbols, group, window, gram)
                 group, size = [], 0
-            if end == b:
-                break
-            a = end - window + 1
     if group:
-        yield group
-
-
-def segments_of(symbols: Symbols, window: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
-    """Segments of texts: text no., first window's start in it, number of windows, anchor's offset from that start, anchor, content hash."""
-    bounds = symbols.bounds
-    for group in _pieces(bounds, window):
-        part = np.concatenate([symbols.numbers[a:b] for _, a, b in group])
-        offset = _bounds([b - a for _, a, b in group])
-        grams = gram_hashes(part, gram)
-        low = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=_U)
-        span, width = 1, window - gram + 1
-        while 2 * span <= width:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        if width > span:
-            low = np.minimum(low[: span - width], low[width - span :])
-        starts = np.concatenate([np.arange(a, b - window + 1) for a, b in zip(offset[:-1], offset[1:], strict=True)])
-        anchor = (low[starts] & _U(0xFFFFFFFF)).astype(np.int64)
-        new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        first, last = starts[new], starts[np.concatenate((new[1:], [len(starts)])) - 1]
-        anchor = anchor[new]
-        piece = np.searchsorted(offset, first, side="right") - 1
-        text = np.array([i for i, _, _ in group])[piece]
-        shift = np.array([a for _, a, _ in group])[piece] - offset[piece]
-        content = symbols.digests(first + shift, last + window + shift)
-        yield {"text": text, "start": first + shift - bounds[text], "windows": last - first + 1, "anchor": anchor - first, "g": grams[anchor].view(np.int64), "c1": content[:, 0], "c2": content[:, 1]}
+        yield _scan(symbols, group, window, gram)
+
+
+def _scan(symbols: Symbols, group: list[tuple[int, int, int]], window: int, gram: int) -> dict[str, np.ndarray]:
+    """Segments of parts (text, from, to) of texts, fewer than 2 * _CHUNK symbols in all."""
+    part = np.concatenate([symbols.numbers[a:b] for _, a, b in group])
+    offset = _bounds([b - a for _, a, b in group])
+    grams = gram_hashes(part, gram)
+    low = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=_U)
+    span, width = 1, window - gram + 1
+    while 2 * span <= width:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if width > span:
+        low = np.minimum(low[: span - width], low[width - span :])
+    starts = np.concatenate([np.arange(a, b - window + 1) for a, b in zip(offset[:-1], offset[1:], strict=True)])
+    anchor = (low[starts] & _U(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    first, last = starts[new], starts[np.concatenate((new[1:], [len(starts)])) - 1]
+    anchor = anchor[new]
+    piece = np.searchsorted(offset, first, side="right") - 1
+    text = np.array([i for i, _, _ in group])[piece]
+    shift = np.array([a for _, a, _ in group])[piece] - offset[piece]
+    content = symbols.digests(first + shift, last + window + shift)
+    return {"text": text, "start": first + shift - symbols.bounds[text], "windows": last - first + 1, "anchor": anchor - first, "g": grams[anchor].view(np.int64), "c1": content[:, 0], "c2": content[:, 1]}
 
 
 #: How a segment lies in its document: start << 20 | windows << 10 | offset of the anchor.

@@ -195,6 +195,35 @@ def test_near_edges(messy, nothing):
     assert near_dedup(nothing).count() == 0
 
 
+def thue_morse(bits):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(1 << bits))
+
+
+def test_words_that_polynomial_hashes_confuse(make):
+    one = thue_morse(11)
+    two = one.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(60)]
+    docs = make([(1, " ".join([*around[:30], one, *around[30:]])), (2, " ".join([*around[:30], two, *around[30:]]))])
+    assert [r.n_removed for r in substring_dedup(docs).orderBy("doc_id").collect()] == [0, 0]
+    docs = make([(1, f"{one} x"), (2, f"{two} x")])
+    assert [r.component_id for r in near_dedup(docs, shingle=2).orderBy("doc_id").collect()] == [1, 2]
+    docs = make([(1, one + "x" * 300), (2, two + "x" * 300)])
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(docs, window=1000).collect())
+    assert got == removed_bytes([(1, (one + "x" * 300).encode()), (2, (two + "x" * 300).encode())], 1000)
+
+
+def test_very_long_texts(make):
+    line = " ".join(f"w{i % 977}x{i}" for i in range(60_000))  # about 700 kB
+    docs = make([(1, line), (2, "start " + line), (3, "one " * 100_000)])
+    got = {r.doc_id: r for r in substring_dedup(docs).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (0, 60_000, 0)
+    parts = {r.doc_id: r.component_id for r in near_dedup(docs, shingle=5).collect()}
+    assert parts == {1: 1, 2: 1, 3: 3}
+    cut = {r.doc_id: r for r in suffix_dedup(docs).collect()}
+    assert cut[1].n_removed == len(line) and cut[2].n_removed == len(line) and cut[3].n_removed == 400_000
+    assert [(x.start, x.end, x.places) for x in cut[1].repeats] == [(0, len(line), 2)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
