@@ -141,17 +141,23 @@ def _pattern(cues: tuple[str, ...]) -> str:
     return r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(c) for c in cues) + r")(?![\p{L}\p{N}])" if cues else "(?!)"
 
 
+def _maybe(text: Column, cues: tuple[str, ...]) -> Column:
+    """False only for texts without any cue: a cheap look at runs of letters and digits, of which each cue has one."""
+    parts = sorted({max(re.findall(r"[a-z0-9]+", c), key=len) for c in cues})
+    return F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), F.lit(parts)) if parts else F.lit(False)
+
+
 def notices(df: DataFrame, id_col: str, text_col: str, cues: tuple[str, ...], but: str | None = None) -> DataFrame:
     """``doc, paragraph, lines, body, words``: from each line with a cue on, as many lines as hold most of some template, the fewest of those.
 
     ``but`` leaves out lines that match it.
     """
     has = _pattern(cues)
-    docs = df.select(F.col(id_col).cast("bigint").alias("doc"), text_of(text_col).alias("_text")).where(F.lower("_text").rlike(has))
+    docs = df.select(F.col(id_col).cast("bigint").alias("doc"), text_of(text_col).alias("_text")).where(_maybe(F.col("_text"), cues))
     lines = docs.select("doc", F.split("_text", "\n").alias("_lines"))
 
     def starts(line: Column) -> Column:
-        return F.lower(line).rlike(has) & (~line.rlike(but) if but else F.lit(True))
+        return _maybe(line, cues) & F.lower(line).rlike(has) & (~line.rlike(but) if but else F.lit(True))
 
     at = F.filter(F.transform("_lines", lambda x, i: F.when(starts(x), i)), lambda i: i.isNotNull())
     bodies = [(lambda i, w=w: F.struct(F.lit(w).alias("lines"), F.concat_ws(" ", F.slice("_lines", i + 1, F.lit(w))).alias("body"))) for w in WRAPS]
