@@ -16,6 +16,7 @@ from .minhash import near_dedup
 from .secrets import fit_secrets, scan_secrets
 from .substring import substring_dedup
 from .suffix import suffix_dedup
+from .tokencount import count_tokens
 from .toxicity import fit_toxicity, held_out, score_toxicity
 
 #: Rank file and pattern of the tokenizer that op4 and the pipeline use.
@@ -41,6 +42,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), prefer_longest=True)
 
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_token_counts": op11_token_counts,
 }
 
 SQL = {
