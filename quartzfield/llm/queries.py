@@ -13,6 +13,7 @@ from .decontam import find_leaks
 from .exact import exact_dedup
 from .licenses import fit_licenses, scan_licenses
 from .minhash import near_dedup
+from .repair import damaged, repair_conversations
 from .secrets import fit_secrets, scan_secrets
 from .substring import substring_dedup
 from .suffix import suffix_dedup
@@ -46,6 +47,12 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair_conversations(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
+    lines = F.transform("repaired", lambda t: F.concat(t.role, F.lit(":"), t.text))
+    return out.withColumn("repaired_sha256", F.sha2(F.array_join(lines, "\n"), 256)).drop("repaired")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), prefer_longest=True)
 
@@ -101,6 +108,7 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_token_counts": op11_token_counts,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 SQL = {

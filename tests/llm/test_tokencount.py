@@ -65,8 +65,8 @@ def test_other_files(make):
 def test_frequent_pieces(make):
     """No pre-token above the bound is missed, however few counters there are and however rows lie in tasks."""
     rows = [(i, " ".join(["the"] * 40 + [f"w{i}x{k}" for k in range(30)] + ["of"] * 20)) for i in range(60)]
-    got = frequent_pieces(make(rows).repartition(7), PATH, size=8, fan_in=2)
-    assert got[:2] == [" the", " of"] and len(got) <= 8
+    got = frequent_pieces(make(rows).repartition(7), PATH, size=16, fan_in=2)
+    assert {" the", " w", "x", " of"} <= set(got) and len(got) <= 16
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
