@@ -14,6 +14,7 @@ from .exact import exact_dedup
 from .licenses import fit_licenses, scan_licenses
 from .minhash import near_dedup
 from .repair import damaged, repair_conversations
+from .search import ranked_search
 from .secrets import fit_secrets, scan_secrets
 from .substring import substring_dedup
 from .suffix import suffix_dedup
@@ -53,6 +54,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("repaired_sha256", F.sha2(F.array_join(lines, "\n"), 256)).drop("repaired")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), prefer_longest=True)
 
@@ -109,6 +114,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_token_counts": op11_token_counts,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL = {
@@ -136,5 +142,23 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('<s>[' || name || ']' || chr(10) || esc || '</s>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op13_ranked_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), c AS (
+  SELECT CAST(count(*) AS BIGINT) AS total, CAST(coalesce(sum(len(words)), 1) AS BIGINT) AS length FROM d WHERE len(words) > 0
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), p AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(words) AS BIGINT) AS n, unnest(words) AS term FROM d) GROUP BY ALL
+), f AS (SELECT term, count(*) AS df FROM p GROUP BY term
+), s AS (
+  SELECT item_id, doc_id,
+         CAST(sum(CAST(floor(1000e0 * ln((2e0 * total + 2e0) / (2e0 * df + 1e0))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * total) // length)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) CROSS JOIN c GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
 """,
 }
