@@ -69,10 +69,20 @@ class Library:
         return self.find.findall(segment) if len(segment) < 1 << 20 else (m.group() for m in self.find.finditer(segment))
 
 
+_LIBRARIES: dict[str, Library] = {}
+
+
+def library_of(path: str) -> Library:
+    """The library of this process for a file; loaded once, whatever the number of tasks."""
+    if path not in _LIBRARIES:
+        _LIBRARIES[path] = Library(path)
+    return _LIBRARIES[path]
+
+
 class Lengths(dict):
     """Tokens by pre-token: the dictionary holds the frequent ones, what is missing is encoded and kept in a bounded cache."""
 
-    def __init__(self, library: Library, frequent: dict[str, int], cache_size: int = 1 << 17):
+    def __init__(self, library: Library, frequent: dict[str, int], cache_size: int = 1 << 18):
         super().__init__(frequent)
         self.library, self.cache, self.cache_size = library, {}, cache_size
 
@@ -124,7 +134,7 @@ def frequent_pieces(df: DataFrame, path: str, text_col: str = "text", size: int
     """
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, counts = Library(path), Counter()
+        library, counts = library_of(path), Counter()
         for batch in slices(batches, "text", 1 << 20):
             for text in batch.column("text").to_pylist():
                 for s in library.segments(text)[0]:
@@ -176,7 +186,7 @@ def _lengths(path: str, table, name: str) -> Lengths:
     """The two tiers of this process for a broadcast table of this name; those of an earlier table go."""
     if name not in _READY:
         _READY.clear()
-        _READY[name] = Lengths(Library(path), _unpack(table.value))
+        _READY[name] = Lengths(library_of(path), _unpack(table.value))
     return _READY[name]
 
 
@@ -188,7 +198,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
     tokens; ids may be null or repeat, each row is counted by itself; an empty table gives an empty result; other columns are not read. Texts
     of any length are counted whole. The file must lie at ``path`` on every machine. No rows move between machines.
     """
-    library = Library(path)
+    library = library_of(path)
     pieces = frequent_pieces(df, path, text_col, size) if library.find is not None else []
     table, name = df.sparkSession.sparkContext.broadcast(_pack(pieces, [library.count(p) for p in pieces])), uuid.uuid4().hex
 
