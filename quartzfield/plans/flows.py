@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lattice import TWO_PI, minimum_image
-from ..operators import grids, residual, scattering, weights
+from ..operators import grids, residual, scattering, separable, weights
 from ..operators.decoder import apply_decoder_family, decoder_key, patch_spec, train_decoder_family
-from ..operators.features import patch_features
+from ..operators.features import site_features
 
 HKL, XYZ = "hkl", "xyz"
 
@@ -22,43 +22,72 @@ def grid_of(spec: DataFrame, dims: int, mask: Column | None = None) -> tuple[Dat
     return intervals, q.withColumns({f"q{a}": F.lit(TWO_PI) * F.col(a) * F.col(f"{a}_size") for a in HKL[:dims]})
 
 
-def transform(atoms: DataFrame, sites: DataFrame, spec: DataFrame, dims: int, mask: Column | None, true_axes: Sequence[str], origins: Sequence[str], tiled: bool = False) -> DataFrame:
-    """Atoms to amplitudes to the residual field on the sites' patches, divided by the point count of all intervals."""
+#: Pairs of rows up to which the column form of a transform is used: Spark compares every pair, which is quicker than tiles for few.
+COLUMN_PAIRS = 100_000_000
+
+
+def form_of(atoms: DataFrame, q: DataFrame, points: DataFrame) -> str:
+    """``columns`` if both transforms have few pairs by count, else ``separable``."""
+    many = max(atoms.count(), points.count()) * q.count()
+    return "columns" if many <= COLUMN_PAIRS else "separable"
+
+
+def patches(atoms: DataFrame, sites: DataFrame, spec: DataFrame, dims: int, mask: Column | None, true_axes: Sequence[str], origins: Sequence[str]) -> DataFrame:
+    """As ``transform`` by separable sums, but one row for each site: an array of each value over its patch."""
+    intervals, q = grid_of(spec, dims, mask)
+    index = [f"i{a}" for a in HKL[:dims]]
+    ampl = separable.amplitudes_separable(atoms, q, index, true_axes, origins)
+    field = separable.residual_patches(ampl, sites, index, XYZ[:dims])
+    total = intervals.agg(F.sum(grids.count_reciprocal_points([F.col(f"{a}_size") for a in HKL[:dims]])).alias("_t"))
+    scaled = {v: F.when(F.col("_t") > 0, F.transform(v, lambda x: x / F.col("_t"))).otherwise(F.col(v)) for v in separable.FIELD}
+    return field.crossJoin(F.broadcast(total)).withColumns(scaled).drop("_t")
+
+
+def transform(atoms: DataFrame, sites: DataFrame, spec: DataFrame, dims: int, mask: Column | None, true_axes: Sequence[str], origins: Sequence[str], form: str | None = None) -> DataFrame:
+    """Atoms to amplitudes to the residual field on the sites' patches, divided by the point count of all intervals.
+
+    ``form``: ``columns`` (every pair is a row), ``tiled`` (matrix products, an exponential for each pair) or ``separable`` (exponentials by axis); None counts and
+    takes columns for few pairs, separable sums beyond.
+    """
     intervals, q = grid_of(spec, dims, mask)
     keys, q_axes = [f"i{a}" for a in HKL[:dims]], [f"q{a}" for a in HKL[:dims]]
-    if tiled:
+    points, p_axes = grids.patch_grid(sites, XYZ[:dims]), [f"p{a}" for a in XYZ[:dims]]
+    form = form or form_of(atoms, q, points)
+    if form == "separable":
+        return separable.patch_rows(patches(atoms, sites, spec, dims, mask, true_axes, origins), sites, XYZ[:dims])
+    if form == "tiled":
         number = F.col(keys[0]).cast("bigint")
         for k in keys[1:]:
             number = number * (1 << 20) + F.col(k)
         q = q.withColumn("q_id", number)
         sums = scattering.amplitudes_tiled(atoms, q, q_axes, true_axes, origins, "q_id")
         ampl = sums.join(q.select("q_id", *q_axes), "q_id")
-    else:
+    elif form == "columns":
         ampl = scattering.amplitudes(atoms, q, q_axes, true_axes, origins, [*keys, *q_axes])
-    points = grids.patch_grid(sites, XYZ[:dims])
-    p_axes = [f"p{a}" for a in XYZ[:dims]]
-    back = residual.residual_field_tiled if tiled else residual.residual_field
+    else:
+        raise ValueError(f"unknown form {form}")
+    back = residual.residual_field_tiled if form == "tiled" else residual.residual_field
     field = back(ampl, points, q_axes, p_axes, ["site_id", "point_no", *p_axes])
     total = intervals.agg(F.sum(grids.count_reciprocal_points([F.col(f"{a}_size") for a in HKL[:dims]])))
     return residual.normalize_residual(field, total)
 
 
-def chemical_contrast(atoms: DataFrame, spec: DataFrame, dims: int, mask: Column | None, rules: DataFrame | None = None, tiled: bool = False) -> DataFrame:
+def chemical_contrast(atoms: DataFrame, spec: DataFrame, dims: int, mask: Column | None, rules: DataFrame | None = None, form: str | None = None) -> DataFrame:
     """Contrast of each site: coefficients centred, true positions replaced by average ones, values at the patch centres."""
     average = [f"{a}av" for a in XYZ[:dims]]
     centred = weights.center_coefficients(atoms, "global")
     base = atoms if rules is None else atoms.join(rules, ["element", "refnumber"])
     zero = F.array(*[F.lit(0.0)] * dims)
     sites = base.select("site_id", *(F.col(v).alias(a) for a, v in zip(XYZ, average, strict=False)), *((zero.alias("dist"), zero.alias("step")) if rules is None else ("dist", "step")))
-    field = transform(centred, sites, spec, dims, mask, average, average, tiled)
+    field = transform(centred, sites, spec, dims, mask, average, average, form)
     values = residual.centre_value(field, sites, XYZ[:dims], [f"p{a}" for a in XYZ[:dims]], ["d_re", "d_im"])
     placed = sites.select("site_id", *XYZ[:dims]).join(values, "site_id")
     return residual.attach_site_attributes(placed, atoms).withColumnsRenamed({"d_re": "intensity_re", "d_im": "intensity_im"})
 
 
 def displacement_samples(atoms: DataFrame, sites: DataFrame, field: DataFrame, dims: int, h_max: Sequence[float]) -> DataFrame:
-    """Features of each site's patch, with its decoder key and its displacement from the average position."""
-    made = patch_features(field, sites, XYZ[:dims], [f"p{a}" for a in XYZ[:dims]], h_max)
+    """Features of each site's patch (``field``: a row for each site, arrays), with its decoder key and its displacement from the average position."""
+    made = site_features(field, sites, XYZ[:dims], h_max)
     unit = [[float(i == j) for j in range(dims)] for i in range(dims)]
     target = minimum_image([F.col(a) for a in XYZ[:dims]], [F.col(f"{a}av") for a in XYZ[:dims]], unit)
     truth = atoms.select("site_id", "refnumber", F.array(*target).alias("target"))
@@ -66,12 +95,15 @@ def displacement_samples(atoms: DataFrame, sites: DataFrame, field: DataFrame, d
     return made.join(truth, "site_id").join(keys, "site_id").withColumn("decoder_key", decoder_key(F.col("_spec"))).drop("_spec")
 
 
-def displacements(atoms: DataFrame, spec: DataFrame, dims: int, mask: Column | None, dist: float, step: float, h_max: Sequence[float], lam: float = 1e-3, tiled: bool = False) -> DataFrame:
-    """Train on the unmasked field of the same settings, apply to the masked one: ``site_id, ux, uy, uz``."""
+def displacements(atoms: DataFrame, spec: DataFrame, dims: int, mask: Column | None, dist: float, step: float, h_max: Sequence[float], lam: float = 1e-3) -> DataFrame:
+    """Train on the unmasked field of the same settings, apply to the masked one: ``site_id, ux, uy, uz``.
+
+    A site's patch is one array from the transform on, so features need no gathering of points.
+    """
     average = [f"{a}av" for a in XYZ[:dims]]
     sites = atoms.select("site_id", *(F.col(v).alias(a) for a, v in zip(XYZ, average, strict=False)), F.array(*[F.lit(dist)] * dims).alias("dist"), F.array(*[F.lit(step)] * dims).alias("step"))
     true = list(XYZ[:dims])
-    teach = displacement_samples(atoms, sites, transform(atoms, sites, spec, dims, None, true, average, tiled), dims, h_max)
+    teach = displacement_samples(atoms, sites, patches(atoms, sites, spec, dims, None, true, average), dims, h_max)
     matrix = train_decoder_family(teach.select("decoder_key", "features", "target"), lam=lam)
-    asked = teach if mask is None else displacement_samples(atoms, sites, transform(atoms, sites, spec, dims, mask, true, average, tiled), dims, h_max)
+    asked = teach if mask is None else displacement_samples(atoms, sites, patches(atoms, sites, spec, dims, mask, true, average), dims, h_max)
     return apply_decoder_family(asked.select("site_id", "decoder_key", "features"), matrix)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import complexcols as C
 from ..functions import lattice, scalars
-from ..operators import analysis, decoder, grids, masks, residual, scattering, sites, weights
+from ..operators import analysis, decoder, features, grids, masks, residual, scattering, sites, weights
 from ..sources import structures, tables
 from . import flows, views
 
@@ -692,7 +692,7 @@ def chemical_contrast_1d(spark, d):
 def _(spark, d):
     """The same run by tiles."""
     atoms = views.atoms_2d(spark, d)
-    return rounded(flows.chemical_contrast(atoms, views.box_spec(atoms, 1), 1, disc(), tiled=True))
+    return rounded(flows.chemical_contrast(atoms, views.box_spec(atoms, 1), 1, disc(), form="tiled"))
 
 
 @query("h1_site_contrast_lines", f"WITH raw AS ({views.ATOMS_2D}), {_CENTRED}, {AMPL1M}, {FIELD1} SELECT f.site_id, a.element, a.refnumber, {r('px', 'x')}, {r('d_re / 81e0', 'intensity_re')} FROM field f JOIN atoms a USING (site_id) ORDER BY f.site_id")
@@ -787,7 +787,7 @@ def _(spark, d):
     atoms = views.atoms_2d(spark, d)
     at = atoms.select("site_id", F.col("xav").alias("x"), F.array(F.lit(0.05)).alias("dist"), F.array(F.lit(0.0125)).alias("step"))
     field = flows.transform(atoms, at, views.box_spec(atoms, 1), 1, disc(), ["x"], ["xav"])
-    made = flows.patch_features(field, at, ["x"], ["px"], [1.0])
+    made = features.patch_features(field, at, ["x"], ["px"], [1.0])
     return made.select("site_id", F.posexplode("features").alias("feature", "value"))
 
 
@@ -954,10 +954,10 @@ def _(spark, d):
 
 @query("k14_displacements_2d")
 def displacements_2d(spark, d):
-    """The inverse path in two dimensions by tiles; known displacements are recovered in the tests."""
-    atoms = views.atoms_2d(spark, d).where("cell_y < 10 AND refnumber IS NOT NULL")
-    spec = views.box_spec(atoms, 2, 0.1, 0.1)
-    return flows.displacements(atoms, spec, 2, None, 0.05, 0.0125, [1.0, 1.0], tiled=True).select("site_id", "ux", "uy")
+    """All sites in two dimensions, decoded from a masked field by matrices of the whole one; checked against numpy in the tests."""
+    atoms = views.atoms_2d(spark, d)
+    spec = views.box_spec(atoms, 2, 0.2, 0.2)
+    return flows.displacements(atoms, spec, 2, masks.mask_equation("abs(h) + abs(k) > 0.1D"), 0.05, 0.0125, [1.0, 1.0]).select("site_id", "ux", "uy")
 
 
 # --- files and stored tables -------------------------------------------------------------------------------------------------------

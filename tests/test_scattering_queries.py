@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from quartzfield.plans import scale_queries  # noqa: F401  registers its queries
 from quartzfield.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
