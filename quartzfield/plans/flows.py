@@ -11,6 +11,7 @@ from ..functions.lattice import TWO_PI, minimum_image
 from ..operators import grids, residual, scattering, separable, weights
 from ..operators.decoder import apply_decoder_family, decoder_key, patch_spec, train_decoder_family
 from ..operators.features import site_features
+from ..sources.tables import stored
 
 HKL, XYZ = "hkl", "xyz"
 
@@ -98,12 +99,13 @@ def displacement_samples(atoms: DataFrame, sites: DataFrame, field: DataFrame, d
 def displacements(atoms: DataFrame, spec: DataFrame, dims: int, mask: Column | None, dist: float, step: float, h_max: Sequence[float], lam: float = 1e-3) -> DataFrame:
     """Train on the unmasked field of the same settings, apply to the masked one: ``site_id, ux, uy, uz``.
 
-    A site's patch is one array from the transform on, so features need no gathering of points.
+    A site's patch is one array from the transform on, so features need no gathering of points; those of the unmasked field are stored, as
+    training reads them more than once.
     """
     average = [f"{a}av" for a in XYZ[:dims]]
     sites = atoms.select("site_id", *(F.col(v).alias(a) for a, v in zip(XYZ, average, strict=False)), F.array(*[F.lit(dist)] * dims).alias("dist"), F.array(*[F.lit(step)] * dims).alias("step"))
     true = list(XYZ[:dims])
-    teach = displacement_samples(atoms, sites, patches(atoms, sites, spec, dims, None, true, average), dims, h_max)
+    teach = stored(displacement_samples(atoms, sites, patches(atoms, sites, spec, dims, None, true, average), dims, h_max))
     matrix = train_decoder_family(teach.select("decoder_key", "features", "target"), lam=lam)
     asked = teach if mask is None else displacement_samples(atoms, sites, patches(atoms, sites, spec, dims, mask, true, average), dims, h_max)
     return apply_decoder_family(asked.select("site_id", "decoder_key", "features"), matrix)

@@ -766,19 +766,39 @@ def displacements_1d(spark, d):
     return flows.displacements(atoms, views.box_spec(atoms, 1), 1, disc(), 0.05, 0.0125, [1.0]).select("site_id", "ux")
 
 
-@query("e13_train_decoder")
+def _ridge_sql(by: str) -> str:
+    """Ridge weights of three features for two targets, by the cofactors of the three by three matrix."""
+    group = f"GROUP BY {by}" if by else ""
+    head = f"{by} AS decoder_key, " if by else ""
+    key = "decoder_key, " if by else ""
+    sums = ", ".join(f"sum({a} * {b}){' + 1e-3' if a == b else ''} AS {n}" for n, a, b in (("a", "x", "x"), ("b", "x", "y"), ("c", "x", "coeff"), ("d", "y", "y"), ("e", "y", "coeff"), ("f", "coeff", "coeff"), ("u0", "xav", "x"), ("u1", "xav", "y"), ("u2", "xav", "coeff"), ("v0", "yav", "x"), ("v1", "yav", "y"), ("v2", "yav", "coeff")))
+    inverse = [["d*f - e*e", "c*e - b*f", "b*e - c*d"], ["c*e - b*f", "a*f - c*c", "b*c - a*e"], ["b*e - c*d", "b*c - a*e", "a*d - b*b"]]
+    rows = " UNION ALL ".join(f"SELECT {key}{n} AS row_no, {j} AS feature, {r('(' + ' + '.join(f'{t}{i} * ({inverse[i][j]})' for i in range(3)) + ') / det', 'weight')} FROM t" for n, t in enumerate("uv") for j in range(3))
+    return f"{WITH2}, s AS (SELECT {head}{sums} FROM atoms {group}), t AS (SELECT *, a * (d*f - e*e) - b * (b*f - c*e) + c * (b*e - c*d) AS det FROM s) {rows}"
+
+
+@query("e13_train_decoder", _ridge_sql(""))
 def _(spark, d):
-    """Decoder matrix of all sites' patches; checked against numpy in the tests."""
+    """Decoder matrix of all sites."""
     atoms = views.atoms_2d(spark, d)
     at = atoms.select("site_id", F.array("x", "y", "coeff").alias("features"), F.array("xav", "yav").alias("target"))
-    return decoder.train_decoder(at).select("row_no", F.posexplode("weights").alias("feature", "weight"))
+    return rounded(decoder.train_decoder(at).select("row_no", F.posexplode("weights").alias("feature", "weight")))
 
 
-@query("e14_train_decoder_family")
+@query("e14_train_decoder_family", _ridge_sql("CAST(refnumber AS VARCHAR)"))
 def _(spark, d):
     atoms = views.atoms_2d(spark, d)
     at = atoms.select(F.col("refnumber").cast("string").alias("decoder_key"), F.array("x", "y", "coeff").alias("features"), F.array("xav", "yav").alias("target"))
-    return decoder.train_decoder_family(at).select("decoder_key", "row_no", F.posexplode("weights").alias("feature", "weight"))
+    return rounded(decoder.train_decoder_family(at).select("decoder_key", "row_no", F.posexplode("weights").alias("feature", "weight")))
+
+
+@query("e14_conjugate_gradients", _ridge_sql("CAST(refnumber AS VARCHAR)"))
+def _(spark, d):
+    """The same matrices without any square of the features, as for patches of many thousand points."""
+    atoms = views.atoms_2d(spark, d)
+    at = atoms.select(F.col("refnumber").cast("string").alias("key"), F.array("x", "y", "coeff").alias("features"), F.array("xav", "yav").alias("target"))
+    out = decoder.conjugate_ridge(at).select(F.col("key").alias("decoder_key"), "row_no", F.posexplode("weights").alias("feature", "weight"))
+    return rounded(out)
 
 
 @query("k9_patch_features")

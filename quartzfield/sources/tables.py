@@ -20,6 +20,23 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: what several steps read is computed once and outlives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def forget(*made: DataFrame) -> None:
+    """Delete what ``stored`` wrote for tables that nothing reads any more."""
+    for df in made:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._path)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def write_files(df: DataFrame, key: str, order: str, header: list[str], line, path: str) -> None:
     """A text file for each value of ``key``: header lines, then one line a row in the given order. A file must fit a task, as those who read it need it whole."""
     rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("_rows"))
