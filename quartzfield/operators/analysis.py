@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sites import numbered
+from .ranges import exact_percentiles, numbered
 
 
 def distinct_elements(atoms: DataFrame) -> DataFrame:
@@ -76,10 +76,9 @@ def mean_by_coordination(pairs: DataFrame, centre: str, value: str, split: Colum
     return each.groupBy("split").agg(F.count(F.lit(1)).alias("centres"), F.avg("_m").alias("mean"), F.stddev_pop("_m").alias("std"))
 
 
-def intensity_percentiles(value: str, shares: Sequence[float] = (0.01, 0.995)) -> list[Column]:
-    """Interpolated percentiles of the positive values."""
-    v = F.when(F.col(value) > 0, F.col(value))
-    return [F.percentile(v, F.lit(s)).alias(f"p{i}") for i, s in enumerate(shares)]
+def intensity_percentiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float] = (0.01, 0.995)) -> DataFrame:
+    """``by, p0, p1, ...``: exact interpolated percentiles of the positive values; a group without any gives no row."""
+    return exact_percentiles(df.where(F.col(value) > 0), by, value, shares)
 
 
 def intensity_map(df: DataFrame, value: str, order: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lattice import to_fractional
+from .ranges import numbered
 
 
 def filter_cell_box(df: DataFrame, low: Sequence[float | None] | None, high: Sequence[float | None] | None, cells: Sequence[str] = ("cell_x", "cell_y", "cell_z")) -> DataFrame:
@@ -44,30 +45,8 @@ def append_unseen(new: DataFrame, old: DataFrame, key: str = "site_id") -> DataF
     return old.unionByName(new.join(old.select(key), key, "left_anti").select(old.columns))
 
 
-def numbered(df: DataFrame, order: Sequence[str], out: str = "row_no", rows_per_task: int = 200_000) -> DataFrame:
-    """Rows numbered from 0 in the order of some columns, without one task for all.
-
-    Bounds between ranges of about ``rows_per_task`` rows come from a sample of as many rows as there are ranges, times 50. A row's range depends on
-    its values and those bounds only, so counts by range and numbers within ranges agree however often Spark reads the table. Rows that are equal in all
-    of the columns stay in one range.
-    """
-    ranges = -(-df.count() // rows_per_task)
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    if ranges <= 1:
-        return df.withColumn("_range", F.lit(0)).withColumn(out, within.cast("bigint")).drop("_range")
-    key = F.struct(*order)
-    sample = df.select(key.alias("_key")).sample(min(1.0, 50 / rows_per_task), seed=7).orderBy("_key").collect()
-    bounds = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
-    listed = df.sparkSession.createDataFrame(bounds, df.select(key.alias("_key")).schema).agg(F.array_sort(F.collect_set("_key")).alias("_bounds"))
-    ranged = df.crossJoin(F.broadcast(listed)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
-    # one row for each range, so this window is small
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranged.withColumn("_within", within).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_within")).drop("_range", "_before", "_within")
-
-
 def _with_total(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    return numbered(df, order).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_total"))))
+    return numbered(df, order, total="_total")
 
 
 def batch_even(df: DataFrame, n: int, order: Sequence[str], offset: int = 0) -> DataFrame:
@@ -99,8 +78,7 @@ def sites_from_points(points: DataFrame, vectors: Sequence[Sequence[float]], axe
     put = to_fractional(points, vectors, axes).withColumns({"dist": F.array(*map(F.lit, dist)), "step": F.array(*map(F.lit, step))})
     if not per_file:
         return batch_ceil(put, batches, order).withColumnRenamed("row_no", "site_id")
-    w = Window.partitionBy("file").orderBy(*order)
-    out = put.withColumn("site_id", (F.row_number().over(w) - 1).cast("bigint")).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy("file")))
+    out = numbered(put, order, "site_id", by=["file"], total="_total")
     return out.withColumn("chunk_id", F.floor(F.col("site_id") / F.greatest(F.lit(1), F.floor(F.col("_total") / batches))).cast("int")).drop("_total")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .ranges import numbered
 
 
 def normalize_element(name: Column) -> Column:
@@ -45,13 +46,12 @@ def assign_coefficients(df: DataFrame, scheme: str, elements: DataFrame | None =
 
 
 def coefficients_by_position(atoms: DataFrame, values: DataFrame, order: str = "site_id") -> DataFrame:
-    """Join listed values (``row_no, value``) to atoms by their place in ``order``; one value alone is for all."""
-    from .sites import numbered
-
+    """Join listed values (``row_no, value``) to atoms by their place in ``order``; one value alone is for all. Fewer or more values than atoms are an error."""
     count = values.agg(F.count(F.lit(1)).alias("_n"), F.first("value").alias("_one"))
-    placed = numbered(atoms, [order]).crossJoin(F.broadcast(count)).join(values, "row_no", "left")
-    value = F.when(F.col("_n") == 1, F.col("_one")).otherwise(F.col("value"))
-    return placed.withColumn("coeff", F.coalesce(value, F.raise_error(F.lit("the number of coefficients is not that of the atoms")).cast("double"))).drop("_n", "_one", "value", "row_no")
+    placed = numbered(atoms, [order], total="_atoms").crossJoin(F.broadcast(count)).join(values, "row_no", "left")
+    wrong = F.raise_error(F.concat(F.lit("coefficients: "), F.col("_n").cast("string"), F.lit(", atoms: "), F.col("_atoms").cast("string"))).cast("double")
+    value = F.when(F.col("_n") == 1, F.col("_one")).when(F.col("_n") != F.col("_atoms"), wrong).otherwise(F.coalesce("value", wrong))
+    return placed.withColumn("coeff", value).drop("_n", "_one", "_atoms", "value", "row_no")
 
 
 def map_matrix(atoms: DataFrame, matrix: DataFrame, nx: int, ny: int, by_x: bool = False) -> DataFrame:

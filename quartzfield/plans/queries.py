@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import complexcols as C
 from ..functions import lattice, scalars
-from ..operators import analysis, decoder, features, grids, masks, residual, scattering, sites, weights
+from ..operators import analysis, decoder, features, grids, masks, ranges, residual, scattering, sites, weights
 from ..sources import structures, tables
 from . import flows, views
 
@@ -232,11 +232,20 @@ def _(spark, d):
     return sites.first_wins(spark.read.parquet(f"{d}/orders.parquet"), "o_custkey", "o_orderkey").select(F.col("o_custkey").alias("site_id"), F.col("o_orderkey").alias("first_order"))
 
 
-@query("f6_distinct_tol", f"{WITH3}, g AS (SELECT element, x, lag(x) OVER (PARTITION BY element ORDER BY x) AS before FROM atoms) SELECT element, count(*) AS kept FROM g WHERE before IS NULL OR x - before > 1e-10 GROUP BY element")
+def _kept_sql(tol: str) -> str:
+    """Values by element, each the first one more than ``tol`` above the one kept before it."""
+    return f"{WITH3}, v AS (SELECT DISTINCT element, x FROM atoms), kept AS (SELECT element, x FROM (WITH RECURSIVE k AS (SELECT element, min(x) AS x FROM v GROUP BY element UNION ALL SELECT k.element, min(v.x) AS x FROM k JOIN v ON v.element = k.element AND v.x - k.x > {tol} GROUP BY k.element, k.x) SELECT * FROM k))"
+
+
+@query("f6_distinct_tol", f"{_kept_sql('1e-10')} SELECT element, count(*) AS kept FROM kept GROUP BY element")
+def _(spark, d):
+    return ranges.distinct_tol_rows(views.atoms_3d(spark, d), ["element"], "x").groupBy("element").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("f6_distinct_tol_chains", f"{_kept_sql('3.3e-4')} SELECT element, {r('x')} FROM kept")
 def _(spark, d):
-    distinct = views.atoms_3d(spark, d).select("element", "x").distinct()
-    kept = distinct.groupBy("element").agg(scalars.distinct_tol(F.collect_list("x")).alias("xs"))
-    return kept.select("element", F.size("xs").cast("bigint").alias("kept"))
+    """Values closer than the tolerance follow each other in chains, which are cut at range borders here."""
+    return rounded(ranges.distinct_tol_rows(views.atoms_3d(spark, d), ["element"], "x", 3.3e-4, ranges=9))
 
 
 @query("i1_append_unseen", f"{WITH2} SELECT site_id, CASE WHEN site_id % 3 = 0 THEN 'old' ELSE 'new' END AS source FROM atoms")
@@ -649,9 +658,9 @@ def _(spark, d):
     return rounded(residual.merge_partials(twice, ["chunk_id"], ["interval_id"], ["d_re", "d_im"]))
 
 
-@query("d7_pending_pairs", "WITH c AS (SELECT DISTINCT o_custkey % 50 AS chunk_id, o_orderkey % 7 AS interval_id FROM orders) SELECT i.interval_id, k.chunk_id FROM (SELECT DISTINCT interval_id FROM c) i, (SELECT DISTINCT chunk_id FROM c) k WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey % 50 = k.chunk_id AND o.o_orderkey % 7 = i.interval_id AND o_orderstatus = 'F')")
+@query("d7_pending_pairs", "WITH c AS (SELECT DISTINCT o_custkey % 500 AS chunk_id, o_orderkey % 300 AS interval_id FROM orders) SELECT i.interval_id, k.chunk_id FROM (SELECT DISTINCT interval_id FROM c) i, (SELECT DISTINCT chunk_id FROM c) k WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey % 500 = k.chunk_id AND o.o_orderkey % 300 = i.interval_id AND o_orderstatus = 'F')")
 def _(spark, d):
-    orders = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 50).alias("chunk_id"), (F.col("o_orderkey") % 7).alias("interval_id"), "o_orderstatus")
+    orders = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 500).alias("chunk_id"), (F.col("o_orderkey") % 300).alias("interval_id"), "o_orderstatus")
     done = orders.where("o_orderstatus = 'F'").select("interval_id", "chunk_id").distinct()
     return residual.pending_pairs(orders, orders, done)
 
@@ -880,7 +889,10 @@ def _(spark, d):
 
 @query("e22_intensity_percentiles", f"{WITH2} SELECT element, {r('quantile_cont(v, 0.01) FILTER (WHERE v > 0)', 'p0')}, {r('quantile_cont(v, 0.995) FILTER (WHERE v > 0)', 'p1')} FROM (SELECT *, coeff - 10e0 AS v FROM atoms) GROUP BY element")
 def _(spark, d):
-    return rounded(views.atoms_2d(spark, d).withColumn("v", F.col("coeff") - 10.0).groupBy("element").agg(*analysis.intensity_percentiles("v")))
+    values_of = views.atoms_2d(spark, d).select("element", (F.col("coeff") - 10.0).alias("v"))
+    elements = values_of.select("element").distinct()
+    found = analysis.intensity_percentiles(values_of, ["element"], "v")
+    return rounded(elements.join(found, "element", "left").select("element", "p0", "p1"))
 
 
 @query("l1_intensity_map", f"{WITH2}, n AS (SELECT cell_x AS ih, cell_y AS ik, coeff, row_number() OVER (PARTITION BY cell_x, cell_y ORDER BY site_id DESC) AS n FROM atoms) SELECT ih, ik, coeff FROM n WHERE n = 1")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzfield.functions import lattice, scalars
-from quartzfield.operators import decoder, features, grids, masks, residual, scattering, sites, weights
+from quartzfield.operators import decoder, features, grids, masks, ranges, residual, scattering, sites, weights
 from quartzfield.plans import flows, views
 from quartzfield.sources import structures, tables
 from quartzfield.streaming import partials
@@ -276,7 +276,7 @@ def test_batches_of_few_rows(spark):
 
 def test_numbers_of_many_rows_with_more_columns(spark):
     df = spark.range(0, 1_000_000, 1, 7).select(F.xxhash64("id").alias("k"), F.col("id").alias("payload"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
-    got = sites.numbered(df, ["k"], rows_per_task=90_000)
+    got = ranges.numbered(df, ["k"], ranges=11)
     low, high, rows, different = got.agg(F.min("row_no"), F.max("row_no"), F.count(F.lit(1)), F.count_distinct("row_no")).first()
     assert (low, high, rows, different) == (0, 999_999, 1_000_000, 1_000_000)
     pairs = got.select("k", "row_no").alias("a").join(got.select("k", (F.col("row_no") - 1).alias("row_no")).alias("b"), "row_no")
@@ -287,9 +287,9 @@ def test_numbers_of_many_rows_with_more_columns(spark):
 
 def test_numbers_of_equal_and_null_keys(spark):
     df = spark.range(1000).select(F.when(F.col("id") > 100, F.col("id") % 3).alias("k"), "id")
-    got = sites.numbered(df, ["k", "id"], rows_per_task=64).orderBy("row_no").collect()
+    got = ranges.numbered(df, ["k", "id"], ranges=16).orderBy("row_no").collect()
     assert [r.row_no for r in got] == list(range(1000)) and [r.k for r in got] == sorted((r.k for r in got), key=lambda x: (x is not None, x))
-    assert sites.numbered(df.where("false"), ["k"]).count() == 0
+    assert ranges.numbered(df.where("false"), ["k"]).count() == 0
 
 
 def test_window_and_taper_values():
