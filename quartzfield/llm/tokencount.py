@@ -80,22 +80,21 @@ def library_of(path: str) -> Library:
 
 
 class Lengths(dict):
-    """Tokens by pre-token: the dictionary holds the frequent ones, what is missing is encoded and kept in a bounded cache."""
+    """Tokens by pre-token. The frequent ones stay; others are encoded when they are missing and kept beside them until ``cache_size`` are, then they make room."""
 
     def __init__(self, library: Library, frequent: dict[str, int], cache_size: int = 1 << 18):
         super().__init__(frequent)
-        self.library, self.cache, self.cache_size = library, {}, cache_size
+        self.library, self.frequent, self.most = library, frequent, len(frequent) + cache_size
 
     def __missing__(self, piece: str) -> int:
-        n = self.cache.get(piece)
-        if n is None:
-            if not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
-                raise _Unsure
-            n = self.library.count(piece)
-            if len(piece) <= LONGEST:
-                if len(self.cache) >= self.cache_size:
-                    self.cache.clear()
-                self.cache[piece] = n
+        if not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
+            raise _Unsure
+        n = self.library.count(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+                self.update(self.frequent)
+            self[piece] = n
         return n
 
     def of(self, text: str) -> int:
@@ -155,8 +154,10 @@ def frequent_pieces(df: DataFrame, path: str, text_col: str = "text", size: int
 
     schema = "pieces array<string>, counts array<bigint>"
     parts = materialise(df.select(text_of(text_col).alias("text")).mapInArrow(summarise, schema))
-    while (n := parts.rdd.getNumPartitions()) > 1:
-        merged = materialise(parts.coalesce(max(1, n // fan_in)).mapInArrow(merge, schema))
+    tasks = parts.rdd.getNumPartitions()
+    while tasks > 1:  # counted here, as a stored summary may be larger than what Spark puts in a partition
+        tasks = -(-tasks // fan_in)
+        merged = materialise(parts.coalesce(tasks).mapInArrow(merge, schema))
         discard(parts)
         parts = merged
     counts: Counter = Counter()
