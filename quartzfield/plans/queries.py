@@ -508,13 +508,13 @@ def _(spark, d):
 
 
 
-@query("mask_functions", f"SELECT p_partkey AS id, {r('sin(x) + cos(x) * tan(x / 3e0)', 'trig')}, {r('asin(x / 60e0) + acos(x / 60e0) + atan(x) + atan2(x, 2e0)', 'arcs')}, {r('sinh(x / 20e0) + cosh(x / 20e0) + tanh(x) + asinh(x) + acosh(x + 1e0) + atanh(x / 60e0)', 'hyper')}, {r('sqrt(x) + exp(-x) + ln(x) + abs(-x) + power(x, 1.5e0)', 'plain')}, {r('floor(x / 3e0) + ceil(x / 7e0) + least(x, 20e0) + greatest(x, 30e0)', 'steps')}, {r('(x - 25e0) - 4e0 * floor((x - 25e0) / 4e0)', 'modulo')}, CASE WHEN x - 25e0 < 0 THEN 0e0 WHEN x - 25e0 = 0 THEN 0.5e0 ELSE 1e0 END AS heaviside, {r('pi() + exp(1e0) + 1e0 / 3e0', 'constants')}, (x > 10e0) <> (x > 30e0) AS either FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x FROM part)")
+@query("mask_functions", f"SELECT p_partkey AS id, {r('sin(x) + cos(x) * tan(x / 3e0)', 'trig')}, {r('asin(x / 60e0) + acos(x / 60e0) + atan(x) + atan2(x, 2e0)', 'arcs')}, {r('sinh(x / 20e0) + cosh(x / 20e0) + tanh(x) + asinh(x) + acosh(x + 1e0) + atanh(x / 60e0)', 'hyper')}, {r('sqrt(x) + exp(-x) + ln(x) + abs(-x) + power(x, 1.5e0)', 'plain')}, {r('floor(x / 3e0) + ceil(x / 7e0) + least(x, 20e0) + greatest(x, 30e0)', 'steps')}, {r('(x - 25e0) - 4e0 * floor((x - 25e0) / 4e0)', 'modulo')}, CASE WHEN x - 25e0 < 0 THEN 0e0 WHEN x - 25e0 = 0 THEN 0.5e0 ELSE 1e0 END AS heaviside, {r('pi() + exp(1e0) + 1e0 / 3e0', 'constants')}, CAST(factorial(CAST(x AS INT) % 12) AS BIGINT) AS factorials, x < CAST('infinity' AS DOUBLE) AND -x > CAST('-infinity' AS DOUBLE) AS finite, (x > 10e0) <> (x > 30e0) AS either FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x FROM part)")
 def _(spark, d):
     x = "CAST(p_size AS DOUBLE)"
     exprs = {"trig": "sin(x) + cos(x) * tan(x / 3e0)", "arcs": "asin(x / 60e0) + acos(x / 60e0) + atan(x) + atan2(x, 2e0)", "hyper": "sinh(x / 20e0) + cosh(x / 20e0) + tanh(x) + asinh(x) + acosh(x + 1e0) + atanh(x / 60e0)", "plain": "sqrt(x) + exp(-x) + ln(x) + abs(-x) + power(x, 1.5e0)", "steps": "floor(x / 3e0) + ceil(x / 7e0) + least(x, 20e0) + greatest(x, 30e0)", "constants": "pi() + e() + 1e0 / 3e0"}
     out = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr(x).alias("x"))
     shifted = F.col("x") - 25.0
-    return rounded(out.select("id", *(F.expr(e).cast("double").alias(n) for n, e in exprs.items()), scalars.floor_mod(shifted, F.lit(4.0)).alias("modulo"), scalars.heaviside(shifted, 0.5).alias("heaviside"), F.expr("(x > 10e0) <> (x > 30e0)").alias("either")))
+    return rounded(out.select("id", *(F.expr(e).cast("double").alias(n) for n, e in exprs.items()), scalars.floor_mod(shifted, F.lit(4.0)).alias("modulo"), scalars.heaviside(shifted, 0.5).alias("heaviside"), F.factorial(F.col("x").cast("int") % 12).alias("factorials"), F.expr("x < double('inf') AND -x > double('-inf')").alias("finite"), F.expr("(x > 10e0) <> (x > 30e0)").alias("either")))
 
 
 @query("nearest_index", "WITH a AS (SELECT range AS i, range * 7e0 AS v FROM range(0, 9)), n AS (SELECT p_partkey AS id, i, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(v - p_size), i) AS k FROM part, a) SELECT id, i AS at FROM n WHERE k = 1")

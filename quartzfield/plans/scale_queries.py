@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import grids, masks, separable, weights
+from ..sources import structures, tables
 from . import flows, views
-from .queries import AMPL1, AMPL2, AMPL3, FIELD4, FOUR, SQL, TWO_PI, WITH2, WITH3, _ampl_sql, _PATCH, GRID2, disc, grid_1d, grid_2d, grid_3s, patches, query, r, rounded
+from .queries import LISTED, AMPL1, AMPL2, AMPL3, FIELD4, FOUR, SQL, TWO_PI, WITH2, WITH3, _ampl_sql, _PATCH, GRID2, disc, grid_1d, grid_2d, grid_3d, grid_3s, patches, query, r, rounded
 
 # --- transforms that factor by axis ------------------------------------------------------------------------------------------------
 
@@ -94,3 +97,57 @@ def _(spark, d):
     """The flagship run by separable sums."""
     atoms = views.atoms_2d(spark, d)
     return rounded(flows.chemical_contrast(atoms, views.box_spec(atoms, 1), 1, disc(), form="separable"))
+
+
+# --- files read in splits ------------------------------------------------------------------------------------------------------------
+
+
+def _written(df, line, path: str, head: str | None = None) -> str:
+    """Text of a table in the order of its rows' ``o``, in one file, under a header."""
+    rows = df.select(F.col("o"), line.alias("value"))
+    if head is not None:
+        rows = rows.unionByName(df.sparkSession.createDataFrame([(-1, head)], "o bigint, value string"))
+    rows.repartitionByRange(1, "o").sortWithinPartitions("o").select("value").write.text(path)
+    return path
+
+
+@query("a5_coefficients_file", SQL["a5_coefficients_by_position"])
+def _(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("o"), (F.col("p_size").cast("double") * 2.0).alias("value"))
+    listed = structures.read_coefficients(spark, _written(part, F.col("value").cast("string"), tables.scratch(spark)))
+    return weights.coefficients_by_position(views.atoms_2d(spark, d).select("site_id"), listed.select("row_no", "value")).select("site_id", "coeff")
+
+
+@query("a6_reflections_file", SQL["a6_read_reflections"])
+def _(spark, d):
+    listed = spark.createDataFrame([(i, *x) for i, x in enumerate(LISTED)], "o bigint, h double, k double, l double")
+    path = _written(listed, F.concat_ws("  ", "h", "k", "l"), tables.scratch(spark), " h k l")
+    return masks.read_box(structures.read_reflections(spark, path), grid_3d(spark, d))
+
+
+@query("a7_form_factors_file", SQL["a7_form_factors"])
+def _(spark, d):
+    path, nested = tables.scratch(spark), {}
+    for element, charge, a, b, c in views.FORM_FACTORS:
+        nested.setdefault(element.upper(), {})[str(charge)] = {"a": a, "b": b, "c": c}
+    spark.createDataFrame([(json.dumps(nested, indent=1),)], "value string").write.text(path)
+    atoms = views.atoms_3d(spark, d).select("site_id", "element", (F.col("refnumber") % 3).alias("charge"), (F.col("refnumber") * 1.5).alias("q"))
+    found = weights.form_factor_params(atoms, structures.read_form_factors(spark, path))
+    g = scalars.reduced(F.col("q"))
+    return rounded(found.select("site_id", *(weights.FORM_FACTORS[k](g, F.col("a"), F.col("b"), F.col("c")).alias(k) for k in ("doyle_turner", "peng", "lobato"))))
+
+
+@query("a4_points_in_splits", f"{WITH2} SELECT row_number() OVER (ORDER BY site_id) - 1 AS point_no, {r('x')}, {r('y')} FROM atoms")
+def _(spark, d):
+    """One file of all points, cut into as many splits as Spark makes of it."""
+    atoms = views.atoms_2d(spark, d).withColumn("o", F.col("site_id").cast("bigint"))
+    path = _written(atoms, F.concat_ws(" ", "x", "y"), tables.scratch(spark))
+    return rounded(structures.read_points(spark, path, 2).select("point_no", *(F.col("p")[i].alias(a) for i, a in enumerate("xy"))))
+
+
+@query("a4_points_of_one_axis", f"{WITH2} SELECT row_number() OVER (ORDER BY site_id) - 1 AS point_no, {r('x')} FROM atoms")
+def _(spark, d):
+    """Several values in a line are one column."""
+    atoms = views.atoms_2d(spark, d).groupBy((F.floor(F.col("site_id") / 7)).alias("o")).agg(F.sort_array(F.collect_list(F.struct("site_id", "x"))).alias("s"))
+    path = _written(atoms, F.concat_ws(" ", F.transform("s.x", lambda x: x.cast("string"))), tables.scratch(spark))
+    return rounded(structures.read_points(spark, path, 1).select("point_no", F.col("p")[0].alias("x")))

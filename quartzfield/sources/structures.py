@@ -1,20 +1,36 @@
-"""Structure files as tables: a whole directory in one job, the file as structure key, line numbers as order."""
+"""Structure files as tables: a whole directory in one job, the file as structure key, line numbers as order. Large files are read in splits."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
+
 #: Names of the coefficient column in two-dimensional files, in any case (fixed values).
 COEFF_NAMES = ("coeff", "ff", "form_factor", "formfactor")
 
 
+#: Files and splits up to which their list of offsets is broadcast (about 200 bytes each); beyond, Spark chooses the join.
+LISTED_SPLITS = 100_000
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, line, words`` of text files; one file is one row first, so its lines keep their order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return whole.withColumn("words", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "))
+    """``file, line_no, line, words`` of text files, which Spark splits as it does any text: one file may be read by many tasks.
+
+    Within a split the lines keep their order and increasing ids follow it, so a line's number is its place in the split and the lines of the splits before; those are
+    counted first, one row for each split. The files must not change in between.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_id"))
+    sizes = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    if len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= LISTED_SPLITS:
+        offsets = F.broadcast(offsets)
+    numbered_lines = raw.join(offsets, ["file", "_block"]).select("file", (F.col("_id") + F.col("_offset")).alias("line_no"), "line")
+    return numbered_lines.withColumn("words", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "))
 
 
 def _numbers(text: Column) -> Column:
@@ -74,7 +90,8 @@ def read_structure_rmc6f(spark: SparkSession, path: str) -> DataFrame:
     skip = F.when(n == 10, 1).when(n == 9, 0).otherwise(F.raise_error(F.concat(F.lit("a row of "), n.cast("string"), F.lit(" columns in "), F.col("file"))).cast("int"))
 
     def at(i: int) -> Column:
-        return F.get("words", skip + i)
+        # names its line, so that a filter on a value is not pushed below the one that takes the header away
+        return F.when(F.col("line_no") > F.col("_start"), F.get("words", skip + i))
 
     numbers = {"x": at(2), "y": at(3), "z": at(4)}
     whole = {"refnumber": at(5), "cell_x": at(6), "cell_y": at(7), "cell_z": at(8)}
@@ -92,24 +109,25 @@ def rmc6f_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_points(spark: SparkSession, path: str, dims: int, full_list: bool = False) -> DataFrame:
-    """``file, point_no, p`` (array). In one dimension a single row of many values is a column of them, unless ``full_list``."""
-    rows = lines(spark, path).where(F.trim("line") != "").withColumn("v", F.transform("words", lambda x: x.cast("double")))
+    """``file, point_no, p`` (array). In one dimension the values of all rows are one column, numbered through the file, unless ``full_list``."""
+    rows = lines(spark, path).where(F.trim("line") != "").withColumn("v", F.transform(F.filter("words", lambda x: x != ""), lambda x: x.cast("double")))
     if dims == 1 and not full_list:
-        return rows.select("file", "line_no", F.posexplode("v").alias("_k", "x")).select("file", (F.col("line_no") * 1000000 + F.col("_k")).cast("bigint").alias("point_no"), F.array("x").alias("p"))
+        values = rows.select("file", "line_no", F.posexplode("v").alias("_k", "x"))
+        return numbered(values, ["line_no", "_k"], "point_no", by=["file"]).select("file", "point_no", F.array("x").alias("p"))
     return rows.select("file", F.col("line_no").cast("bigint").alias("point_no"), F.slice("v", 1, dims).alias("p"))
 
 
 def read_coefficients(spark: SparkSession, path: str) -> DataFrame:
     """``i, j, value, row_no`` of a matrix of numbers; one row or one column counts through in ``row_no``."""
     rows = lines(spark, path).where(F.trim("line") != "")
-    out = rows.select(F.col("line_no").alias("i"), F.posexplode("words").alias("j", "value"), F.size("words").alias("_n"))
-    return out.select("i", "j", F.col("value").cast("double").alias("value"), (F.col("i") * F.col("_n") + F.col("j")).cast("bigint").alias("row_no"))
+    out = rows.select(F.col("line_no").cast("int").alias("i"), F.posexplode("words").alias("j", "value"), F.size("words").alias("_n"))
+    return out.select("i", "j", F.col("value").cast("double").alias("value"), (F.col("i").cast("bigint") * F.col("_n") + F.col("j")).alias("row_no"))
 
 
 def read_reflections(spark: SparkSession, path: str) -> DataFrame:
     """``h, k, l`` under a header line."""
     rows = lines(spark, path).where((F.col("line_no") > 0) & (F.size("words") >= 3))
-    return rows.select(*(F.col("words")[i].cast("double").alias(a) for i, a in enumerate("hkl")))
+    return rows.select(*(F.when(F.col("line_no") > 0, F.col("words")[i]).cast("double").alias(a) for i, a in enumerate("hkl")))
 
 
 def read_form_factors(spark: SparkSession, path: str) -> DataFrame:
