@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import complexcols as C
+from .arrays import sum_arrays
 from .grids import axis_size
 
 #: Edges of a block of grid points by the number of axes; a block holds some ten thousand points.
@@ -26,11 +27,11 @@ _SUMS = ("_a_re", "_a_im", "_o_re", "_o_im", "_d_re", "_d_im")
 FIELD = ("d_re", "d_im", "av_re", "av_im")
 
 
-def blocks(points: DataFrame, index: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
-    """Distinct places of index space by block: arrays of each index column and of carried values."""
+def blocks(points: DataFrame, index: Sequence[str], carried: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Places of index space by block (and ``by``): arrays of each index column and of carried values."""
     edges = EDGES[len(index)]
     block = F.struct(*(F.floor(F.col(i) / e).alias(f"b{k}") for k, (i, e) in enumerate(zip(index, edges, strict=True))))
-    return points.groupBy(block.alias("_block")).agg(*(F.collect_list(F.col(c)).alias(c) for c in (*index, *carried)))
+    return points.groupBy(*by, block.alias("_block")).agg(*(F.collect_list(F.col(c)).alias(c) for c in (*index, *carried)))
 
 
 def dealt(df: DataFrame, by: Sequence[str], rows: Column, spread: Sequence[str], name: str) -> DataFrame:
@@ -219,71 +220,95 @@ def _back(numbers: list[np.ndarray], at: list[np.ndarray], values: np.ndarray, u
     return out
 
 
-def residual_patches(ampl: DataFrame, sites: DataFrame, index: Sequence[str], axes: Sequence[str], units: Sequence[float] | None = None, cells: int = 1 << 18) -> DataFrame:
-    """``site_id, d_re, d_im, av_re, av_im``: the residual field on each site's patch, an array in the order of ``point_no``.
-
-    ``sites`` have ``site_id``, the centre's fractional coordinates ``axes``, ``dist`` and ``step``. Tiles hold sites of one patch, about ``cells`` patch
-    points each; partial sums of a tile are rows of arrays that one task after another adds up, so a site's patch is never
-    gathered from single points. Sites without amplitudes to add have no row.
-    """
-    dims, units = len(index), list(units or [TWO_PI] * len(index))
-    block = blocks(ampl.select(*index, *(F.col(v).cast("double").alias(v) for v in ("a_re", "a_im", "av_re", "av_im"))), index, ("a_re", "a_im", "av_re", "av_im"))
+def _site_tiles(sites: DataFrame, axes: Sequence[str], by: Sequence[str], cells: int) -> DataFrame:
+    """Sites of one patch and one ``by`` in tiles of about ``cells`` patch points: arrays, under a ``_key`` of their own."""
+    dims = len(axes)
     points = F.lit(1).cast("bigint")
     for i in range(dims):
         points = points * axis_size(F.col("dist")[i], F.col("step")[i])
-    placed = sites.select("site_id", *(F.col(a).cast("double").alias(f"p{i}") for i, a in enumerate(axes)), F.col("dist").cast("array<double>").alias("dist"), F.col("step").cast("array<double>").alias("step"))
-    tiled = dealt(placed, ("dist", "step"), F.greatest(F.lit(1), F.least(F.lit(1024), F.floor(F.lit(cells) / points))), ["site_id"], "_tile")
-    tile = tiled.groupBy("dist", "step", "_tile").agg(*(F.collect_list(c).alias(c) for c in ("site_id", *(f"p{i}" for i in range(dims)))))
-    tile = tile.withColumn("_key", F.struct("dist", "step", "_tile"))
+    placed = sites.select(*by, "site_id", *(F.col(a).cast("double").alias(f"p{i}") for i, a in enumerate(axes)), F.col("dist").cast("array<double>").alias("dist"), F.col("step").cast("array<double>").alias("step"))
+    group = (*by, "dist", "step")
+    tiled = dealt(placed, group, F.greatest(F.lit(1), F.least(F.lit(1024), F.floor(F.lit(cells) / points))), ["site_id"], "_tile")
+    columns = ["site_id", *(f"p{i}" for i in range(dims))]
+    # sorted, so that a tile that is computed again has its sites in the same order
+    tile = tiled.groupBy(*group, "_tile").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_s"))
+    return tile.select(*group, *(F.col(f"_s.{c}").alias(c) for c in columns), F.to_json(F.struct(*group, "_tile")).alias("_key"))
+
 
-    def leave(key, ids: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        flat = [x for v in (0, 1) for x in (sums[:, v].real, sums[:, v].imag)]
-        made = [pa.array([x.ravel()], pa.list_(pa.float64())) for x in flat]
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([ids], pa.list_(pa.int64())), *made], names=["_key", "site_id", *FIELD])
+def _patch_sums(pairs: DataFrame, index: Sequence[str], units: Sequence[float], tags: Sequence[str]) -> DataFrame:
+    """``tags, site_id`` and the field's arrays from pairs of a tile of sites and a block of amplitudes.
+
+    The sums of a tile run on over the blocks that follow it with equal tags; where its blocks came in several runs, the partial sums are
+    arrays, one row for each tile and run, that are added up one after another.
+    """
+    dims, kinds = len(index), dict(pairs.dtypes)
+    tagged = [f"`{t}` {kinds[t]}" for t in tags]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sums = None, None, None
+        now = sums = None
+
+        def leave() -> pa.RecordBatch:
+            flat = [x for v in (0, 1) for x in (sums[:, v].real, sums[:, v].imag)]
+            made = [pa.array([x.ravel()], pa.list_(pa.float64())) for x in flat]
+            return pa.RecordBatch.from_arrays([*now[1], *made], names=["_key", *tags, "_sites", *FIELD])
+
         for batch in batches:
             for row in range(batch.num_rows):
-                spec = batch.column("_key")[row].as_py()
-                now = repr((spec["dist"], spec["step"], spec["_tile"])).encode()
-                if now != key:
-                    if key is not None:
-                        yield leave(key, ids, sums)
-                    key, sums = now, None
-                    ids = _array(batch, "site_id", row)
+                name = tuple(batch.column(c)[row].as_py() for c in ("_key", *tags))
+                if now is None or name != now[0]:
+                    if now is not None:
+                        yield leave()
+                    now, sums = (name, [batch.column(c).slice(row, 1) for c in ("_key", *tags, "site_id")]), None
                 a, av = (_array(batch, f"{x}_re", row) + 1j * _array(batch, f"{x}_im", row) for x in ("a", "av"))
                 centre = [_array(batch, f"p{i}", row) for i in range(dims)]
-                offsets = [axis_offsets(d, s) for d, s in zip(spec["dist"], spec["step"], strict=True)]
+                offsets = [axis_offsets(d, s) for d, s in zip(_array(batch, "dist", row), _array(batch, "step", row), strict=True)]
                 numbers, at = _axes_of([_array(batch, i, row) for i in index])
                 made = _back(numbers, at, np.stack([a - av, av]), units, centre, offsets[:dims])
                 sums = made if sums is None else sums + made
-        if key is not None:
-            yield leave(key, ids, sums)
+        if now is not None:
+            yield leave()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def split(ids: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
-            rows = [pa.array(list(s.reshape(len(ids), -1)), pa.list_(pa.float64())) for s in sums]
-            return pa.RecordBatch.from_arrays([pa.array(ids), *rows], names=["site_id", *FIELD])
+    arrays = ", ".join(f"{f} array<double>" for f in FIELD)
+    parts = pairs.mapInArrow(run, ", ".join(["_key string", *tagged, "_sites array<bigint>", arrays]))
+    summed = sum_arrays(parts, ["_key", *tags, "_sites"], FIELD)
 
-        key, ids, sums = None, None, None
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                now = batch.column("_key")[row].as_py()
-                order = np.argsort(found := _array(batch, "site_id", row), kind="stable")
-                made = [_array(batch, f, row).reshape(len(found), -1)[order] for f in FIELD]
-                if now != key:
-                    if key is not None:
-                        yield split(ids, sums)
-                    key, ids, sums = now, found[order], made
-                else:
-                    sums = [a + b for a, b in zip(sums, made, strict=True)]
-        if key is not None:
-            yield split(ids, sums)
+                ids = _array(batch, "_sites", row)
+                rows = [pa.array(list(_array(batch, f, row).reshape(len(ids), -1)), pa.list_(pa.float64())) for f in FIELD]
+                same = [pa.array([batch.column(t)[row].as_py()] * len(ids), batch.column(t).type) for t in tags]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(ids), *rows], names=[*tags, "site_id", *FIELD])
 
-    pairs = tile.repartition("_key").crossJoin(block)
-    parts = pairs.mapInArrow(run, "_key binary, site_id array<bigint>, " + ", ".join(f"{f} array<double>" for f in FIELD))
-    return parts.repartition("_key").sortWithinPartitions("_key").mapInArrow(merge, "site_id bigint, " + ", ".join(f"{f} array<double>" for f in FIELD))
+    return summed.mapInArrow(split, ", ".join([*tagged, "site_id bigint", arrays]))
+
+
+_VALUES = ("a_re", "a_im", "av_re", "av_im")
+
+
+def residual_patches(ampl: DataFrame, sites: DataFrame, index: Sequence[str], axes: Sequence[str], units: Sequence[float] | None = None, cells: int = 1 << 18) -> DataFrame:
+    """``site_id, d_re, d_im, av_re, av_im``: the residual field on each site's patch, an array in the order of ``point_no``.
+
+    ``sites`` have ``site_id``, the centre's fractional coordinates ``axes``, ``dist`` and ``step``. Tiles hold sites of one patch, about ``cells`` patch
+    points each, so a site's patch is never gathered from single points. Without amplitudes to add there are no rows.
+    """
+    units = list(units or [TWO_PI] * len(index))
+    block = blocks(ampl.select(*index, *(F.col(v).cast("double").alias(v) for v in _VALUES)), index, _VALUES)
+    pairs = _site_tiles(sites, axes, (), cells).repartition("_key").crossJoin(block)
+    return _patch_sums(pairs, index, units, ())
+
+
+def residual_partials(ampl: DataFrame, sites: DataFrame, pending: DataFrame, index: Sequence[str], axes: Sequence[str], units: Sequence[float] | None = None, cells: int = 1 << 18) -> DataFrame:
+    """``interval_id, chunk_id, site_id`` and the field's arrays: what each pending pair of an interval and a chunk of sites adds.
+
+    Only tiles and blocks of pending pairs (``interval_id, chunk_id``) meet, by equality joins; ``ampl`` has ``interval_id``, ``sites`` have ``chunk_id``.
+    """
+    units = list(units or [TWO_PI] * len(index))
+    gathered = ampl.select("interval_id", *index, *(F.col(v).cast("double").alias(v) for v in _VALUES))
+    block = blocks(gathered, index, _VALUES, ("interval_id",))
+    tile = _site_tiles(sites, axes, ("chunk_id",), cells)
+    pairs = tile.join(pending.select("interval_id", "chunk_id"), "chunk_id").join(block, "interval_id")
+    return _patch_sums(pairs, index, units, ("interval_id", "chunk_id"))
 
 
 def patch_rows(field: DataFrame, sites: DataFrame, axes: Sequence[str]) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lattice import TWO_PI, minimum_image
 from ..operators import grids, residual, scattering, separable, weights
+from ..operators.arrays import sum_arrays
 from ..operators.decoder import apply_decoder_family, decoder_key, patch_spec, train_decoder_family
 from ..operators.features import site_features
-from ..sources.tables import stored
+from ..sources.tables import applied_pairs, applied_partials, stored, write_partials
 
 HKL, XYZ = "hkl", "xyz"
 
@@ -39,6 +40,11 @@ def patches(atoms: DataFrame, sites: DataFrame, spec: DataFrame, dims: int, mask
     index = [f"i{a}" for a in HKL[:dims]]
     ampl = separable.amplitudes_separable(atoms, q, index, true_axes, origins)
     field = separable.residual_patches(ampl, sites, index, XYZ[:dims])
+    return _scaled(field, intervals, dims)
+
+
+def _scaled(field: DataFrame, intervals: DataFrame, dims: int) -> DataFrame:
+    """Arrays divided by the point count of all intervals before masking."""
     total = intervals.agg(F.sum(grids.count_reciprocal_points([F.col(f"{a}_size") for a in HKL[:dims]])).alias("_t"))
     scaled = {v: F.when(F.col("_t") > 0, F.transform(v, lambda x: x / F.col("_t"))).otherwise(F.col(v)) for v in separable.FIELD}
     return field.crossJoin(F.broadcast(total)).withColumns(scaled).drop("_t")
@@ -109,3 +115,49 @@ def displacements(atoms: DataFrame, spec: DataFrame, dims: int, mask: Column | N
     matrix = train_decoder_family(teach.select("decoder_key", "features", "target"), lam=lam)
     asked = teach if mask is None else displacement_samples(atoms, sites, patches(atoms, sites, spec, dims, mask, true, average), dims, h_max)
     return apply_decoder_family(asked.select("site_id", "decoder_key", "features"), matrix)
+
+
+_PARTIALS = "site_id bigint, " + ", ".join(f"{f} array<double>" for f in separable.FIELD) + ", interval_id string, chunk_id int"
+
+
+def interval_label(dims: int) -> Column:
+    """Name of an interval by the grid indices of its ends, which stays the same when a run is extended."""
+    ends = [F.round(F.col(f"{a}_{end}") * F.col(f"{a}_size")).cast("int").cast("string") for a in HKL[:dims] for end in ("start", "end")]
+    return F.concat_ws("_", *ends)
+
+
+def advance(atoms: DataFrame, sites: DataFrame, spec: DataFrame, dims: int, mask: Column | None, true_axes: Sequence[str], origins: Sequence[str], path: str, at_once: int = 16, waves: int | None = None) -> int:
+    """Add what is missing to a run stored under ``path``; returns the number of pairs of an interval and a chunk that were added.
+
+    ``sites`` have ``chunk_id``. The intervals are those of ``spec``, the pairs those that are not applied yet: all of a new run, the new intervals after
+    the specification was extended, the new chunks after sites were, or the rest of a run that broke off. Intervals are taken
+    ``at_once`` in a wave, at most ``waves`` of them. A wave computes amplitudes of its intervals alone, stores each pair's partial sums in a folder of its own and
+    then commits the pairs, so one that breaks off loses its wave at most, and one that runs twice adds nothing twice. All calls of one ``path`` must
+    have the same atoms, mask and patches.
+    """
+    spark = atoms.sparkSession
+    intervals, q = grid_of(spec, dims, None)
+    named = intervals.withColumn("interval_id", interval_label(dims))
+    chunks = sites.select(F.col("chunk_id").cast("int").alias("chunk_id"))
+    pending = stored(residual.pending_pairs(named, chunks, applied_pairs(spark, path)))
+    names = [r.interval_id for r in pending.select("interval_id").distinct().orderBy("interval_id").collect()]
+    index = [f"i{a}" for a in HKL[:dims]]
+    added = 0
+    for n, first in enumerate(range(0, len(names), at_once)):
+        if waves is not None and n >= waves:
+            break
+        wave = pending.where(F.col("interval_id").isin(names[first : first + at_once]))
+        grid = q.withColumn("interval_id", interval_label(dims)).where(F.col("interval_id").isin(names[first : first + at_once]))
+        grid = grid if mask is None else grid.where(mask)
+        ampl = separable.amplitudes_separable(atoms, grid, index, true_axes, origins).join(grid.select("interval_id", *index), index)
+        parts = separable.residual_partials(ampl, sites.withColumn("chunk_id", F.col("chunk_id").cast("int")), wave, index, XYZ[:dims])
+        write_partials(parts, wave, path)
+        added += wave.count()
+    return added
+
+
+def collected(spark: SparkSession, spec: DataFrame, dims: int, path: str) -> DataFrame:
+    """The field of all applied pairs of a stored run, divided by the point count of all intervals of ``spec``: arrays by site, as ``patches`` gives."""
+    field = sum_arrays(applied_partials(spark, path, _PARTIALS), ["site_id"], separable.FIELD)
+    intervals = grids.make_intervals(spec, dims).crossJoin(F.broadcast(spec.select(*(f"{a}_size" for a in HKL[:dims]))))
+    return _scaled(field, intervals, dims)

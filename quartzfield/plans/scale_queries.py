@@ -10,7 +10,7 @@ from ..functions import scalars
 from ..operators import grids, masks, separable, weights
 from ..sources import structures, tables
 from . import flows, views
-from .queries import LISTED, AMPL1, AMPL2, AMPL3, FIELD4, FOUR, SQL, TWO_PI, WITH2, WITH3, _ampl_sql, _PATCH, GRID2, disc, grid_1d, grid_2d, grid_3d, grid_3s, patches, query, r, rounded
+from .queries import LISTED, AMPL1, AMPL1M, FIELD1, AMPL2, AMPL3, FIELD4, FOUR, SQL, TWO_PI, WITH2, WITH3, _ampl_sql, _PATCH, GRID2, disc, grid_1d, grid_2d, grid_3d, grid_3s, patches, query, r, rounded
 
 # --- transforms that factor by axis ------------------------------------------------------------------------------------------------
 
@@ -151,3 +151,19 @@ def _(spark, d):
     atoms = views.atoms_2d(spark, d).groupBy((F.floor(F.col("site_id") / 7)).alias("o")).agg(F.sort_array(F.collect_list(F.struct("site_id", "x"))).alias("s"))
     path = _written(atoms, F.concat_ws(" ", F.transform("s.x", lambda x: x.cast("string"))), tables.scratch(spark))
     return rounded(structures.read_points(spark, path, 1).select("point_no", F.col("p")[0].alias("x")))
+
+
+# --- runs that go on -----------------------------------------------------------------------------------------------------------------
+
+
+@query("resumed_run", f"{WITH2}, {AMPL1M}, {FIELD1} SELECT site_id, {', '.join(r(x + ' / 81e0', x) for x in ('d_re', 'd_im', 'av_re', 'av_im'))} FROM field")
+def _(spark, d):
+    """A run that breaks off after a wave, goes on, and is extended to more intervals equals a single one."""
+    path, atoms = tables.scratch(spark), views.atoms_2d(spark, d)
+    at = atoms.select("site_id", F.col("xav").alias("x"), F.array(F.lit(0.0)).alias("dist"), F.array(F.lit(0.0)).alias("step"), (F.col("site_id") % 3).cast("int").alias("chunk_id"))
+    half, whole = views.box_spec(atoms, 1, 0.5, 0.25), views.box_spec(atoms, 1, 1.0, 0.25)
+    flows.advance(atoms, at, half, 1, disc(), ["x"], ["xav"], path, at_once=2, waves=1)
+    flows.advance(atoms, at, half, 1, disc(), ["x"], ["xav"], path)
+    flows.advance(atoms, at, whole, 1, disc(), ["x"], ["xav"], path)
+    field = flows.collected(spark, whole, 1, path)
+    return rounded(field.select("site_id", *(F.col(v)[0].alias(v) for v in separable.FIELD)))

@@ -44,9 +44,24 @@ def write_files(df: DataFrame, key: str, order: str, header: list[str], line, pa
     rows.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
+def _replace(df: DataFrame, by: list[str], path: str) -> None:
+    """Write partitions by columns; those that ``df`` has rows of take the place of what was there, so writing twice changes nothing."""
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def _stored_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table, empty if nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def write_amplitudes(df: DataFrame, path: str) -> None:
-    """One folder for each interval, so a reader takes only those it asks for."""
-    df.repartition("interval_id").write.mode("append").partitionBy("interval_id").parquet(path)
+    """One folder for each interval, so a reader takes only those it asks for; an interval written again replaces its rows."""
+    _replace(df, ["interval_id"], path)
 
 
 def read_amplitudes(spark: SparkSession, path: str, intervals: list[int] | None = None) -> DataFrame:
@@ -64,6 +79,28 @@ def read_residual(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return spark.read.parquet(f"{path}/residual"), spark.read.parquet(f"{path}/applied")
 
 
+_APPLIED = "interval_id string, chunk_id int"
+
+
+def write_partials(parts: DataFrame, pairs: DataFrame, path: str) -> None:
+    """Partial sums of (interval, chunk) pairs, then the pairs themselves, which commits them.
+
+    A pair whose sums were written before the run broke off is not among the applied ones; when it comes again, its folder is replaced.
+    """
+    _replace(parts, ["interval_id", "chunk_id"], f"{path}/partials")
+    pairs.select("interval_id", "chunk_id").write.mode("append").parquet(f"{path}/applied")
+
+
+def applied_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(interval, chunk) pairs whose partial sums are stored."""
+    return _stored_or(spark, f"{path}/applied", _APPLIED).distinct()
+
+
+def applied_partials(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored partial sums of the applied pairs alone."""
+    return _stored_or(spark, f"{path}/partials", schema).join(applied_pairs(spark, path), ["interval_id", "chunk_id"], "left_semi")
+
+
 def contrast_lines(df: DataFrame) -> DataFrame:
     """Site contrast as text columns: missing axes are 0, numbers in %.8E, ordered by site."""
     padded = df.withColumns({a: F.col(a) if a in df.columns else F.lit(0.0) for a in "xyz"})
