@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .halo import periodic_neighbours, smoothed
 from .ranges import exact_percentiles, numbered
 
 
@@ -25,19 +26,6 @@ def site_grid(df: DataFrame, axes: Sequence[str], cell: Sequence[float], size: S
     return df.withColumns({o: F.pmod(F.rint(F.col(a) * 2.0 / float(c)), F.lit(float(n))).cast("int") for a, c, n, o in zip(axes, cell, size, out, strict=True)})
 
 
-def periodic_neighbours(df: DataFrame, grid: Sequence[str], size: Sequence[int], offsets: Sequence[Sequence[int]], values: Sequence[str]) -> DataFrame:
-    """Each row with those that stand at the given lattice offsets, the lattice being periodic: neighbour columns ``n_<value>``.
-
-    The few offsets are exploded from an array; the join is on the cell, so both sides are shuffled once.
-    """
-    shifts = F.array(*(F.array(*map(F.lit, o)) for o in offsets))
-    moved = df.withColumn("_o", F.explode(shifts))
-    for i, (g, n) in enumerate(zip(grid, size, strict=True)):
-        moved = moved.withColumn(f"_{g}", F.pmod(F.col(g) + F.col("_o")[i], F.lit(n)))
-    other = df.select(*(F.col(g).alias(f"_{g}") for g in grid), *(F.col(v).alias(f"n_{v}") for v in values))
-    return moved.join(other, [f"_{g}" for g in grid]).drop("_o", *(f"_{g}" for g in grid))
-
-
 #: Six nearest neighbours of a simple cubic lattice, four of a square one.
 SIX = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 FOUR = [(1, 0), (-1, 0), (0, 1), (0, -1)]
@@ -98,13 +86,8 @@ def gaussian(sigma: float, cut: float = 4.0) -> list[tuple[int, float]]:
 
 
 def periodic_smooth(df: DataFrame, grid: Sequence[str], size: Sequence[int], value: str, sigma: float = 1.0) -> DataFrame:
-    """Gaussian smoothing of a full periodic lattice, one axis after the other: every value spreads to its neighbours and is summed."""
-    weights = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in gaussian(sigma)))
-    out = df.select(*grid, F.col(value).cast("double").alias(value))
-    for g, n in zip(grid, size, strict=True):
-        spread = out.withColumn("_s", F.explode(weights)).withColumn(g, F.pmod(F.col(g) + F.col("_s.o"), F.lit(n)))
-        out = spread.groupBy(*grid).agg(F.sum(F.col(value) * F.col("_s.w")).alias(value))
-    return out
+    """Gaussian smoothing of a periodic lattice, one axis after the other, within blocks that know their borders."""
+    return smoothed(df, grid, size, value, gaussian(sigma))
 
 
 def domain_boundaries(df: DataFrame, grid: Sequence[str], size: Sequence[int], value: str) -> DataFrame:
