@@ -1,4 +1,4 @@
-"""Sums of array columns."""
+"""Rows of arrays: dealing them to tasks, and their sums."""
 
 from __future__ import annotations
 
@@ -9,6 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def width(df: DataFrame) -> int:
+    """Tasks for work that is large for its bytes: as many as a shuffle has, at least one for each core."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt to four times that many tasks, as rows take different time. The number is given, so that Spark does not join tasks because their bytes are few."""
+    return df.repartition(4 * width(df), *keys)
+
+
 def sum_arrays(df: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
     """``key`` and, for each of its groups, the sums of the array columns ``values``, place by place (arrays of a group are equally long).
 

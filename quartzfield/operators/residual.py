@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import complexcols as C
+from .arrays import spread
 from .scattering import phase, tiles
 
 
@@ -47,7 +48,7 @@ def residual_field_tiled(ampl: DataFrame, points: DataFrame, q_axes: Sequence[st
                 yield pd.DataFrame({**{f"k{i}": getattr(row, f"k{i}") for i in range(len(key))}, **dict(zip(out, columns, strict=True))})
 
     schema = ", ".join([*(f"k{i} {kinds[k]}" for i, k in enumerate(key)), *(f"{o} double" for o in out)])
-    parts = two.repartition(F.col("_tp")).crossJoin(one).mapInPandas(run, schema)
+    parts = spread(two, "_tp").crossJoin(one).mapInPandas(run, schema)
     summed = parts.groupBy(*(f"k{i}" for i in range(len(key)))).agg(*(F.sum(o).alias(o) for o in out))
     return summed.withColumnsRenamed({f"k{i}": k for i, k in enumerate(key)})
 

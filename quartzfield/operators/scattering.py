@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import complexcols as C
+from .arrays import spread
 
 TWO_PI = 6.283185307179586
 
@@ -68,7 +69,7 @@ def amplitudes_tiled(atoms: DataFrame, q: DataFrame, q_axes: Sequence[str], axes
                 yield pd.DataFrame({"key": row.key, "_a_re": a.real, "_a_im": a.imag, "_o_re": s.real, "_o_im": s.imag, "_d_re": d.real, "_d_im": d.imag, "_n": len(c)})
 
     # the tiles of points are the streamed side; each is a row of a few kB
-    pairs = two.repartition(F.col("_tq")).crossJoin(one)
+    pairs = spread(two, "_tq").crossJoin(one)
     parts = pairs.mapInPandas(run, "key bigint, _a_re double, _a_im double, _o_re double, _o_im double, _d_re double, _d_im double, _n bigint")
     sums = parts.groupBy("key").agg(*(F.sum(x).alias(x) for x in ("_a_re", "_a_im", "_o_re", "_o_im", "_d_re", "_d_im", "_n")))
     return _average(sums, ["key"]).withColumnRenamed("key", key)

@@ -15,13 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import complexcols as C
-from .arrays import sum_arrays
+from ..sources.tables import stored
+from .arrays import spread, sum_arrays, width
 from .grids import axis_size
 
 #: Edges of a block of grid points by the number of axes; a block holds some ten thousand points.
 EDGES = {1: (4096,), 2: (128, 128), 3: (32, 32, 32)}
 #: Complex cells that one intermediate matrix may have (16 bytes each).
 CELLS = 1 << 21
+#: Tiles of atoms up to which they are broadcast with few blocks of points (about 230 kB each at 4096 atoms).
+FEW_TILES = 128
 TWO_PI = 6.283185307179586
 _SUMS = ("_a_re", "_a_im", "_o_re", "_o_im", "_d_re", "_d_im")
 FIELD = ("d_re", "d_im", "av_re", "av_im")
@@ -102,7 +105,7 @@ def separable_sums(atoms: DataFrame, points: DataFrame, index: Sequence[str], ax
     placed = atoms.select(*by, *(F.col(a).cast("double").alias(f"r{i}") for i, a in enumerate(axes)), *(F.col(o).cast("double").alias(f"o{i}") for i, o in enumerate(origins)), F.col(coeff).cast("double").alias("c"))
     columns = [f"{x}{i}" for x in "ro" for i in range(dims)] + ["c"]
     tile = dealt(placed, by, F.lit(atom_rows), columns, "_tile").groupBy(*by, "_tile").agg(*(F.collect_list(c).alias(c) for c in columns))
-    block = blocks(points.select(*index).distinct(), index)
+    tile, block = stored(tile), stored(blocks(points.select(*index).distinct(), index))
     schema_by = [f"`{b}` {dict(atoms.dtypes)[b]}" for b in by]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +144,14 @@ def separable_sums(atoms: DataFrame, points: DataFrame, index: Sequence[str], ax
 
     schema = ", ".join([*(f"`{i}` int" for i in index), *schema_by, *(f"{s} double" for s in _SUMS), "_n bigint"])
     # a block is repeated for every tile that it meets: the blocks are the streamed side
-    parts = block.repartition("_block").crossJoin(tile).mapInArrow(run, schema)
+    shares = -(-16 * width(block) // max(1, block.count()))
+    if shares > 1 and tile.count() <= FEW_TILES:
+        # few blocks: each goes to several tasks, with a share of the tiles
+        shared = block.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        pairs = spread(shared, "_block", "_share").join(F.broadcast(tile.withColumn("_share", F.pmod("_tile", F.lit(shares)))), "_share")
+    else:
+        pairs = spread(block, "_block").crossJoin(tile)
+    parts = pairs.mapInArrow(run, schema)
     return parts.groupBy(*index, *by).agg(*(F.sum(s).alias(s) for s in (*_SUMS, "_n")))
 
 
@@ -294,7 +304,7 @@ def residual_patches(ampl: DataFrame, sites: DataFrame, index: Sequence[str], ax
     """
     units = list(units or [TWO_PI] * len(index))
     block = blocks(ampl.select(*index, *(F.col(v).cast("double").alias(v) for v in _VALUES)), index, _VALUES)
-    pairs = _site_tiles(sites, axes, (), cells).repartition("_key").crossJoin(block)
+    pairs = spread(_site_tiles(sites, axes, (), cells), "_key").crossJoin(block)
     return _patch_sums(pairs, index, units, ())
 
 
@@ -307,7 +317,7 @@ def residual_partials(ampl: DataFrame, sites: DataFrame, pending: DataFrame, ind
     gathered = ampl.select("interval_id", *index, *(F.col(v).cast("double").alias(v) for v in _VALUES))
     block = blocks(gathered, index, _VALUES, ("interval_id",))
     tile = _site_tiles(sites, axes, ("chunk_id",), cells)
-    pairs = tile.join(pending.select("interval_id", "chunk_id"), "chunk_id").join(block, "interval_id")
+    pairs = spread(tile.join(pending.select("interval_id", "chunk_id"), "chunk_id"), "_key", "interval_id").join(block, "interval_id")
     return _patch_sums(pairs, index, units, ("interval_id", "chunk_id"))
 
 

@@ -19,11 +19,21 @@ def stream_partials(spark: SparkSession, path: str, schema: str, key: Sequence[s
     return once.groupBy(*key).agg(*(F.sum(v).alias(v) for v in values))
 
 
-def run_available(sums: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Add what has arrived and stop; the next run goes on from the checkpoint. Each batch is a version of its own, so readers keep what they read."""
+def run_available(sums: DataFrame, table: str, checkpoint: str, keep: int = 3) -> StreamingQuery:
+    """Add what has arrived and stop; the next run goes on from the checkpoint.
+
+    Each batch is a version of its own, so readers keep what they read; of complete versions the newest ``keep`` stay, older ones are deleted.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/version={number}")
+        jvm, conf = batch.sparkSession._jvm, batch.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(table)
+        files = folder.getFileSystem(conf)
+        for status in files.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("version=") and int(name.removeprefix("version=")) <= number - keep:
+                files.delete(status.getPath(), True)
 
     return sums.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 

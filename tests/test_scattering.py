@@ -268,6 +268,16 @@ def test_streamed_partials(spark, tmp_path):
     assert [tuple(r) for r in partials.latest(spark, f"{tmp_path}/out2").collect()] == [(7, 3.0)]
 
 
+def test_old_versions_of_streamed_sums_go(spark, tmp_path):
+    schema = "interval_id int, p int, d_re double"
+    for n in range(5):
+        spark.createDataFrame([(n, 7, 1.0)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        sums = partials.stream_partials(spark, f"{tmp_path}/in", schema, ["p"], ["interval_id"], ["d_re"])
+        partials.run_available(sums, f"{tmp_path}/out", f"{tmp_path}/state", keep=2).awaitTermination()
+    assert [tuple(r) for r in partials.latest(spark, f"{tmp_path}/out").collect()] == [(7, 5.0)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["version=3", "version=4"]
+
+
 def test_batches_of_few_rows(spark):
     df = spark.range(5).withColumnRenamed("id", "site_id")
     even = [r.chunk_id for r in sites.batch_even(df, 3, ["site_id"]).orderBy("site_id").collect()]
