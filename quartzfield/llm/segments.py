@@ -169,10 +169,10 @@ def window_count():
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, kid, text``: the id (null: the largest number), a key of id and text, and the text (null: empty)."""
+    """``id, doc, kid, text``: the id, the same with null as the largest number, a 64-bit key of id (none differs from any number) and text, and the text (null: empty)."""
     text = text_of(text_col)
     doc = F.col(id_col).cast("bigint")
-    return df.select(doc.alias("id"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.coalesce(doc, F.lit(-1)), text).alias("kid"), text.alias("text"))
+    return df.select(doc.alias("id"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.coalesce(doc, F.lit(-1)), doc.isNull(), text).alias("kid"), text.alias("text"))
 
 
 def repeated_segments(rows: DataFrame, symbols: Callable, window: int, gram: int, with_doc: bool = False) -> DataFrame:

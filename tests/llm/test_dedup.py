@@ -228,3 +228,10 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_no_id_is_not_minus_one(make):
+    """One text under -1 and under no id: the row without an id is the later one, and only that loses its words."""
+    text = " ".join(f"w{i}" for i in range(60))
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(make([(-1, text), (None, text)])).collect()}
+    assert got == {-1: (60, 0), None: (60, 60)}
