@@ -20,8 +20,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _staying(docs: DataFrame, winners: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (with ``_key``) whose key is among ``winners``, one for each; the texts are shuffled once."""
-    first = docs.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_n = 1")
+    """The rows of ``docs`` (with ``_key``) whose key is among ``winners``, one for each id and text; the texts are shuffled once.
+
+    Rows of other ids or texts whose keys are equal by chance all stay with their key: a collision keeps a row too many, it never drops one.
+    """
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    first = docs.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "doc_id", text).orderBy("_key"))).where("_n = 1")
     return first.join(winners, "_key", "left_semi").drop("_key", "_n")
 
 
