@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from fixtures import SCHEMA, base_of, rows_of
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quartzfield.llm import queries
@@ -189,6 +190,15 @@ def test_pipeline_rows_that_share_an_id(spark):
     assert near == [(False, "a b c d e f g"), (False, "another text of some words"), (True, "some words that only stand here")]
 
 
+def test_pipeline_keys_that_collide(spark, monkeypatch):
+    """With a key that tells no rows apart every text stays."""
+    monkeypatch.setattr(corpus_pipeline, "_keyed", lambda docs: docs.withColumn("_key", F.lit(5).cast("bigint")))
+    rows = [(i, f"text {i} of its own words {i * 7} {i * 13}") for i in range(8)] + [(3, "a second text under one id"), (None, "and one without")]
+    docs = spark.createDataFrame(rows_of(rows), SCHEMA)
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        assert {r.text for r in stage(spark, docs, DATA).collect()} == {t for _, t in rows}
+
+
 def test_stages_take_messy_tables(spark, messy, nothing):
     for name, stage in corpus_pipeline.STAGES:
         for docs in (messy, nothing):
