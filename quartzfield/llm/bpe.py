@@ -16,6 +16,7 @@ from .common import slices, text_of
 _SHIFT = 20  # token ids stay below 2**20
 _NONE = np.int64(1) << 40  # leaf without a mergeable pair
 _LONG = 256  # bytes from which a piece gets a tree of its own
+_KEPT = 64  # characters of a piece that is remembered
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -25,10 +26,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Bpe:
-    """Encoder and decoder for one rank table; ``cache_size`` bounds the remembered pieces."""
+    """Encoder and decoder for one rank table; ``cache_size`` bounds the remembered pieces, of which none is longer than ``_KEPT`` characters.
+
+    A piece that is a token is that token, whatever the merges lead to; a byte that no token stands for is an error.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 100_000):
+        if ranks and max(ranks.values()) >= 1 << _SHIFT:
+            raise ValueError(f"token ids must be below {1 << _SHIFT}")
         self.ranks, self.cache_size = ranks, cache_size
+        self.absent = bytes(b for b in range(256) if bytes([b]) not in ranks)
         self.find = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -102,9 +109,13 @@ class Bpe:
         out: list[bytes] = [b""] * len(pieces)
         by_size: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
-            if len(p) == 1:
-                out[i] = int(self.byte_ids[p[0]]).to_bytes(4, "little")
-            elif len(p) > _LONG:
+            whole = self.ranks.get(p)
+            if whole is not None:
+                out[i] = whole.to_bytes(4, "little")
+                continue
+            if self.absent and len(p.translate(None, self.absent)) < len(p):
+                raise ValueError(f"the vocabulary has no token for a byte of {p[:40]!r}")
+            if len(p) > _LONG:
                 out[i] = np.array(self.encode_piece(p), "<u4").tobytes()
             elif p:
                 by_size.setdefault(1 << (len(p) - 1).bit_length(), []).append(i)
@@ -184,7 +195,11 @@ class Bpe:
             cache.clear()
             new = list(set().union(*split))
         cache.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
+        out = [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
+        for p in new:
+            if len(p) > _KEPT:
+                del cache[p]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

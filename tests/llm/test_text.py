@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from fixtures import MESSY, base_of
 
@@ -261,3 +262,17 @@ def test_toxicity(spark, make, messy, nothing):
         assert toxicity.score_toxicity(nothing, m).count() == 0 and toxicity.drop_toxic(messy, m).columns == messy.columns
 
 
+
+
+def test_vocabularies_of_other_kinds():
+    """A token that merges do not reach, a byte without a token, ids that are too large, and a cache that keeps short pieces only."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256}
+    own, theirs = bpe.Bpe(ranks, r"\w+|\s+"), tiktoken.Encoding("own", pat_str=r"\w+|\s+", mergeable_ranks=ranks, special_tokens={})
+    for text in ("abc", "abc abcd", "ab c"):
+        assert np.frombuffer(own.encode_batch([text])[0], "<u4").tolist() == theirs.encode_ordinary(text)
+    with pytest.raises(ValueError, match="no token for a byte"):
+        bpe.Bpe({b"a": 0, b"b": 1}, r"\w+").encode_batch(["abz"])
+    with pytest.raises(ValueError, match="below"):
+        bpe.Bpe({b"a": 1 << 20}, r"\w+")
+    own.encode_batch(["x" * 20_000 + " abc"])
+    assert max(map(len, own.cache)) <= 64
