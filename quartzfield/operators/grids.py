@@ -86,6 +86,18 @@ def q_grid(intervals: DataFrame, sizes: Sequence[Column | int], mask: Column | N
     return out if mask is None else out.where(mask)
 
 
+def axis_bounds(intervals: DataFrame, sizes: Sequence[Column | int], axes: Sequence[str]) -> DataFrame:
+    """Least and largest h, k, l of the grid of some intervals (``h_low, h_high`` and so on; one row), without making its points."""
+    out, bounds = intervals, []
+    for a, s in zip(AXES, sizes, strict=False):
+        size = s if isinstance(s, Column) else F.lit(float(s))
+        start, end = F.col(f"{a}_start"), F.col(f"{a}_end")
+        out = out.where(_filled(start, end, size))
+        if a in axes:
+            bounds += [F.min(F.ceil(_index(start, size)) / size).alias(f"{a}_low"), F.max(F.floor(_index(end, size)) / size).alias(f"{a}_high")]
+    return out.agg(*bounds)
+
+
 def count_reciprocal_points(sizes: Sequence[Column | int]) -> Column:
     """Points of an interval; twice as many in three dimensions unless it is the plane l = 0, as the other half is not stored."""
     total = F.lit(1).cast("bigint")

@@ -58,19 +58,21 @@ def periodic_candidates(points: DataFrame, value: str, low: str, high: str, out:
     return made.withColumn("_c", image).where(keep).withColumn(out, F.round("_c", 8) + F.lit(0.0)).drop("_n", "_sign", "_c").distinct()
 
 
-def _bounds(q: DataFrame, axes: Sequence[str], pad: float) -> DataFrame:
-    return q.agg(*(x for a in axes for x in ((F.min(a) - pad).alias(f"_{a}_low"), (F.max(a) + pad).alias(f"_{a}_high"))))
+def _bounds(q: DataFrame, axes: Sequence[str], pad: float, known: DataFrame | None = None) -> DataFrame:
+    """One row of padded bounds: from those of the intervals if they are known, else from the points."""
+    ends = known if known is not None else q.agg(*(x for a in axes for x in (F.min(a).alias(f"{a}_low"), F.max(a).alias(f"{a}_high"))))
+    return ends.select(*(x for a in axes for x in ((F.col(f"{a}_low") - pad).alias(f"_{a}_low"), (F.col(f"{a}_high") + pad).alias(f"_{a}_high"))))
 
 
-def mask_periodic(q: DataFrame, points: DataFrame, axes: Sequence[str]) -> DataFrame:
+def mask_periodic(q: DataFrame, points: DataFrame, axes: Sequence[str], bounds: DataFrame | None = None) -> DataFrame:
     """Points of ``q`` within ``radius`` of a periodic image of a special point (``c_h, c_k, c_l, radius``).
 
     One axis: an interval; two: a circle, both with images up to 1 beyond the grid; three: a sphere, images inside the grid. Images and
     grid points meet in cells as wide as the largest radius and their neighbours, so the join has an equality that
-    Spark can shuffle on, and no point is compared with far ones.
+    Spark can shuffle on, and no point is compared with far ones. ``bounds`` (``grids.axis_bounds`` of the intervals) spare a second pass over the grid.
     """
     pad = 0.0 if len(axes) == 3 else 1.0
-    found = points.crossJoin(F.broadcast(_bounds(q, axes, pad)))
+    found = points.crossJoin(F.broadcast(_bounds(q, axes, pad, bounds)))
     for a in axes:
         found = periodic_candidates(found, f"c_{a}", f"_{a}_low", f"_{a}_high", f"_{a}")
     found = found.select(*(f"_{a}" for a in axes), "radius").distinct()

@@ -346,6 +346,12 @@ def grid_3d(spark, d, mask=None):
     return grids.q_grid(sized, [F.col(f"{a}_size") for a in "hkl"], mask)
 
 
+def bounds_3d(spark, d, axes):
+    made, specs = intervals_3d(spark, d)
+    sized = made.join(specs.select("spec_id", "h_size", "k_size", "l_size"), "spec_id")
+    return grids.axis_bounds(sized, [F.col(f"{a}_size") for a in "hkl"], axes)
+
+
 def counted(df, *by):
     """Digest of a set of grid points: their number and index sums."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("points"), F.sum(F.col("ih") + 3 * F.col("ik") + 7 * F.col("il")).cast("bigint").alias("index_sum"))
@@ -472,12 +478,12 @@ for _name, _axes in (("c3_mask_interval", "h"), ("c4_mask_circle", "hk"), ("c5_m
 
     @query(_name, _near_sql(_axes))
     def _(spark, d, axes=_axes):
-        return counted(masks.mask_periodic(grid_3d(spark, d), special(spark), list(axes)), "spec_id")
+        return counted(masks.mask_periodic(grid_3d(spark, d), special(spark), list(axes), bounds_3d(spark, d, axes)), "spec_id")
 
 
 @query("c10_periodic_candidates", f"WITH {GRID3}, {_images_sql('h', 'grid')} SELECT no AS point_no, c AS candidate FROM ih")
 def _(spark, d):
-    bounds = grid_3d(spark, d).agg((F.min("h") - 1.0).alias("low"), (F.max("h") + 1.0).alias("high"))
+    bounds = bounds_3d(spark, d, "h").select((F.col("h_low") - 1.0).alias("low"), (F.col("h_high") + 1.0).alias("high"))
     points = spark.createDataFrame([(i + 1, p[0]) for i, p in enumerate(SPECIAL)], "point_no bigint, a double")
     return masks.periodic_candidates(points.crossJoin(F.broadcast(bounds)), "a", "low", "high").select("point_no", "candidate")
 

@@ -315,3 +315,13 @@ def test_scalars(spark):
     row = spark.createDataFrame([([1.0, 1.0 + 1e-12, 2.0],)], "v array<double>").select(scalars.distinct_tol(F.col("v")).alias("d"), scalars.nearest_index(F.col("v"), F.lit(1.6)).alias("i")).first()
     assert row.d == [1.0, 2.0] and row.i == 2
     assert math.isclose(spark.range(1).select(scalars.lobato(F.lit(0.5), F.array(F.lit(2.0)), F.array(F.lit(3.0)))).first()[0], 2 * 3.5 / 2.5**2)
+
+
+def test_bounds_of_a_grid(spark):
+    """As the points have them, also for ends between grid points and intervals without any."""
+    rows = [(1, -0.9, -0.3, 0.0, 0.6, 4.0, 5.0), (2, 0.1, 0.2, 0.0, 1.0, 4.0, 5.0), (3, 0.26, 1.1, 0.1, 0.9, 4.0, 5.0)]
+    made = spark.createDataFrame(rows, "interval_id int, h_start double, h_end double, k_start double, k_end double, h_size double, k_size double")
+    sizes = [F.col("h_size"), F.col("k_size")]
+    q = grids.q_grid(made, sizes)
+    want = q.agg(F.min("h"), F.max("h"), F.min("k"), F.max("k")).first()
+    assert tuple(grids.axis_bounds(made, sizes, "hk").first()) == tuple(want) == (-0.75, 1.0, 0.0, 0.8)
