@@ -10,7 +10,7 @@ from ..functions import scalars
 from ..operators import grids, masks, separable, weights
 from ..sources import structures, tables
 from . import flows, views
-from .queries import LISTED, AMPL1, AMPL1M, FIELD1, AMPL2, AMPL3, FIELD4, FOUR, SQL, TWO_PI, WITH2, WITH3, _ampl_sql, _PATCH, GRID2, disc, grid_1d, grid_2d, grid_3d, grid_3s, patches, query, r, rounded
+from .queries import LISTED, AMPL1, AMPL1M, FIELD1, AMPL2, AMPL3, FOUR, SQL, TWO_PI, WITH2, WITH3, _ampl_sql, _PATCH, GRID2, disc, grid_1d, grid_2d, grid_3d, grid_3s, patches, query, r, rounded
 
 # --- transforms that factor by axis ------------------------------------------------------------------------------------------------
 
@@ -71,12 +71,13 @@ def _spread(where: str, places: str, keys: str) -> str:
 
 for _name, _ampl, _mask in (("e6_patches_2d", AMPL2, None), ("e6_patches_2d_masked", AMPL2M, "h * h + k * k > 0.01D AND h >= 0")):
 
-    @query(_name, f"{WITH2}, {_PATCH}, {_ampl}, {_spread('qh * px + qk * py', 'patch', 'site_id, point_no, px, py')} SELECT site_id, point_no, {r('px')}, {r('py')}, {FIELD4} FROM field")
+    @query(_name, f"{WITH2}, {_PATCH}, {_ampl}, {_spread('qh * px + qk * py', 'patch', 'site_id, point_no, px, py')} SELECT site_id, point_no, {r('px')}, {r('py')}, {', '.join(r(f'{x} / 1e4', x) for x in separable.FIELD)} FROM field")
     def _(spark, d, mask=_mask):
         """Patches of up to 49 points; the masked grid is sparse, so its points are taken one by one."""
         atoms, chosen = views.atoms_2d(spark, d), patches(spark, d)
         ampl = separable.amplitudes_separable(atoms, grid_2d(spark, d, masks.mask_equation(mask) if mask else None), ["ih", "ik"], ["x", "y"], ["xav", "yav"])
-        return rounded(separable.patch_rows(separable.residual_patches(ampl, chosen, ["ih", "ik"], ["x", "y"]), chosen, ["x", "y"]))
+        rows = separable.patch_rows(separable.residual_patches(ampl, chosen, ["ih", "ik"], ["x", "y"]), chosen, ["x", "y"])
+        return rounded(rows.withColumns({v: F.col(v) / 1e4 for v in separable.FIELD}))
 
 
 _BOXES = "patch AS (SELECT CAST(cell_x * 20 + cell_y AS BIGINT) AS site_id, CAST((i * 3 + j) * 1 AS BIGINT) AS point_no, cell_x / 20e0 + (i - 1) * 0.01e0 AS px, cell_y / 20e0 + (j - 1) * 0.02e0 AS py, 0.5e0 AS pz FROM (SELECT DISTINCT cell_x, cell_y FROM atoms), range(0, 3) a(i), range(0, 3) b(j))"
