@@ -163,13 +163,28 @@ def _words(text: str) -> list[str]:
     return re.sub(r"[^a-z0-9.\-]+|[.\-]+(?=\s|$)", " ", text.lower()).split()
 
 
-def _longest_run(words: Column, template: list[str]) -> Column:
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator: filters and lambdas that use them read the value, where Spark would else compute it for each use."""
+    for name, col in columns.items():
+        df = df.select("*", F.explode(F.array(col)).alias(name))
+    return df
+
+
+def _with_runs(df: DataFrame) -> DataFrame:
+    """Add the pairs and triples of neighbouring words, by which runs are told."""
+    def of(k: int) -> Column:
+        return F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (k - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice("words", i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+
+    return _once(df, _g2=of(2), _g3=of(3))
+
+
+def _longest_run(template: list[str]) -> Column:
     """The share of a template in the longest run of its words that stands in ``words`` in order (a run of three words at least, or the whole of a shorter template).
 
     Runs are told by their neighbouring triples of words; a triple that stands elsewhere may join two runs.
     """
     k = min(3, len(template))
-    have = F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(k)))))
+    have = F.col(f"_g{k}")
     own = F.lit([" ".join(template[i : i + k]) for i in range(len(template) - k + 1)])
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
 
@@ -178,7 +193,7 @@ def _longest_run(words: Column, template: list[str]) -> Column:
         return F.struct(now.alias("now"), F.greatest(state["best"], now).alias("best"))
 
     best = F.aggregate(own, zero, step, lambda s: s["best"])
-    return F.when(F.size(words) >= k, F.when(best > 0, (best + (k - 1)) / F.lit(float(len(template)))).otherwise(0.0)).otherwise(0.0)
+    return F.when(best > 0, (best + (k - 1)) / F.lit(float(len(template)))).otherwise(0.0)
 
 
 def _templates(family: str) -> list[list[str]]:
@@ -186,16 +201,16 @@ def _templates(family: str) -> list[list[str]]:
     return [*map(_words, TEMPLATES[family]), *(_words(f"SPDX-License-Identifier: {n}") for n in NAMES.get(family, ()) if " " not in n)]
 
 
-def _overlap(words: Column, family: str) -> Column:
+def _overlap(family: str) -> Column:
     """The largest share of a template of the family that stands in ``words`` as one run."""
-    return F.greatest(F.lit(0.0), F.lit(0.0), *(_longest_run(words, t) for t in _templates(family)))
+    return F.greatest(F.lit(0.0), F.lit(0.0), *(_longest_run(t) for t in _templates(family)))
 
 
-def _confirmed(words: Column, family: str, least: float) -> Column:
+def _confirmed(family: str, least: float) -> Column:
     """True if a run holds the share ``least`` of a template; of one under eight words, half of the rest more."""
     tests = F.lit(False)
     for t in _templates(family):
-        tests = tests | (_longest_run(words, t) >= (least if len(t) >= 8 else (1 + least) / 2))
+        tests = tests | (_longest_run(t) >= (least if len(t) >= 8 else (1 + least) / 2))
     return tests
 
 
@@ -243,15 +258,16 @@ def _maybe(text: Column, cues: tuple[str, ...]) -> Column:
 
 def _margin(words: DataFrame, stages: PipelineModel, families: list[str]) -> DataFrame:
     """Add the likeliest family (the first by name of equal ones) and ``margin``, the log odds of all families together against unknown."""
-    raw = stages.transform(words.withColumn("grams", ngrams(F.col("words")))).withColumn("_raw", vector_to_array("rawPrediction"))
-    known = F.slice("_raw", 2, len(families) - 1)
-    name = F.element_at(F.array(*map(F.lit, families[1:])), F.array_position(known, F.array_max(known)).cast("int"))
-    return raw.withColumn("family", name).withColumn("margin", F.array_max(known) - F.col("_raw")[0] + F.log(F.aggregate(F.transform(known, lambda x: F.exp(x - F.array_max(known))), F.lit(0.0), lambda a, x: a + x))).drop("grams", "features", "rawPrediction", "probability", "prediction", "_raw")
+    raw = _once(stages.transform(_once(words, grams=ngrams(F.col("words")))), _raw=vector_to_array("rawPrediction"))
+    known, best = F.slice("_raw", 2, len(families) - 1), F.array_max(F.slice("_raw", 2, len(families) - 1))
+    raw = _once(raw, _best=best)
+    name = F.element_at(F.array(*map(F.lit, families[1:])), F.array_position(known, F.col("_best")).cast("int"))
+    return raw.withColumn("family", name).withColumn("margin", F.col("_best") - F.col("_raw")[0] + F.log(F.aggregate(known, F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_best"))))).drop("grams", "features", "rawPrediction", "probability", "prediction", "_raw", "_best")
 
 
 def _rated(words: DataFrame, model: LicenseModel) -> DataFrame:
     """Add the likeliest family and its calibrated probability ``p``."""
-    return _margin(words, model.stages, model.families).withColumn("p", 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.offset)))).drop("margin")
+    return _once(_margin(words, model.stages, model.families), p=1 / (1 + F.exp(-(F.col("margin") * model.slope + model.offset)))).drop("margin")
 
 
 def notices(df: DataFrame, id_col: str, text_col: str, model: LicenseModel, least_share: float, least_overlap: float) -> DataFrame:
@@ -263,16 +279,16 @@ def notices(df: DataFrame, id_col: str, text_col: str, model: LicenseModel, leas
     single = sorted({w for g in model.known for w in g.split(" ")})
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"), text_of(text_col).alias("_text")).where(_maybe(F.col("_text"), model.cues))
     lines = docs.withColumn("_row", F.monotonically_increasing_id()).select("doc", "_row", F.posexplode(F.split("_text", "\n")).alias("paragraph", "body"))
-    worded = lines.withColumn("words", tokens(F.col("body"))).where(F.arrays_overlap("words", F.lit(single)))
+    worded = _once(lines, words=tokens(F.col("body"))).where(F.arrays_overlap("words", F.lit(single)))
     pairs = F.when(F.size("words") > 1, F.array_distinct(F.filter(ngrams(F.col("words"), ends=False), lambda g: F.instr(g, " ") > 0))).otherwise(F.col("words"))
-    shared = worded.withColumn("_pairs", pairs).withColumn("share", F.size(F.array_intersect("_pairs", F.lit(list(model.known)))) / F.size("_pairs"))
+    shared = _once(_once(worded, _pairs=pairs), share=F.size(F.array_intersect("_pairs", F.lit(list(model.known)))) / F.size("_pairs"))
     rated = _rated(shared, model).withColumn("alone", F.when(F.col("p") >= 0.5, F.col("family")))
     # ids of rows must not change between the jobs that read them
     like = materialise(rated.where(F.col("alone").isNotNull() | (F.col("share") >= least_share)).select("doc", "_row", "paragraph", "body", "words", "family", "alone"))
     by_row, by_run = Window.partitionBy("_row").orderBy("paragraph"), Window.partitionBy("_row", "_run").orderBy("paragraph")
-    runs = like.withColumn("_run", F.col("paragraph") - F.row_number().over(by_row))
+    runs = _with_runs(like).withColumn("_run", F.col("paragraph") - F.row_number().over(by_row))
     before = F.last("alone", ignorenulls=True).over(by_run.rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.when(F.col("alone").isNotNull(), _of_family(lambda f: _confirmed(F.col("words"), f, least_overlap), F.lit(False))).otherwise(F.lit(False))
+    whole = F.when(F.col("alone").isNotNull(), _of_family(lambda f: _confirmed(f, least_overlap), F.lit(False))).otherwise(F.lit(False))
     begun = runs.withColumn("_begins", F.coalesce(F.col("alone").isNotNull() & ((before != F.col("alone")) | (before.isNotNull() & whole)), F.lit(False)))
     parts = begun.withColumn("_part", F.sum(F.col("_begins").cast("int")).over(by_run))
     found = parts.groupBy("_row", "_run", "_part").agg(F.first("doc").alias("doc"), F.array_sort(F.collect_list(F.struct("paragraph", "body", "words"))).alias("_l"))
@@ -300,8 +316,8 @@ def fit_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = some.select(F.explode(F.split("_text", "\n")).alias("body")).where(F.length("body") > 0).distinct()
     sample = materialise(lines.orderBy(F.xxhash64("body"), "body").limit(max_paragraphs).select("body", tokens(F.col("body")).alias("words")).where(F.size("words") > 0))
     plain = sample.where(~F.col("body").rlike(LICENCE_WORDS)).select(F.lit(0.0).alias("label"), "words", (F.pmod(F.xxhash64("body", F.lit(2)), F.lit(5)) == 0).alias("apart"))
-    near = F.coalesce(*(F.when(_overlap(F.col("words"), f) >= 0.9, float(families.index(f))) for f in TEMPLATES))
-    found = sample.where(F.col("body").rlike(LICENCE_WORDS)).withColumn("label", near).where("label IS NOT NULL").select("label", "words", F.lit(False).alias("apart"))
+    near = F.coalesce(*(F.when(_overlap(f) >= 0.9, float(families.index(f))) for f in TEMPLATES))
+    found = _once(_with_runs(sample.where(F.col("body").rlike(LICENCE_WORDS))), label=near).where("label IS NOT NULL").select("label", "words", F.lit(False).alias("apart"))
     n_plain = plain.count()
 
     def rows(pairs: list[tuple[float, str]], apart: bool) -> DataFrame:
@@ -366,6 +382,5 @@ def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", te
     counts = {r.bin: r.n for r in loud.collect()}
     counts[0] = max(0, every - sum(counts.values()))
     claimed = rated.where(F.col("p") >= max(0.5, quiet_threshold(counts, false_alarms)))
-    words = F.col("words")
-    out = claimed.withColumn("overlap", _of_family(lambda f: _overlap(words, f), F.lit(0.0))).withColumn("confirmed", _of_family(lambda f: _confirmed(words, f, least_overlap), F.lit(False)))
+    out = _with_runs(claimed).withColumn("overlap", _of_family(_overlap, F.lit(0.0))).withColumn("confirmed", _of_family(lambda f: _confirmed(f, least_overlap), F.lit(False)))
     return out.select(F.col("doc").alias(id_col), F.col("paragraph").cast("int").alias("paragraph"), F.col("lines").cast("int").alias("lines"), "family", F.col("p").alias("probability"), "overlap", "confirmed", "body")

@@ -52,8 +52,8 @@ def test_held_out_forms(make, model):
 
 
 def test_scattered_words_confirm_nothing(spark):
-    words = spark.createDataFrame([(["rights", "were", "all", "reserved"],), (["all", "rights", "reserved"],), (["by", "all", "rights", "reserved", "here"],), ([],)], "w array<string>")
-    assert [r[0] for r in words.select(licenses._overlap(words.w, "proprietary")).collect()] == [0.0, 1.0, 1.0, 0.0]
+    words = spark.createDataFrame([(["rights", "were", "all", "reserved"],), (["all", "rights", "reserved"],), (["by", "all", "rights", "reserved", "here"],), ([],)], "words array<string>")
+    assert [r[0] for r in licenses._with_runs(words).select(licenses._overlap("proprietary")).collect()] == [0.0, 1.0, 1.0, 0.0]
 
 
 def test_notices_of_any_length_and_neighbours(make, model):
