@@ -10,17 +10,16 @@ from __future__ import annotations
 
 from bisect import bisect
 from collections.abc import Iterator
-from itertools import chain, groupby
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
-from .segments import branching, byte_symbols, cut_spans, first_window, keyed, repeated_segments, segment_texts, unpack, window_count
+from .common import discard, materialise, slices
+from .segments import branching, byte_symbols, documents, first_window, keyed, repeated_segments, segment_texts, unpack, window_count
 
 _KEY = ["c1", "c2"]
 _PLACES = ["n", "low", "high", "bits", "mixed"]
@@ -84,6 +83,7 @@ def maximal_repeats(contents: list[bytes], anchors: list[int], window: int, plac
             parts.append(members)
             at = end + 1
         parts.sort(key=len)
+        came = {x: i for i, part in enumerate(parts) for x in part}
         if 4 * sum(map(len, parts[:-1])) < len(parts[-1]):  # few join many
             inside = parts[-1]
             for x in chain.from_iterable(parts[:-1]):
@@ -91,7 +91,6 @@ def maximal_repeats(contents: list[bytes], anchors: list[int], window: int, plac
         else:
             inside = sorted(chain.from_iterable(parts))
         merged[first] = last, inside
-        came = {x: i for i, part in enumerate(parts) for x in part}
         shared = [left.common(behind[a], behind[b]) for a, b in zip(inside, inside[1:], strict=False)]
         for a, b, n in zip(inside, inside[1:], shared, strict=False):
             if n + length >= window:
@@ -113,6 +112,7 @@ def maximal_repeats(contents: list[bytes], anchors: list[int], window: int, plac
 
 
 _FAR = np.int64(1) << 40  # longer than any text
+_PAIRS = 1 << 15  # compared at once
 
 
 def _runs(group: np.ndarray, start: np.ndarray, end: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,85 +158,120 @@ def whole_repeats(doc: np.ndarray, spans: dict[str, np.ndarray], window: int) ->
     order = order[np.lexsort((start[order], *(spans[c][order] for c in _PLACES), doc[order]))]
     first, last = _runs(_changes(doc[order], *(spans[c][order] for c in _PLACES)), start[order], end[order], window - 1)
     order = order[first]
-    rows = list(zip(doc[order].tolist(), start[order].tolist(), last.tolist(), *(spans[c][order].tolist() for c in _PLACES), strict=True))
-    out = []
-    for at, pieces in groupby(rows, key=itemgetter(0)):
-        out += [(at, *x) for x in _extended(sorted(p[1:] for p in pieces), window)]
-    return out
-
-
-def _extended(pieces: list[tuple], window: int) -> list[tuple[int, int, int]]:
-    """(start, end, places) of one document's pieces, each as far as pieces with all of its places lead."""
-    if len(pieces) == 1:
-        return [pieces[0][:3]]
-    by_end = sorted(pieces, key=lambda p: -p[1])
-    where = {p: i for i, p in enumerate(by_end)}
-    found, seen = set(), set()
-    for i, piece in enumerate(pieces):
-        if piece in seen:
-            continue
-        start, end, n, low, high, bits, _ = piece
-        for j in range(i + 1, len(pieces)):
-            other = pieces[j]
-            if other[0] > end - window + 1:
-                break
-            if other[2] >= n and other[3] <= low and other[4] >= high and not bits & ~other[5]:
-                end = max(end, other[1])
-                if other[2:] == piece[2:]:
-                    seen.add(other)
-        for j in range(where[piece] + 1, len(pieces)):
-            other = by_end[j]
-            if other[1] < start + window - 1:
-                break
-            if other[2] >= n and other[3] <= low and other[4] >= high and not bits & ~other[5]:
-                start = min(start, other[0])
-        found.add((start, end, n))
-    return sorted(found)
-
-
-def _contents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[dict, bytes, int]]:
-    for batch in slices(batches, "text"):
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            raw = text.encode()
-            for w in wanted:
-                start, windows, anchor = unpack(w["at"])
-                yield w, raw[start : start + windows - 1 + window], anchor
+    pieces = {"doc": doc[order], "start": start[order], "end": last, **{c: spans[c][order] for c in _PLACES}}
+    by = np.lexsort([pieces[c] for c in (*reversed(_PLACES), "end", "start", "doc")])
+    return _extended({c: x[by] for c, x in pieces.items()}, window)
+
+
+def _extended(pieces: dict[str, np.ndarray], window: int) -> list[tuple[int, int, int, int]]:
+    """(doc, start, end, places) of pieces sorted by document and start, each as far as pieces with all of its places lead."""
+    doc, places = pieces["doc"], [pieces[c] for c in _PLACES]
+    start, end = pieces["start"] + doc * _FAR, pieces["end"] + doc * _FAR
+    last = _led(start, end, places, np.arange(len(doc)), window)
+    kept, of, limit = [], None, 0
+    by = np.lexsort((np.arange(len(doc)), *places, doc))
+    for x, which, at, to in zip(by.tolist(), _changes(doc[by], *(c[by] for c in places)).tolist(), start[by].tolist(), last[by].tolist(), strict=True):
+        if which != of or at > limit:  # else an earlier piece with the same places leads over it
+            kept.append(x)
+            of, limit = which, to - window + 1
+    kept = np.array(kept, np.int64)
+    by = np.argsort(-end, kind="stable")
+    where = np.empty_like(by)
+    where[by] = np.arange(len(by))
+    first = -_led(-end[by], -start[by], [c[by] for c in places], where[kept], window)
+    whole = np.stack((doc[kept], first - doc[kept] * _FAR, last[kept] - doc[kept] * _FAR, pieces["n"][kept]), axis=1)
+    return list(map(tuple, np.unique(whole, axis=0).tolist()))
+
+
+def _led(start: np.ndarray, end: np.ndarray, places: list[np.ndarray], some: np.ndarray, window: int) -> np.ndarray:
+    """How far ``some`` spans reach by those after them (sorted by start) that have all of their places and share all but one symbol of a window with what is reached."""
+    n, low, high, bits, _ = places
+    without = ~bits
+    reached = end[some]
+    begin, stop = some + 1, np.searchsorted(start, reached - window + 1, "right")
+    active = np.flatnonzero(stop > begin)
+    while len(active):
+        counts = np.cumsum(stop[active] - begin[active])
+        at = 0
+        while at < len(active):  # about _PAIRS pairs at once
+            until = max(at + 1, int(np.searchsorted(counts, (counts[at - 1] if at else 0) + _PAIRS, "right")))
+            part = active[at:until]
+            size = stop[part] - begin[part]
+            other = np.arange(int(size.sum())) + np.repeat(begin[part] - np.cumsum(size) + size, size)
+            good = np.flatnonzero(np.repeat(bits[some[part]], size) & without[other] == 0)
+            one, other = np.repeat(part, size)[good], other[good]
+            mine = some[one]
+            good = (n[other] >= n[mine]) & (low[other] <= low[mine]) & (high[other] >= high[mine])
+            one, other = one[good], other[good]
+            np.maximum.at(reached, one, end[other])
+            at = until
+        begin[active] = stop[active]
+        stop[active] = np.searchsorted(start, reached[active] - window + 1, "right")
+        active = active[stop[active] > begin[active]]
+    return reached
+
+
+def _batch(out: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+
+
+def _halves(first: str, last: str) -> Column:
+    """Both halves (a, b) of the numbers from one column to another; a single number stays."""
+    a, b = F.col(first), F.col(last)
+    middle = F.floor((a + b) / 2).cast("int")
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    return F.when(a == b, F.array(pair(a, b))).otherwise(F.array(pair(a, middle), pair(middle + 1, b)))
 
 
 class RepeatFinder:
     """The jobs of one search: segments with repeated anchors, and what their suffixes share."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, window: int, gram: int, group_rows: int):
-        self.rows, self.window = keyed(df, id_col, text_col), window
+        self.rows, self.window, self.gram, self.group_rows = keyed(df, id_col, text_col), window, gram, group_rows
         self.segments = repeated_segments(self.rows, byte_symbols, window, gram)
         where = [F.count(F.lit(1)).alias("n"), F.min("kid").alias("low"), F.max("kid").alias("high"), F.bit_or(F.expr("shiftleft(1L, CAST(kid & 63 AS INT))")).alias("bits"), F.bit_xor(F.xxhash64("kid")).alias("mixed")]
         self.unique = self.segments.groupBy(*_KEY).agg(*where, F.min("g").alias("g"), F.min("kid").alias("kid"), F.min_by("at", "kid").alias("at"))
         self.forks = materialise(branching(self.unique))
-        few, many = self.forks.where(F.col("variants") <= group_rows), self.forks.where(F.col("variants") > group_rows)
-        self.reach = materialise(self._by_suffixes(few.drop("variants")).unionByName(self._by_windows(many.select("kid", "at", "n", *_KEY))))
-
-    def _by_suffixes(self, wanted: DataFrame) -> DataFrame:
-        """One task holds all different suffixes of an anchor, of which there are ``group_rows`` at most."""
+        few, many = (self.forks.where(c).drop("variants") for c in (F.col("variants") <= group_rows, F.col("variants") > group_rows))
+        whole = self._suffixes(few).withColumns({"group": F.col("g"), "l1": F.lit(window), "r1": F.lit(window)})
+        found = self._compared(whole, [(c, pa.int64()) for c in _KEY])
+        parts = [] if many.isEmpty() else self._by_cells(many)
+        for part in parts:
+            found = found.unionByName(part)
+        self.reach = materialise(found)
+        discard(*parts)
+
+    def _suffixes(self, wanted: DataFrame) -> DataFrame:
+        """``g, c1, c2``, the places, and the bytes before the anchor (last one first) and from it on, of each wanted segment."""
         window = self.window
         numbers = ("g", *_KEY, *_PLACES)
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
-            for w, content, anchor in _contents(batches, window):
-                out.append((*(w[c] for c in numbers), anchor, content))
-                if len(out) == 10_000:
-                    yield rows(out)
-                    out = []
-            yield rows(out)
-
-        def rows(out: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64()] * len(numbers) + [pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds, strict=True)], names=[*numbers, "anchor", "content"])
+            for batch in slices(batches, "text"):
+                for text, some in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                    raw = text.encode()
+                    for w in some:
+                        start, windows, anchor = unpack(w["at"])
+                        out.append((*(w[c] for c in numbers), raw[start : start + anchor][::-1], raw[start + anchor : start + windows - 1 + window]))
+                        if len(out) == 10_000:
+                            yield _batch(out, kinds)
+                            out = []
+            yield _batch(out, kinds)
+
+        kinds = [*((c, pa.int64()) for c in numbers), ("left", pa.binary()), ("right", pa.binary())]
+        return segment_texts(self.rows, wanted, fetch, ", ".join(f"{c} bigint" for c in numbers) + ", left binary, right binary")
+
+    def _compared(self, suffixes: DataFrame, ids: list[tuple[str, pa.DataType]]) -> DataFrame:
+        """``ids`` and ``repeats`` of suffixes: one task holds all that share a ``group``. Repeats of more than ``l1`` bytes left or ``r1`` right of the anchor are left out."""
+        window, names, kinds = self.window, [n for n, _ in ids], [*ids, ("repeats", _REPEATS)]
 
         def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             group: list[tuple] = []
             for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in (*numbers, "anchor", "content")), strict=True):
+                columns = [batch.column(c).to_pylist() for c in fields]
+                for row in zip(*columns, strict=True):
                     if group and group[0][0] != row[0]:
                         yield group
                         group = []
@@ -248,53 +283,75 @@ class RepeatFinder:
             out: list[tuple] = []
             for group in groups(batches):
                 if len(group) > 1:
-                    found = maximal_repeats([r[9] for r in group], [r[8] for r in group], window, [r[3:8] for r in group])
-                    out += [(r[1], r[2], r[8] - a, r[8] + b if b else 0, reps) for r, (a, b, reps) in zip(group, found, strict=True) if b or reps]
+                    l1, r1 = group[0][1:3]
+                    found = maximal_repeats([r[3][::-1] + r[4] for r in group], [len(r[3]) for r in group], window, [r[5:10] for r in group])
+                    for row, (_, _, repeats) in zip(group, found, strict=True):
+                        kept = [{"left": a, "right": b, **dict(zip(_PLACES, at, strict=True))} for a, b, at in repeats if a <= l1 and b <= r1]
+                        if kept:
+                            out.append((*row[10:], kept))
                 if len(out) >= 5_000:
-                    yield reached(out)
+                    yield _batch(out, kinds)
                     out = []
-            yield reached(out)
+            yield _batch(out, kinds)
 
-        def reached(out: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*out)) if out else [[]] * 5
-            repeats = [[{"left": a, "right": b, **dict(zip(_PLACES, at, strict=True))} for a, b, at in r] for r in columns[4]]
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 2
-            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns[:4], kinds, strict=True)), pa.array(repeats, _REPEATS)], names=[*_KEY, "from", "to", "repeats"])
+        fields = ("group", "l1", "r1", "left", "right", *_PLACES, *names)
+        dealt = suffixes.select(*dict.fromkeys(fields)).repartition("group").sortWithinPartitions("group")
+        return dealt.mapInArrow(compare, ", ".join(f"{n} {'binary' if k == pa.binary() else 'bigint'}" for n, k in ids) + f", repeats {_REPEAT}")
 
-        suffixes = segment_texts(self.rows, wanted, fetch, ", ".join(f"{c} bigint" for c in numbers) + ", anchor int, content binary")
-        dealt = suffixes.repartition("g").sortWithinPartitions("g")
-        return dealt.mapInArrow(compare, f"c1 bigint, c2 bigint, `from` int, to int, repeats {_REPEAT}")
+    def _by_cells(self, wanted: DataFrame) -> list[DataFrame]:
+        """``c1, c2, repeats`` (several rows for a segment) of anchors with more suffixes than a task may hold.
 
-    def _by_windows(self, wanted: DataFrame) -> DataFrame:
-        """Anchors with more suffixes than a task may hold: their windows are counted by hash, summed before the shuffle, and each that repeats is a repeat."""
-        window = self.window
-
-        def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for w, content, _ in _contents(batches, window):
-                symbols = byte_symbols([content])
-                start = np.arange(len(content) - window + 1)
-                windows = symbols.digests(start, start + window)
-                columns = [windows[:, 0], windows[:, 1], start.astype(np.int32)] + [np.full(len(start), w[c], np.int64) for c in (*_KEY, "n")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["e1", "e2", "offset", *_KEY, "n"])
-
-        windows = segment_texts(self.rows, wanted, unfold, "e1 bigint, e2 bigint, offset int, c1 bigint, c2 bigint, n bigint")
-        again = windows.groupBy("e1", "e2").agg(F.sum("n").alias("times")).where("times > 1").select("e1", "e2")
-        met = windows.join(again, ["e1", "e2"]).groupBy(*_KEY).agg(F.min("offset").alias("from"), (F.max("offset") + window).cast("int").alias("to"))
-        return met.withColumn("repeats", F.array().cast(_REPEAT))
+        The repeats are told apart by how far they reach from the anchor: a cell takes those of l0 to l1 bytes left and r0 to r1 right of it. They
+        are found among the suffixes that share the l0 and r0 bytes next to the anchor, and one byte beyond l1 and r1 tells whether they end there, so
+        suffixes that are alike up to there count as one. What is still too many is halved both ways; where l0 = l1 and
+        r0 = r1 there are 257 * 257 different ones at most.
+        """
+        cell = ["g", "l0", "l1", "r0", "r1", "near_left", "near_right"]
+        places = [F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("bits").alias("bits"), F.bit_xor("mixed").alias("mixed")]
+        bounds = {"l0": F.lit(0), "l1": F.lit(self.window - self.gram), "r0": F.lit(1), "r1": F.lit(self.window)}
+        open_, out = materialise(self._suffixes(wanted).withColumns(bounds)), []
+        while not open_.isEmpty():
+            parts = open_.withColumn("l", F.explode(_halves("l0", "l1"))).withColumn("r", F.explode(_halves("r0", "r1")))
+            parts = parts.withColumns({"l0": F.col("l.a"), "l1": F.col("l.b"), "r0": F.col("r.a"), "r1": F.col("r.b")}).drop("l", "r")
+            parts = parts.where((F.col("l1") + F.col("r1") >= self.window) & (F.length("left") >= F.col("l0")) & (F.length("right") >= F.col("r0")))
+            cut = {"near_left": "substring(left, 1, l0)", "near_right": "substring(right, 1, r0)", "far_left": "substring(left, 1, l1 + 1)", "far_right": "substring(right, 1, r1 + 1)"}
+            parts = parts.withColumns({c: F.expr(e) for c, e in cut.items()})
+            alike = materialise(parts.groupBy(*cell, "far_left", "far_right").agg(*places))
+            sides = [F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in ("far_left", "far_right")]
+            cells = alike.groupBy(*cell).agg(F.count(F.lit(1)).alias("variants"), *sides).where("variants > 1")
+            for side, last in (("far_left", "l1"), ("far_right", "r1")):  # no repeat ends in a cell where all go on alike
+                cells = cells.where((F.col(f"{side}.a") != F.col(f"{side}.b")) | (F.length(f"{side}.a") <= F.col(last)))
+            fits = (F.col("variants") <= self.group_rows) | ((F.col("l0") == F.col("l1")) & (F.col("r0") == F.col("r1")))
+            cells = materialise(cells.select(*cell, fits.alias("fits"), F.monotonically_increasing_id().alias("group")))
+            small = cells.where("fits").drop("fits")
+            suffixes = alike.join(small, cell).withColumnsRenamed({"far_left": "left", "far_right": "right"})
+            found = self._compared(suffixes, [("group", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+            found = found.withColumnsRenamed({"left": "far_left", "right": "far_right"})
+            out.append(materialise(parts.join(small, cell).join(found, ["group", "far_left", "far_right"]).select(*_KEY, "repeats")))
+            rest = materialise(parts.join(cells.where("NOT fits").select(*cell), cell).select(*open_.columns))
+            discard(open_, alike, cells)
+            open_ = rest
+        discard(open_)
+        return out
 
     def spans(self) -> DataFrame:
-        """``kid, start, end, gone, n, low, high, bits, mixed``: pieces of repeats; those with ``gone`` are what is removed.
+        """``kid, spans``: arrays of pieces of repeats (``start, end, gone, n, low, high, bits, mixed``); those with ``gone`` are what is removed.
 
         Segments that stand twice are covered whole; one of its own as far as its repeats reach.
         """
         at = self.segments.select("kid", "at", *_KEY)
         begin, end = first_window(), first_window() + window_count() - 1 + self.window
-        whole = at.join(self.unique.where("n > 1").select(*_KEY, *_PLACES), _KEY).select("kid", begin.alias("start"), end.alias("end"), F.lit(True).alias("gone"), *_PLACES)
-        alone = self.forks.where("n = 1").select("kid", "at", *_KEY).join(self.reach.where("to > 0").select(*_KEY, "from", "to"), _KEY)
-        alone = alone.select("kid", (begin + F.col("from")).alias("start"), (begin + F.col("to")).alias("end"), F.lit(True).alias("gone"), *(F.lit(1).cast("bigint").alias(c) for c in _PLACES))
-        inner = at.join(self.reach.select(*_KEY, F.explode("repeats").alias("r")), _KEY)
         anchor = first_window() + F.col("at").bitwiseAND(1023)
-        pieces = inner.select("kid", (anchor - F.col("r.left")).alias("start"), (anchor + F.col("r.right")).alias("end"), F.lit(False).alias("gone"), *(F.col(f"r.{c}").alias(c) for c in _PLACES))
+
+        def span(start: Column, end: Column, gone: bool, places: list[Column]) -> Column:
+            return F.struct(start.alias("start"), end.alias("end"), F.lit(gone).alias("gone"), *(x.alias(c) for x, c in zip(places, _PLACES, strict=True)))
+
+        whole = at.join(self.unique.where("n > 1").select(*_KEY, *_PLACES), _KEY)
+        whole = whole.select("kid", F.array(span(begin, end, True, [F.col(c) for c in _PLACES])).alias("spans"))
+        alone = self.forks.where("n = 1").select("kid", "at", *_KEY).join(self.reach, _KEY)
+        one = [F.lit(1).cast("bigint")] * len(_PLACES)
+        alone = alone.select("kid", F.array(span(anchor - F.array_max("repeats.left"), anchor + F.array_max("repeats.right"), True, one)).alias("spans"))
+        pieces = at.join(self.reach, _KEY).select("kid", F.transform("repeats", lambda r: span(anchor - r.left, anchor + r.right, False, [r[c] for c in _PLACES])).alias("spans"))
         return whole.unionByName(alone).unionByName(pieces)
 
 
@@ -320,8 +377,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows repeated lose all, as each stands elsewhere too; ids may be null or repeat. An empty table gives an
     empty result; other columns are not read. ``window`` is at most 1000.
 
-    An anchor with more than ``group_rows`` different surroundings (of ``2 * window - gram`` bytes at most) is not put into one task; its windows are counted by
-    hash, which gives the same bytes to remove, but no repeats that end near this anchor.
+    An anchor with more than ``group_rows`` different surroundings (of ``2 * window - gram`` bytes at most) is not put into one task; its repeats are dealt
+    by how far they reach from it (``_by_cells``), with the same results.
     """
     found = RepeatFinder(df, id_col, text_col, window, gram, group_rows)
 
@@ -350,4 +407,6 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     listed = "array<struct<repeat:bigint,start:bigint,end:bigint,places:bigint>>"
-    return cut_spans(found.rows, found.spans(), run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<start:bigint,end:bigint>>, kept binary, repeats {listed}")
+    lists = found.spans().groupBy("kid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    cut = documents(found.rows).join(lists, "kid", "left").select("id", "text", "spans")
+    return cut.mapInArrow(run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<start:bigint,end:bigint>>, kept binary, repeats {listed}")

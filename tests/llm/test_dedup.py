@@ -100,6 +100,15 @@ def test_intervals_and_repeats():
     assert set(found[0][2]) == set(found[1][2]) == {two, three} and found[2][2] == [three]
 
 
+@pytest.mark.parametrize("many", [2, 40])
+def test_repeat_of_few_and_many(many):
+    """One text goes on otherwise than all others, however many those are."""
+    texts = [b"%02dabcdefx%02d" % (i, i) for i in range(many)] + [b"--abcdefy--"]
+    found = maximal_repeats(texts, [2] * len(texts), 4, [(1, i, i, 1 << i, 1 << i) for i in range(len(texts))])
+    everywhere = (len(texts), 0, len(texts) - 1, (1 << len(texts)) - 1, (1 << len(texts)) - 1)
+    assert all((0, 6, everywhere) in f[2] for f in found)
+
+
 def maximal_by_brute_force(docs, window):
     """Strings of ``window`` bytes or more with two places that lose one when extended, with all places."""
     places = defaultdict(set)
@@ -145,6 +154,41 @@ def test_repeat_groups_of_random_texts_hold_all_places(make, seed, alphabet):
     assert right >= 0.7 * len(want) and right >= 0.9 * len(groups)  # texts of two letters overlap with themselves
 
 
+@pytest.mark.parametrize("rows", [1, 5, 20])
+def test_suffix_does_not_depend_on_group_rows(make, rows):
+    """The repeats, too, are the same if an anchor has more surroundings than a task may hold."""
+    import random
+
+    r = random.Random(rows)
+    new = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzé ") for _ in range(n))
+    notice, other = new(26), new(20)
+    docs = [(i, new(r.randint(0, 30)) + notice + new(r.randint(0, 30))) for i in range(40)]  # many surroundings
+    docs += [(100 + i, "start " + notice[: r.randint(15, 26)] + "ab"[i % 2] * r.randint(0, 9)) for i in range(30)]  # alike on one side
+    docs += [(200 + i, notice[r.randint(0, 6) :] + other + new(r.randint(0, 5))) for i in range(20)] + [(300, docs[0][1]), (301, docs[0][1]), (302, None)]
+    docs += [(400 + i, "".join(d)) for i, d in enumerate(random_docs(rows, 40, "ab", 0, 50))]
+
+    def found(n):
+        out = suffix_dedup(make(docs), window=20, gram=6, group_rows=n).collect()
+        return Counter((x.doc_id, x.n_removed, x.n_spans, bytes(x.kept), tuple(sorted(tuple(y) for y in x.repeats))) for x in out)
+
+    whole = found(100_000)
+    assert sum(len(x[4]) for x in whole) > 100 and found(rows) == whole
+
+
+def test_repeat_groups_at_an_anchor_with_many_surroundings(make):
+    """Each document has its own text around one notice: the notice is one group of all of them."""
+    import random
+
+    r = random.Random(9)
+    new = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    notice = new(30)
+    docs = [(i, new(25) + chr(65 + i) + notice + chr(65 + i) + new(25)) for i in range(30)] + [(50 + i, new(25) + str(i) + notice[:25]) for i in range(5)]
+    got = defaultdict(set)
+    for x in repeat_groups(make(docs), window=20, gram=6, group_rows=3).collect():
+        got[dict(docs)[x.doc_id].encode()[x.start : x.end]].add((x.doc_id, x.start))
+    assert got == maximal_by_brute_force([(i, t.encode()) for i, t in docs], 20) and len(got[notice.encode()]) == 30
+
+
 def components_of(docs, size, percent):
     sets = {}
     for i, t in docs:
