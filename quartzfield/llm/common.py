@@ -32,9 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage and survives lost executors.
+
+    The shuffle files of that job go when it ends; else they stay until the driver's next garbage collection.
+    """
+    path, conf, clean = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}", df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean)
+    conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(clean, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path
     return out

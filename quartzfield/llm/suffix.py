@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, slices
-from .segments import branching, byte_symbols, documents, first_window, keyed, repeated_segments, segment_texts, unpack, window_count
+from .segments import branching, byte_symbols, documents, keyed, repeated_segments, segment_texts, unpack
 
 _KEY = ["c1", "c2"]
 _PLACES = ["n", "low", "high", "bits", "mixed"]
@@ -239,8 +239,9 @@ class RepeatFinder:
         parts = [] if many.isEmpty() else self._by_cells(many)
         for part in parts:
             found = found.unionByName(part)
-        self.reach = materialise(found)
-        discard(*parts)
+        reach = materialise(found)
+        self.told = materialise(self.unique.where("n > 1").select(*_KEY, *_PLACES).join(reach, _KEY, "full").select(*_KEY, *(F.coalesce(c, F.lit(1)).alias(c) for c in _PLACES), "repeats"))
+        discard(*parts, self.forks, reach)
 
     def _suffixes(self, wanted: DataFrame) -> DataFrame:
         """``g, c1, c2``, the places, and the bytes before the anchor (last one first) and from it on, of each wanted segment."""
@@ -335,24 +336,39 @@ class RepeatFinder:
         return out
 
     def spans(self) -> DataFrame:
-        """``kid, spans``: arrays of pieces of repeats (``start, end, gone, n, low, high, bits, mixed``); those with ``gone`` are what is removed.
+        """``kid, segments``: the segments of each document (``at``, the content's places, ``repeats``) of which something repeats; see ``spans_of``.
 
-        Segments that stand twice are covered whole; one of its own as far as its repeats reach.
+        What is told of a content goes to all of its places. The join leaves them next to each other and nothing is gathered before the shuffle, so its
+        compression finds the copies; lists gathered by document would part them.
         """
-        at = self.segments.select("kid", "at", *_KEY)
-        begin, end = first_window(), first_window() + window_count() - 1 + self.window
-        anchor = first_window() + F.col("at").bitwiseAND(1023)
+        each = self.segments.select("kid", "at", *_KEY).join(self.told, _KEY).select("kid", "at", *_PLACES, "repeats").repartition("kid")
+        return each.groupBy("kid").agg(F.collect_list(F.struct("at", *_PLACES, "repeats")).alias("segments"))
 
-        def span(start: Column, end: Column, gone: bool, places: list[Column]) -> Column:
-            return F.struct(start.alias("start"), end.alias("end"), F.lit(gone).alias("gone"), *(x.alias(c) for x, c in zip(places, _PLACES, strict=True)))
 
-        whole = at.join(self.unique.where("n > 1").select(*_KEY, *_PLACES), _KEY)
-        whole = whole.select("kid", F.array(span(begin, end, True, [F.col(c) for c in _PLACES])).alias("spans"))
-        alone = self.forks.where("n = 1").select("kid", "at", *_KEY).join(self.reach, _KEY)
-        one = [F.lit(1).cast("bigint")] * len(_PLACES)
-        alone = alone.select("kid", F.array(span(anchor - F.array_max("repeats.left"), anchor + F.array_max("repeats.right"), True, one)).alias("spans"))
-        pieces = at.join(self.reach, _KEY).select("kid", F.transform("repeats", lambda r: span(anchor - r.left, anchor + r.right, False, [r[c] for c in _PLACES])).alias("spans"))
-        return whole.unionByName(alone).unionByName(pieces)
+def spans_of(lists: pa.ListArray, window: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The document (no. of the list) and ``start, end, gone, n, low, high, bits, mixed`` of each piece of a repeat in lists of segments; those with ``gone`` are what is removed.
+
+    Segments that stand twice are covered whole; one of its own as far as its repeats reach.
+    """
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    segments = lists.flatten()
+    at, *own = (segments.field(c).to_numpy() for c in ("at", *_PLACES))
+    size = segments.field("repeats").value_lengths().fill_null(0).to_numpy()
+    repeats = segments.field("repeats").flatten()
+    left, right, *places = (repeats.field(c).to_numpy() for c in ("left", "right", *_PLACES))
+    start, windows = at >> 20, (at >> 10) & 1023
+    anchor, end, alone = start + (at & 1023), start + windows - 1 + window, own[0] == 1
+    if len(left):
+        first = np.minimum(np.cumsum(size) - size, len(left) - 1)
+        furthest = [np.maximum.reduceat(x, first[size > 0]) for x in (left, right)]
+        for out, far, sign in ((start, furthest[0], -1), (end, furthest[1], 1)):
+            reached = anchor.copy()
+            reached[size > 0] += sign * far
+            out[alone] = reached[alone]
+    of = np.repeat(np.arange(len(at)), size)
+    spans = {"start": np.concatenate((start, anchor[of] - left)), "end": np.concatenate((end, anchor[of] + right)), "gone": np.arange(len(at) + len(of)) < len(at)}
+    spans |= {c: np.concatenate(x) for c, *x in zip(_PLACES, own, places, strict=True)}
+    return np.concatenate((doc, doc[of])), spans
 
 
 def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 32, group_rows: int = 100_000) -> DataFrame:
@@ -387,10 +403,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         listed = pa.list_(pa.struct([("repeat", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("places", pa.int64())]))
         for batch in slices(batches, "text", 2 << 20):
             raw = [t.encode() for t in batch.column("text").to_pylist()]
-            lists = batch.column("spans")
-            doc = np.repeat(np.arange(len(raw)), lists.value_lengths().fill_null(0).to_numpy())
-            flat = lists.flatten()
-            spans = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "gone", *_PLACES)}
+            doc, spans = spans_of(batch.column("segments"), window)
             lost, removed, kept, repeats = [0] * len(raw), [[] for _ in raw], list(raw), [[] for _ in raw]
             for i, a, b in zip(*(c.tolist() for c in removed_runs(doc, spans)), strict=True):
                 lost[i] += b - a
@@ -407,6 +420,5 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     listed = "array<struct<repeat:bigint,start:bigint,end:bigint,places:bigint>>"
-    lists = found.spans().groupBy("kid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    cut = documents(found.rows).join(lists, "kid", "left").select("id", "text", "spans")
+    cut = documents(found.rows).join(found.spans(), "kid", "left").select("id", "text", "segments")
     return cut.mapInArrow(run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<start:bigint,end:bigint>>, kept binary, repeats {listed}")

@@ -6,11 +6,14 @@ from collections import Counter, defaultdict
 import pytest
 from fixtures import MESSY, random_docs
 
+from pyspark.sql import functions as F
+
+from quartzfield.llm.common import materialise
 from quartzfield.llm.components import connected_components
 from quartzfield.llm.exact import exact_dedup
 from quartzfield.llm.minhash import near_dedup
 from quartzfield.llm.substring import substring_dedup
-from quartzfield.llm.suffix import maximal_repeats, prefix_intervals, repeat_groups, suffix_dedup
+from quartzfield.llm.suffix import RepeatFinder, maximal_repeats, prefix_intervals, repeat_groups, suffix_dedup
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -189,6 +192,27 @@ def test_repeat_groups_at_an_anchor_with_many_surroundings(make):
     assert got == maximal_by_brute_force([(i, t.encode()) for i, t in docs], 20) and len(got[notice.encode()]) == 30
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString(" ").split() if "/shuffle_" in x}
+    before = files()
+    table = materialise(spark.range(1000).groupBy(F.expr("id % 10").alias("k")).count())
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 10
+
+
+def test_suffix_gathers_nothing_before_the_shuffle(make):
+    """Copies of what is told of a content stay neighbours in the shuffle."""
+    docs = [(i, "x" * i + "one passage that stands in all of these documents" + "y" * (i % 7)) for i in range(12)]
+    found = RepeatFinder(table := make(docs), "doc_id", "text", 20, 6, 100_000).spans()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.rindex("collect_list") < plan.index("Exchange hashpartitioning(kid") and found.count() == table.count()
+
+
 def components_of(docs, size, percent):
     sets = {}
     for i, t in docs:
