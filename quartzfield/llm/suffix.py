@@ -112,7 +112,7 @@ def maximal_repeats(contents: list[bytes], anchors: list[int], window: int, plac
 
 
 _FAR = np.int64(1) << 40  # longer than any text
-_PAIRS = 1 << 15  # compared at once
+_SPANS = 1 << 17  # extended at once
 
 
 def _runs(group: np.ndarray, start: np.ndarray, end: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,31 +184,38 @@ def _extended(pieces: dict[str, np.ndarray], window: int) -> list[tuple[int, int
 
 
 def _led(start: np.ndarray, end: np.ndarray, places: list[np.ndarray], some: np.ndarray, window: int) -> np.ndarray:
-    """How far ``some`` spans reach by those after them (sorted by start) that have all of their places and share all but one symbol of a window with what is reached."""
+    """How far ``some`` spans reach by those after them (sorted by start) that have all of their places and share all but one symbol of a window with what is reached.
+
+    Of a range of candidates the one that ends last is tried first (range maxima in a sparse table): where it has all of the places the others need
+    no look, and what it reaches itself is reached too; else both sides of it are tried, as far as they end beyond what is reached.
+    """
     n, low, high, bits, _ = places
-    without = ~bits
-    reached = end[some]
-    begin, stop = some + 1, np.searchsorted(start, reached - window + 1, "right")
-    active = np.flatnonzero(stop > begin)
-    while len(active):
-        counts = np.cumsum(stop[active] - begin[active])
-        at = 0
-        while at < len(active):  # about _PAIRS pairs at once
-            until = max(at + 1, int(np.searchsorted(counts, (counts[at - 1] if at else 0) + _PAIRS, "right")))
-            part = active[at:until]
-            size = stop[part] - begin[part]
-            other = np.arange(int(size.sum())) + np.repeat(begin[part] - np.cumsum(size) + size, size)
-            good = np.flatnonzero(np.repeat(bits[some[part]], size) & without[other] == 0)
-            one, other = np.repeat(part, size)[good], other[good]
-            mine = some[one]
-            good = (n[other] >= n[mine]) & (low[other] <= low[mine]) & (high[other] >= high[mine])
-            one, other = one[good], other[good]
-            np.maximum.at(reached, one, end[other])
-            at = until
-        begin[active] = stop[active]
-        stop[active] = np.searchsorted(start, reached[active] - window + 1, "right")
-        active = active[stop[active] > begin[active]]
-    return reached
+    without, reached = ~bits, end.copy()
+    by = np.argsort(end, kind="stable")
+    most = np.zeros((int(np.diff(np.flatnonzero(np.diff(start // _FAR, prepend=-_FAR, append=_FAR))).max(initial=1)).bit_length(), len(by)), np.int32)
+    most[0][by] = np.arange(len(by))
+    for k in range(1, len(most)):
+        half, size = 1 << k - 1, max(0, len(by) - (1 << k) + 1)
+        np.maximum(most[k - 1, :size], most[k - 1, half : half + size], out=most[k, :size])
+    stop = np.maximum(np.arange(len(end)) + 1, np.searchsorted(start, end - window + 1, "right"))
+    later = np.sort(some)[::-1]
+    for at in range(0, len(later), _SPANS):
+        mine = later[at : at + _SPANS]
+        first, last = mine + 1, stop[mine]
+        while len(mine):
+            few = last > first
+            mine, first, last = mine[few], first[few], last[few]
+            level = np.frexp(last - first)[1] - 1
+            other = by[np.maximum(most[level, first], most[level, last - (1 << level)])]
+            few = end[other] > reached[mine]
+            mine, first, last, other = mine[few], first[few], last[few], other[few]
+            good = (bits[mine] & without[other] == 0) & (n[other] >= n[mine]) & (low[other] <= low[mine]) & (high[other] >= high[mine])
+            bad, grown = ~good, mine[good]
+            np.maximum.at(reached, grown, reached[other[good]])
+            grown = np.unique(grown)
+            old, stop[grown] = stop[grown], np.searchsorted(start, reached[grown] - window + 1, "right")
+            mine, first, last = np.concatenate((mine[bad], mine[bad], grown)), np.concatenate((first[bad], other[bad] + 1, old)), np.concatenate((other[bad], last[bad], stop[grown]))
+    return reached[some]
 
 
 def _batch(out: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
