@@ -8,7 +8,9 @@ whether its left extensions are diverse. Pieces of repeats with the same places
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect
+from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -55,6 +57,9 @@ def prefix_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int
             stack.append((n, first))
 
 
+#: Added to how far a repeat reaches to a side where all segments that hold it end, so that these alone do not tell whether it goes on alike.
+_OPEN = 1 << 16
+
 #: Where a content stands: number of places, smallest and largest key of their documents, one bit for each of 64 hashes of those, and all combined.
 Places = tuple[int, int, int, int, int]
 
@@ -67,7 +72,8 @@ def maximal_repeats(contents: list[bytes], anchors: list[int], window: int, plac
     """For each text with an anchor: how far repeats of ``window`` bytes or more reach left and right of it (0, 0: none), and the repeats.
 
     A repeat is (bytes left of the anchor, bytes from the anchor on, its places); it cannot be extended to
-    either side without losing an occurrence. All texts share the bytes at their anchors and are different.
+    either side without losing an occurrence. All texts share the bytes at their anchors and are different. Where all texts with the repeat end with it on a
+    side, _OPEN is added there. Where only some do, these go on otherwise (a window that goes on alike would have the same anchor), so the repeat is whole there.
     """
     right = Side([c[a:] for c, a in zip(contents, anchors, strict=True)])
     left = Side([c[:a][::-1] for c, a in zip(contents, anchors, strict=True)])
@@ -103,16 +109,18 @@ def maximal_repeats(contents: list[bytes], anchors: list[int], window: int, plac
             all_places = places[some[0]]
             for x in some[1:]:
                 all_places = together(all_places, places[x])
+            one = n if any(left.size[x] > n for x in some) else n | _OPEN, length if any(right.size[x] > length for x in some) else length | _OPEN, all_places
             for x in some:
-                repeats[x].append((n, length, all_places))
+                repeats[x].append(one)
     for x, at in enumerate(places):  # copies of one text, unless another one holds it too
-        if at[0] > 1 and (left.size[x], right.size[x]) not in {r[:2] for r in repeats[x]}:
-            repeats[x].append((left.size[x], right.size[x], at))
+        if at[0] > 1 and (left.size[x], right.size[x]) not in {(a & ~_OPEN, b & ~_OPEN) for a, b, _ in repeats[x]}:
+            repeats[x].append((left.size[x] | _OPEN, right.size[x] | _OPEN, at))
     return [(a, b, r) for (a, b), r in zip(reach, repeats, strict=True)]
 
 
 _FAR = np.int64(1) << 40  # longer than any text
-_SPANS = 1 << 17  # extended at once
+_SPANS = 1 << 16  # extended at once
+_TASK_PIECES = 1 << 18  # of the documents of a task, which come in one batch
 
 
 def _runs(group: np.ndarray, start: np.ndarray, end: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,47 +148,69 @@ def removed_runs(doc: np.ndarray, spans: dict[str, np.ndarray]) -> tuple[np.ndar
     return doc[some][first], spans["start"][some][first], end
 
 
-def whole_repeats(doc: np.ndarray, spans: dict[str, np.ndarray], window: int) -> list[tuple[int, int, int, int]]:
-    """(doc, start, end, places) of the maximal repeats of some documents.
+def whole_repeats(doc: np.ndarray, spans: dict[str, np.ndarray], window: int) -> np.ndarray:
+    """Rows (doc, start, end, places) of the maximal repeats of some documents.
 
-    A repeat reaches on over each piece that stands at all of its places too and shares all but one byte of a window with it. Places are told by
+    A repeat that is whole on both sides is one as it stands. One that is open on a side reaches on over each piece there that stands at all of its places too
+    and shares all but one byte of a window with it. Places are told by
     their number, the smallest and largest document key, one bit for each of 64 hashes that occurs, and the combination of all keys.
     """
+    order = np.flatnonzero(spans["n"] > 1)
+    start, end, of = spans["start"][order], spans["end"][order], doc[order]
+    whole = ~(spans["open_left"][order] | spans["open_right"][order])
+    made = np.stack((of[whole], start[whole], end[whole], spans["n"][order[whole]]), axis=1)
+    if whole.all():
+        return _distinct(made)
+    some = order[~whole | np.isin(spans["mixed"][order], spans["mixed"][order[~whole]])]
+    pieces = _joined(doc, spans, some, window)
+    rest = order[whole & ~np.isin(order, some)]
+    own = {"doc": doc[rest], **{c: spans[c][rest] for c in pieces if c != "doc"}}
+    pieces = {c: np.concatenate((x, own[c])) for c, x in pieces.items()}
+    by = np.lexsort((pieces["end"], pieces["start"], pieces["doc"]))
+    return _distinct(np.concatenate((made, _extended({c: x[by] for c, x in pieces.items()}, window))))
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows, each once."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.concatenate((np.ones(len(rows[:1]), bool), (rows[1:] != rows[:-1]).any(axis=1)))]
+
+
+def _joined(doc: np.ndarray, spans: dict[str, np.ndarray], order: np.ndarray, window: int) -> dict[str, np.ndarray]:
+    """Some pieces, those with the same places that share all but one byte of a window as one; a side is open if all that reach as far are open there."""
     start, end, gone = spans["start"], spans["end"], spans["gone"]
-    order = np.lexsort((gone, end, start, doc))
-    order = order[spans["n"][order] > 1]
-    if not len(order):
-        return []
+    order = order[np.lexsort((gone[order], end[order], start[order], doc[order]))]
     # of a segment's copies, what its suffixes say of it counts instead
     same = _changes(doc[order], start[order], end[order])
     told = ~gone[order][np.searchsorted(same, same)]
     order = order[~(gone[order] & told)]
     order = order[np.lexsort((start[order], *(spans[c][order] for c in _PLACES), doc[order]))]
-    first, last = _runs(_changes(doc[order], *(spans[c][order] for c in _PLACES)), start[order], end[order], window - 1)
-    order = order[first]
-    pieces = {"doc": doc[order], "start": start[order], "end": last, **{c: spans[c][order] for c in _PLACES}}
-    by = np.lexsort([pieces[c] for c in (*reversed(_PLACES), "end", "start", "doc")])
-    return _extended({c: x[by] for c, x in pieces.items()}, window)
-
-
-def _extended(pieces: dict[str, np.ndarray], window: int) -> list[tuple[int, int, int, int]]:
-    """(doc, start, end, places) of pieces sorted by document and start, each as far as pieces with all of its places lead."""
-    doc, places = pieces["doc"], [pieces[c] for c in _PLACES]
+    start, end, group = start[order], end[order], _changes(doc[order], *(spans[c][order] for c in _PLACES))
+    first, last = _runs(group, start, end, window - 1)
+    size = np.diff(first, append=len(order))
+    open_left = np.logical_and.reduceat(spans["open_left"][order] | (start > np.repeat(start[first], size)), first)
+    open_right = np.logical_and.reduceat(spans["open_right"][order] | (end < np.repeat(last, size)), first)
+    at = order[first]
+    return {"doc": doc[at], "start": start[first], "end": last, "open_left": open_left, "open_right": open_right, **{c: spans[c][at] for c in _PLACES}}
+
+
+def _extended(pieces: dict[str, np.ndarray], window: int) -> np.ndarray:
+    """Rows (doc, start, end, places) of pieces sorted by document and start, each as far as pieces with all of its places lead from its open sides."""
+    doc, places, open_left, open_right = pieces["doc"], [pieces[c] for c in _PLACES], pieces["open_left"], pieces["open_right"]
     start, end = pieces["start"] + doc * _FAR, pieces["end"] + doc * _FAR
-    last = _led(start, end, places, np.arange(len(doc)), window)
-    kept, of, limit = [], None, 0
-    by = np.lexsort((np.arange(len(doc)), *places, doc))
-    for x, which, at, to in zip(by.tolist(), _changes(doc[by], *(c[by] for c in places)).tolist(), start[by].tolist(), last[by].tolist(), strict=True):
-        if which != of or at > limit:  # else an earlier piece with the same places leads over it
-            kept.append(x)
-            of, limit = which, to - window + 1
-    kept = np.array(kept, np.int64)
+    last, some = end.copy(), np.flatnonzero(open_right)
+    last[some] = _led(start, end, places, some, window)
+    by = np.flatnonzero(open_left | open_right)
+    by = by[np.lexsort((by, *(c[by] for c in places), doc[by]))]
+    kept = ~(open_left | open_right)
+    kept[by[_runs(_changes(doc[by], *(c[by] for c in places)), pieces["start"][by], last[by] - doc[by] * _FAR, window - 1)[0]]] = True
+    kept = np.flatnonzero(kept | ~open_left)  # else an earlier piece with the same places leads over it
+    first, some = start[kept], open_left[kept]
     by = np.argsort(-end, kind="stable")
     where = np.empty_like(by)
     where[by] = np.arange(len(by))
-    first = -_led(-end[by], -start[by], [c[by] for c in places], where[kept], window)
-    whole = np.stack((doc[kept], first - doc[kept] * _FAR, last[kept] - doc[kept] * _FAR, pieces["n"][kept]), axis=1)
-    return list(map(tuple, np.unique(whole, axis=0).tolist()))
+    first[some] = -_led(-end[by], -start[by], [c[by] for c in places], where[kept[some]], window)
+    return np.stack((doc[kept], first - doc[kept] * _FAR, last[kept] - doc[kept] * _FAR, pieces["n"][kept]), axis=1)
 
 
 def _led(start: np.ndarray, end: np.ndarray, places: list[np.ndarray], some: np.ndarray, window: int) -> np.ndarray:
@@ -294,7 +324,7 @@ class RepeatFinder:
                     l1, r1 = group[0][1:3]
                     found = maximal_repeats([r[3][::-1] + r[4] for r in group], [len(r[3]) for r in group], window, [r[5:10] for r in group])
                     for row, (_, _, repeats) in zip(group, found, strict=True):
-                        kept = [{"left": a, "right": b, **dict(zip(_PLACES, at, strict=True))} for a, b, at in repeats if a <= l1 and b <= r1]
+                        kept = [{"left": a, "right": b, **dict(zip(_PLACES, at, strict=True))} for a, b, at in repeats if a & ~_OPEN <= l1 and b & ~_OPEN <= r1]
                         if kept:
                             out.append((*row[10:], kept))
                 if len(out) >= 5_000:
@@ -346,14 +376,17 @@ class RepeatFinder:
         """``kid, segments``: the segments of each document (``at``, the content's places, ``repeats``) of which something repeats; see ``spans_of``.
 
         What is told of a content goes to all of its places. The join leaves them next to each other and nothing is gathered before the shuffle, so its
-        compression finds the copies; lists gathered by document would part them.
+        compression finds the copies; lists gathered by document would part them. Documents are dealt to as many tasks as keep the pieces of a task few.
         """
-        each = self.segments.select("kid", "at", *_KEY).join(self.told, _KEY).select("kid", "at", *_PLACES, "repeats").repartition("kid")
+        pieces = self.told.agg(F.sum(F.col("n") * (1 + F.coalesce(F.size("repeats.left"), F.lit(0))))).first()[0] or 0
+        parts = -(-pieces // _TASK_PIECES)
+        dealt = (parts, "kid") if parts > int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ("kid",)
+        each = self.segments.select("kid", "at", *_KEY).join(self.told, _KEY).select("kid", "at", *_PLACES, "repeats").repartition(*dealt)
         return each.groupBy("kid").agg(F.collect_list(F.struct("at", *_PLACES, "repeats")).alias("segments"))
 
 
 def spans_of(lists: pa.ListArray, window: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The document (no. of the list) and ``start, end, gone, n, low, high, bits, mixed`` of each piece of a repeat in lists of segments; those with ``gone`` are what is removed.
+    """The document (no. of the list) and ``start, end, gone, open_left, open_right, n, low, high, bits, mixed`` of each piece of a repeat in lists of segments; those with ``gone`` are what is removed.
 
     Segments that stand twice are covered whole; one of its own as far as its repeats reach.
     """
@@ -363,6 +396,8 @@ def spans_of(lists: pa.ListArray, window: int) -> tuple[np.ndarray, dict[str, np
     size = segments.field("repeats").value_lengths().fill_null(0).to_numpy()
     repeats = segments.field("repeats").flatten()
     left, right, *places = (repeats.field(c).to_numpy() for c in ("left", "right", *_PLACES))
+    opened = [np.concatenate((np.ones(len(at), bool), x & _OPEN > 0)) for x in (left, right)]
+    left, right = left & ~_OPEN, right & ~_OPEN
     start, windows = at >> 20, (at >> 10) & 1023
     anchor, end, alone = start + (at & 1023), start + windows - 1 + window, own[0] == 1
     if len(left):
@@ -373,11 +408,67 @@ def spans_of(lists: pa.ListArray, window: int) -> tuple[np.ndarray, dict[str, np
             reached[size > 0] += sign * far
             out[alone] = reached[alone]
     of = np.repeat(np.arange(len(at)), size)
-    spans = {"start": np.concatenate((start, anchor[of] - left)), "end": np.concatenate((end, anchor[of] + right)), "gone": np.arange(len(at) + len(of)) < len(at)}
+    spans = {"start": np.concatenate((start, anchor[of] - left)), "end": np.concatenate((end, anchor[of] + right)), "gone": np.arange(len(at) + len(of)) < len(at), "open_left": opened[0], "open_right": opened[1]}
     spans |= {c: np.concatenate(x) for c, *x in zip(_PLACES, own, places, strict=True)}
     return np.concatenate((doc, doc[of])), spans
 
 
+#: What ``_cut`` found in texts with many repeats, by the search and their hashes, for copies that the same worker meets.
+_KNOWN: OrderedDict[bytes, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+_KNOWN_ROWS, _MANY = 1 << 18, 1 << 9  # repeats held in all, 32 bytes each, and of a text that is worth holding
+
+
+def _few_spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about _SPANS pieces of repeats each (one row at least)."""
+    lists = batch.column("segments")
+    size = lists.flatten().field("repeats").value_lengths().fill_null(0).to_numpy() + 1
+    reached = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))[np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(reached, (reached[at - 1] if at else 0) + _SPANS, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _cut(raw: list[bytes], segments: pa.ListArray, window: int, search: bytes) -> tuple[list[int], pa.ListArray, list[bytes], pa.ListArray]:
+    """For each text: how many bytes go, the runs that go, the other bytes, and its repeats. Equal texts have equal segments, so each is looked into once in a ``search``."""
+    names = [search + xxhash.xxh3_128_digest(r) for r in raw]
+    found = {name: _KNOWN[name] for name in names if name in _KNOWN}
+    new = list({name: i for i, name in enumerate(names) if name not in found}.values())
+    doc, spans = spans_of(segments.take(pa.array(new, pa.int64())), window)
+    gone, repeats = np.stack(removed_runs(doc, spans), axis=1), whole_repeats(doc, spans, window) if len(doc) else np.zeros((0, 4), np.int64)
+    bounds = [np.searchsorted(x[:, 0], np.arange(len(new) + 1)) for x in (gone, repeats)]
+    for k, i in enumerate(new):
+        mine, text = repeats[bounds[1][k] : bounds[1][k + 1]].copy(), memoryview(raw[i])
+        mine[:, 0] = [xxhash.xxh3_64_intdigest(text[a:b]) - (1 << 63) for a, b in zip(mine[:, 1].tolist(), mine[:, 2].tolist(), strict=True)]
+        found[names[i]] = gone[bounds[0][k] : bounds[0][k + 1], 1:], mine
+        if _MANY <= len(mine) <= _KNOWN_ROWS // 4:
+            _KNOWN[names[i]] = found[names[i]][0].copy(), mine
+    for name in names:
+        if name in _KNOWN:
+            _KNOWN.move_to_end(name)
+    held = sum(len(x) for _, x in _KNOWN.values())
+    while held > _KNOWN_ROWS:
+        held -= len(_KNOWN.popitem(last=False)[1][1])
+    each = [found[name] for name in names]
+    kept = []
+    for text, (runs, _) in zip(raw, each, strict=True):
+        cuts = [0, *runs.ravel().tolist(), len(text)]
+        kept.append(b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)) if len(runs) else text)
+    lists = [_lists([x[k] for x in each], kind) for k, kind in enumerate((_RUN, _FOUND))]
+    return [len(a) - len(b) for a, b in zip(raw, kept, strict=True)], lists[0], kept, lists[1]
+
+
+_RUN, _FOUND = ("start", "end"), ("repeat", "start", "end", "places")
+
+
+def _lists(rows: list[np.ndarray], names: tuple[str, ...]) -> pa.ListArray:
+    """A list of structs for each array of rows."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    columns = np.concatenate([*rows, np.zeros((0, len(names)), np.int64)]).T
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=list(names)))
+
+
 def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 32, group_rows: int = 100_000) -> DataFrame:
     """``id_col, repeat, start, end, places``: each maximal repeat of ``window`` bytes or more with all places where it stands, one row for each.
 
@@ -403,28 +494,17 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An anchor with more than ``group_rows`` different surroundings (of ``2 * window - gram`` bytes at most) is not put into one task; its repeats are dealt
     by how far they reach from it (``_by_cells``), with the same results.
     """
-    found = RepeatFinder(df, id_col, text_col, window, gram, group_rows)
+    found, search = RepeatFinder(df, id_col, text_col, window, gram, group_rows), uuid.uuid4().bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        listed = pa.list_(pa.struct([("repeat", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("places", pa.int64())]))
         for batch in slices(batches, "text", 2 << 20):
-            raw = [t.encode() for t in batch.column("text").to_pylist()]
-            doc, spans = spans_of(batch.column("segments"), window)
-            lost, removed, kept, repeats = [0] * len(raw), [[] for _ in raw], list(raw), [[] for _ in raw]
-            for i, a, b in zip(*(c.tolist() for c in removed_runs(doc, spans)), strict=True):
-                lost[i] += b - a
-                removed[i].append({"start": a, "end": b})
-            for i, gone in enumerate(removed):
-                if gone:
-                    cuts = [0, *(s[c] for s in gone for c in ("start", "end")), len(raw[i])]
-                    kept[i] = b"".join(raw[i][a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-            for i, a, b, n in whole_repeats(doc, spans, window):
-                repeats[i].append({"repeat": xxhash.xxh3_64_intdigest(raw[i][a:b]) - (1 << 63), "start": a, "end": b, "places": n})
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(map(len, raw), pa.int64()), pa.array(lost, pa.int64()), pa.array(map(len, removed), pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary()), pa.array(repeats, listed)],
-                names=[id_col, "n_bytes", "n_removed", "n_spans", "removed", "kept", "repeats"],
-            )
+            for part in _few_spans(batch):
+                raw = [t.encode() for t in part.column("text").to_pylist()]
+                lost, removed, kept, repeats = _cut(raw, part.column("segments"), window, search)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(map(len, raw), pa.int64()), pa.array(lost, pa.int64()), pa.array(removed.value_lengths()).cast(pa.int64()), removed, pa.array(kept, pa.binary()), repeats],
+                    names=[id_col, "n_bytes", "n_removed", "n_spans", "removed", "kept", "repeats"],
+                )
 
     listed = "array<struct<repeat:bigint,start:bigint,end:bigint,places:bigint>>"
     cut = documents(found.rows).join(found.spans(), "kid", "left").select("id", "text", "segments")
