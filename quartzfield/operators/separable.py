@@ -2,7 +2,8 @@
 
 With fractional coordinates ``f`` the phase of a point ``n`` is ``sum(unit[a] * n[a] * f[a])``, in any cell. Points are gathered in blocks of index
 space, atoms and sites in tiles; a block and a tile need one exponential for each index of an axis and each row, and the
-rest are matrix products. Neither side is ever broadcast by hand or held whole.
+rest are matrix products. Where atoms share their places along the axes, as in a lattice, one axis is summed after the other. The atoms are never
+broadcast by hand or held whole; grid points are, up to WHOLE of them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import complexcols as C
-from ..sources.tables import stored
+from ..sources.tables import forget, stored
 from .arrays import spread, sum_arrays, width
 from .grids import axis_size
 
@@ -25,6 +26,10 @@ EDGES = {1: (4096,), 2: (128, 128), 3: (32, 32, 32)}
 CELLS = 1 << 21
 #: Tiles of atoms up to which they are broadcast with few blocks of points (about 230 kB each at 4096 atoms).
 FEW_TILES = 128
+#: Grid points up to which each task has them all and holds their sums (48 bytes each).
+WHOLE = 1 << 20
+#: Atoms that a place of the first axis has on average, from which on atoms are dealt by it.
+SHARED = 64
 TWO_PI = 6.283185307179586
 _SUMS = ("_a_re", "_a_im", "_o_re", "_o_im", "_d_re", "_d_im")
 FIELD = ("d_re", "d_im", "av_re", "av_im")
@@ -86,6 +91,66 @@ def _contract(tables: list[np.ndarray], weight: np.ndarray | None, at: list[np.n
     return box.reshape([len(t) for t in tables])[tuple(at)]
 
 
+def _by_axis(tables: list[np.ndarray], of: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """sum_j w_j T_0[h, x_j] T_1[k, y_j] .. over a box of two or three axes, of atoms that are sorted by their places x, y: the last axis first, the first one last."""
+    out = np.zeros([len(t) for t in tables], complex)
+    first, lead = np.unique(of[0], return_index=True)
+    column = _changes(*of[:-1])  # atoms that differ along the last axis alone
+    head = np.flatnonzero(np.diff(column, prepend=-1))
+    bound = np.append(np.searchsorted(head, lead), len(head))
+    tall = max(len(head), len(tables[1]))
+    step_l = max(1, min(len(tables[-1]), CELLS // tall))
+    step_x = max(1, CELLS // (len(tables[1]) * step_l))
+    step = max(1, CELLS // step_l)
+    for n in range(0, len(tables[-1]), step_l):
+        turn = np.ascontiguousarray(tables[-1][n : n + step_l].T)
+        cell = np.zeros((len(head), turn.shape[1]), complex)
+        for a in range(0, len(weight), step):
+            some = column[a : a + step]
+            starts = np.flatnonzero(np.diff(some, prepend=-1))
+            cell[some[0] : some[-1] + 1] += np.add.reduceat(turn[of[-1][a : a + step]] * weight[a : a + step, None], starts)
+        for x in range(0, len(first), step_x):
+            part = range(x, min(len(first), x + step_x))
+            if len(tables) == 3:
+                made = np.stack([tables[1][:, of[1][head[bound[i] : bound[i + 1]]]] @ cell[bound[i] : bound[i + 1]] for i in part])
+            else:
+                made = cell[x : x + step_x]
+            out[..., n : n + step_l] += np.tensordot(tables[0][:, first[x : x + step_x]], made, 1)
+    return out
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Numbers from 0 that grow where a column changes from one row to the next."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+def _tile_sums(given: list[np.ndarray], units: list[float], r: list[np.ndarray], o: list[np.ndarray], c: np.ndarray, m: np.ndarray, rows: int) -> list[np.ndarray]:
+    """The three sums at the points over atoms at r with origins o, weights c and multiplicities m."""
+    numbers, at = _axes_of(given)
+    box = int(np.prod([len(n) for n in numbers]))
+    if len(given) > 1 and box <= 8 * len(given[0]):
+        pairs, of = _axes_of([x + 1j * y for x, y in zip(r, o, strict=True)])
+        if 8 * len(pairs[0]) <= len(c):
+            full, origin = (_tables(numbers, units, [getattr(x, k) for x in pairs], 1.0) for k in ("real", "imag"))
+            delta = [a * b.conj() for a, b in zip(full, origin, strict=True)]
+            by = np.lexsort(of[::-1])
+            of = [x[by] for x in of]
+            return [_by_axis(t, of, w[by])[tuple(at)] for t, w in ((full, c), (origin, m), (delta, c))]
+    sums = [np.zeros(len(given[0]), complex) for _ in range(3)]
+    for a in range(0, len(c), rows):
+        some = slice(a, a + rows)
+        places, per, r_, o_ = _digits(given, units, [x[some] for x in r], [x[some] for x in o])
+        numbers, at = _axes_of(places)
+        full, origin = _tables(numbers, per, r_, 1.0), _tables(numbers, per, o_, 1.0)
+        delta = [x * y.conj() for x, y in zip(full, origin, strict=True)]
+        for s, (t, w) in zip(sums, ((full, c), (origin, m), (delta, c)), strict=True):
+            s += _contract(t, w[some], at)
+    return sums
+
+
 def _digits(places: list[np.ndarray], units: list[float], *coordinates: list[np.ndarray]) -> tuple:
     """A single axis as two, of multiples of 64 and of what is left, so that it factors as well."""
     if len(places) > 1:
@@ -104,8 +169,15 @@ def separable_sums(atoms: DataFrame, points: DataFrame, index: Sequence[str], ax
     dims, units = len(index), list(units or [TWO_PI] * len(index))
     placed = atoms.select(*by, *(F.col(a).cast("double").alias(f"r{i}") for i, a in enumerate(axes)), *(F.col(o).cast("double").alias(f"o{i}") for i, o in enumerate(origins)), F.col(coeff).cast("double").alias("c"))
     columns = [f"{x}{i}" for x in "ro" for i in range(dims)] + ["c"]
+    placed, points = stored(placed), stored(points.select(*index).distinct())
+    # about how many different places there are, along the first axis and in all
+    count, first, places = placed.agg(F.count(F.lit(1)), *(F.approx_count_distinct(F.xxhash64(*x)) for x in (["r0", "o0"], columns[:-1]))).first()
+    shared = min(count, places) >= SHARED * first > 0
+    if (shared or count > FEW_TILES * atom_rows) and points.count() <= WHOLE:
+        return _whole_sums(placed, points, index, units, by, atom_rows, min(count, places), first if shared else 0)
     tile = dealt(placed, by, F.lit(atom_rows), columns, "_tile").groupBy(*by, "_tile").agg(*(F.collect_list(c).alias(c) for c in columns))
-    tile, block = stored(tile), stored(blocks(points.select(*index).distinct(), index))
+    tile, block = stored(tile), stored(blocks(points, index))
+    forget(placed, points)
     schema_by = [f"`{b}` {dict(atoms.dtypes)[b]}" for b in by]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +202,7 @@ def separable_sums(atoms: DataFrame, points: DataFrame, index: Sequence[str], ax
                 given = [_array(batch, i, row) for i in index]
                 r, o = ([_array(batch, f"{x}{i}", row) for i in range(dims)] for x in "ro")
                 c = _array(batch, "c", row)
-                places, per, r, o = _digits(given, units, r, o)
-                numbers, at = _axes_of(places)
-                full, origin = _tables(numbers, per, r, 1.0), _tables(numbers, per, o, 1.0)
-                delta = [a * b.conj() for a, b in zip(full, origin, strict=True)]
-                made = [_contract(full, c, at), _contract(origin, None, at), _contract(delta, c, at)]
+                made = _tile_sums(given, units, r, o, c, np.ones(len(c)), atom_rows)
                 if group in held:
                     old = held[group]
                     held[group] = (given, [a + b for a, b in zip(old[1], made, strict=True)], old[2] + len(c))
@@ -155,6 +223,73 @@ def separable_sums(atoms: DataFrame, points: DataFrame, index: Sequence[str], ax
     return parts.groupBy(*index, *by).agg(*(F.sum(s).alias(s) for s in (*_SUMS, "_n")))
 
 
+def _whole_sums(placed: DataFrame, points: DataFrame, index: Sequence[str], units: list[float], by: Sequence[str], atom_rows: int, count: int, first: int) -> DataFrame:
+    """``separable_sums`` of stored atoms and points, all points in each task: atoms come as plain rows, atoms of one place as one.
+
+    There are about ``count`` different places. With ``first``, the number of those along the first axis, atoms are dealt by their places along the axes, so that a tile has few of them along each.
+    """
+    dims, kinds = len(index), dict(placed.dtypes)
+    spots = [f"{x}{i}" for x in "ro" for i in range(dims)]
+    given = [np.ascontiguousarray(x) for x in points.toPandas()[list(index)].to_numpy(np.int64).T] if points.count() else [np.zeros(0, np.int64)] * dims
+    weight = F.sum(F.coalesce("c", F.lit(float("nan")))).alias("c"), F.count(F.lit(1)).cast("double").alias("m")
+    tasks, limit = 2 * placed.sparkSession.sparkContext.defaultParallelism, atom_rows
+    if first:
+        limit = 16 * atom_rows
+        tiles = max(1, -(-count // limit))
+        along = min(tiles, first)
+        across = -(-tiles // along)
+        tile = F.pmod(F.xxhash64("r0", "o0"), F.lit(along)) * across + (F.pmod(F.xxhash64(*(x for x in spots if x not in ("r0", "o0"))), F.lit(across)) if dims > 1 else 0)
+        rows = placed.groupBy(*by, *spots).agg(*weight).withColumn("_tile", tile).repartition(min(tiles, tasks), "_tile").sortWithinPartitions(*by, "_tile")
+    else:
+        # every task gives all points back
+        tasks = max(tasks, min(4 * width(placed), -(-count // limit), (1 << 26) // max(1, len(given[0]))))
+        rows = placed.repartition(tasks, *by, *spots).groupBy(*by, *spots).agg(*weight).withColumn("_tile", F.lit(0))
+        rows = rows.sortWithinPartitions(*by) if by else rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def leave() -> pa.RecordBatch:
+            size = len(given[0])
+            parts = [pa.array(p, pa.int32()) for p in given] + [pa.array([g] * size, t) for g, t in zip(now[0], types, strict=True)]
+            parts += [pa.array(x) for s in sums for x in (s.real.copy(), s.imag.copy())] + [pa.array(np.full(size, n))]
+            return pa.RecordBatch.from_arrays(parts, names=[*index, *by, *_SUMS, "_n"])
+
+        def add() -> None:
+            nonlocal sums, n, size
+            if size:
+                x = dict(zip(names, map(np.concatenate, zip(*waiting, strict=True)), strict=True))
+                made = _tile_sums(given, units, [x[f"r{i}"] for i in range(dims)], [x[f"o{i}"] for i in range(dims)], x["c"], x["m"], atom_rows)
+                sums, n = made if sums is None else [a + b for a, b in zip(sums, made, strict=True)], n + int(x["m"].sum())
+            waiting.clear()
+            size = 0
+
+        now, sums, n, size, waiting, types, names = None, None, 0, 0, [], [], [*spots, "c", "m"]
+        for batch in batches:
+            types = [batch.schema.field(b).type for b in by]
+            group = list(zip(*(batch.column(b).to_pylist() for b in by), strict=True)) if by else [()] * batch.num_rows
+            tile = batch.column("_tile").to_numpy()
+            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cuts = [i for i in range(1, batch.num_rows) if tile[i] != tile[i - 1] or group[i] != group[i - 1]]
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                key = (group[a], int(tile[a])) if a < b else now
+                if now is not None and key != now:
+                    add()
+                    if key[0] != now[0]:
+                        yield leave()
+                        sums, n = None, 0
+                now = key
+                for at in range(a, b, atom_rows):
+                    waiting.append([v[at : min(b, at + atom_rows)].copy() for v in values])
+                    size += len(waiting[-1][0])
+                    if size >= (4 * limit if first else limit):
+                        add()
+        if now is not None:
+            add()
+            yield leave()
+
+    schema = ", ".join([*(f"`{i}` int" for i in index), *(f"`{b}` {kinds[b]}" for b in by), *(f"{s} double" for s in _SUMS), "_n bigint"])
+    return rows.mapInArrow(run, schema).groupBy(*index, *by).agg(*(F.sum(s).alias(s) for s in (*_SUMS, "_n")))
+
+
 def amplitudes_separable(atoms: DataFrame, points: DataFrame, index: Sequence[str], axes: Sequence[str], origins: Sequence[str], units: Sequence[float] | None = None, coeff: str = "coeff", atom_rows: int = 4096) -> DataFrame:
     """``index, a_re, a_im, av_re, av_im``: the amplitudes that ``scattering.amplitudes`` gives, without an exponential for each pair."""
     sums = separable_sums(atoms, points, index, axes, origins, units, coeff, (), atom_rows)

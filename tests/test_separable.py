@@ -121,3 +121,59 @@ def test_columns_stay_right(spark):
     one = scattering.amplitudes(atoms, q, ["qh"], ["x"], ["ox"], ["ih"]).first()
     two = separable.amplitudes_separable(atoms, q, ["ih"], ["x"], ["ox"]).first()
     assert np.allclose(tuple(one), tuple(two))
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+@pytest.mark.parametrize("cells", [1 << 21, 50])
+def test_atoms_that_share_places_are_summed_axis_by_axis(monkeypatch, dims, cells):
+    """No phase for each pair of an atom and a point: the direct sums are not called."""
+    monkeypatch.setattr(separable, "CELLS", cells)
+    monkeypatch.setattr(separable, "_contract", None)
+    grid = np.stack(np.meshgrid(*[np.arange(-2, 3 + i) for i in range(dims)], indexing="ij")).reshape(dims, -1)
+    lattice = [RNG.integers(0, n, 2000) / n for n in (4, 5, 6)[:dims]]
+    at = [x + RNG.integers(0, 3, 2000) * 1e-3 for x in lattice]
+    c, m, units = RNG.normal(size=2000), RNG.integers(1, 4, 2000).astype(float), [2 * np.pi, 4.0, 1.5][:dims]
+    got = separable._tile_sums(list(grid), units, at, lattice, c, m, 100)
+    full, origin = (np.exp(1j * (grid * np.array(units)[:, None]).T @ np.array(x)) for x in (at, lattice))
+    for a, b in zip(got, (full @ c, origin @ m, (full * origin.conj()) @ c), strict=True):
+        assert np.allclose(a, b)
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3])
+@pytest.mark.parametrize("share", [2, 10**9])
+def test_whole_grids(spark, monkeypatch, dims, share):
+    """All points in each task, atoms dealt by their places or by chance; groups, equal atoms and many tiles."""
+    monkeypatch.setattr(separable, "SHARED", share)
+    monkeypatch.setattr(separable, "FEW_TILES", 0)
+    monkeypatch.setattr(separable, "dealt", None)  # the tiles of arrays are for other cases
+    o = RNG.integers(0, 4, (600, dims)) / 4
+    r = o + RNG.integers(0, 2, (600, dims)) * 1e-2
+    r, o, c = np.concatenate((r, r[:50])), np.concatenate((o, o[:50])), RNG.normal(size=650)
+    kind = RNG.integers(0, 2, 650)
+    index, axes, origins = (["ih", "ik", "il"][:dims], list("xyz")[:dims], ["ox", "oy", "oz"][:dims])
+    rows = [("ab"[k], *map(float, a), *map(float, b), float(x)) for k, a, b, x in zip(kind, r, o, c, strict=True)]
+    atoms = spark.createDataFrame(rows, "element string, " + ", ".join(f"{n} double" for n in (*axes, *origins, "coeff"))).repartition(5)
+    places = np.stack(np.meshgrid(*[np.arange(-2, 4)] * dims, indexing="ij")).reshape(dims, -1).T[:-1]
+    q = spark.createDataFrame([tuple(map(int, p)) for p in [*places, *places[:3]]], ", ".join(f"{i} int" for i in index))
+    full, origin = (np.exp(2j * np.pi * places @ x.T) for x in (r, o))
+    for by in ((), ("element",)):
+        found = separable.separable_sums(atoms, q, index, axes, origins, by=by, atom_rows=5).collect()
+        got = {(*(x[i] for i in index), *(x[b] for b in by)): x for x in found}
+        groups = {(): np.ones(650, bool)} if not by else {("a",): kind == 0, ("b",): kind == 1}
+        assert len(got) == len(places) * len(groups)
+        for g, some in groups.items():
+            want = full[:, some] @ c[some], origin[:, some].sum(1), (full * origin.conj())[:, some] @ c[some]
+            for n, p in enumerate(places):
+                x = got[(*map(int, p), *g)]
+                assert x._n == some.sum()
+                assert np.allclose([x._a_re, x._a_im, x._o_re, x._o_im, x._d_re, x._d_im], [f(w[n]) for w in want for f in (np.real, np.imag)])
+
+
+def test_a_missing_weight_is_not_left_out(spark, monkeypatch):
+    monkeypatch.setattr(separable, "FEW_TILES", 0)
+    atoms = spark.createDataFrame([(0.25, 0.25, 2.0), (0.25, 0.25, None)], "x double, ox double, coeff double")
+    q = spark.createDataFrame([(1,)], "ih int")
+    x = separable.amplitudes_separable(atoms, q, ["ih"], ["x"], ["ox"], atom_rows=1).first()
+    assert np.isnan(x.a_re) and np.isnan(x.av_re)
+    none = separable.amplitudes_separable(atoms.limit(0), q, ["ih"], ["x"], ["ox"]).collect()
+    assert none == [] and separable.amplitudes_separable(atoms, q.limit(0), ["ih"], ["x"], ["ox"], atom_rows=1).collect() == []
