@@ -177,3 +177,19 @@ def test_a_missing_weight_is_not_left_out(spark, monkeypatch):
     assert np.isnan(x.a_re) and np.isnan(x.av_re)
     none = separable.amplitudes_separable(atoms.limit(0), q, ["ih"], ["x"], ["ox"]).collect()
     assert none == [] and separable.amplitudes_separable(atoms, q.limit(0), ["ih"], ["x"], ["ox"], atom_rows=1).collect() == []
+
+
+def test_sums_by_element_gather_no_atoms(spark, monkeypatch):
+    """Atoms reach the tasks as plain rows: no list of a tile's atoms is built, and none meets points in a join."""
+    monkeypatch.setattr(separable, "FEW_TILES", 0)
+    atoms = spark.createDataFrame([("ab"[i % 2], i / 7, (i % 3) / 3, 1.0) for i in range(40)], "element string, x double, ox double, coeff double")
+    points = spark.createDataFrame([(i, float(i)) for i in range(6)], "ih int, qh double")
+    weights = spark.createDataFrame([("a", 2.0), ("b", 0.5)], "element string, f double")
+    out = separable.amplitudes_by_element_separable(atoms, points, ["ih"], ["x"], ["ox"], weights, F.col("f"), atom_rows=4)
+    sums = separable.separable_sums(atoms, points, ["ih"], ["x"], ["ox"], by=("element",), atom_rows=4)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    r, o, f = (np.array(x) for x in zip(*[(i / 7, (i % 3) / 3, (2.0, 0.5)[i % 2]) for i in range(40)], strict=True))
+    want = {n: (np.exp(2j * np.pi * n * r) * f).sum() for n in range(6)}
+    assert {x.ih for x in out.collect()} == set(want)
+    assert all(np.allclose([x.a_re, x.a_im], [want[x.ih].real, want[x.ih].imag]) for x in out.collect())
